@@ -78,10 +78,10 @@ def bucket_end(ts, seconds: int) -> Column:
     return F.timestamp_micros(m + F.pmod(-m, F.lit(width)))
 
 
-def rounded(df, digits: int = 6, keep=()):
-    """Round every double column for output."""
+def rounded(df, digits: int = 6, other: dict[str, int] | None = None):
+    """Round every double column for output; ``other`` gives single columns their own places."""
+    other = other or {}
     return df.select(
-        *[F.round(F.col(f.name), digits).alias(f.name)
-          if f.dataType.typeName() in ("double", "float") and f.name not in keep else F.col(f.name)
-          for f in df.schema.fields]
+        *[F.round(F.col(f.name), other.get(f.name, digits)).alias(f.name)
+          if f.dataType.typeName() in ("double", "float") else F.col(f.name) for f in df.schema.fields]
     )

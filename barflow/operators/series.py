@@ -190,7 +190,9 @@ def scan(df: DataFrame, specs: list[Linear], keys=KEYS, chunk: int = CHUNK,
     ).join(carries, [*keys, "_blk"])
     for i, s in enumerate(specs):
         y = F.col(f"_s{i}") * power(s, pos - mid) + F.col(f"_c{i}") * power(s, pos + 1)
-        out = out.withColumn(s.name, F.when(F.col(idx) >= s.seed, y) if s.seed else y)
+        if s.seed is not None:
+            y = F.when(F.col(idx) == s.seed, F.col(s.x).cast("double")).when(F.col(idx) > s.seed, y)
+        out = out.withColumn(s.name, y)
     return out.drop("_blk", "_pos", *[f"_s{i}" for i in range(len(specs))],
                     *[f"_c{i}" for i in range(len(specs))])
 
@@ -213,7 +215,7 @@ def cascade(fast, slow, fast_span: float, slow_span: float) -> Column:
     Both start from the first value, i.e. from a constant past, so the identity holds from row 0.
     """
     p, q = 1.0 - 2.0 / (fast_span + 1.0), 1.0 - 2.0 / (slow_span + 1.0)
-    return (col(fast) * F.lit((1.0 - q) * p) - col(slow) * F.lit((1.0 - p) * q)) / F.lit(p - q)
+    return col(slow) + (col(fast) - col(slow)) * F.lit((1.0 - q) * p / (p - q))
 
 
 _RUN = {

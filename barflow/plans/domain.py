@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from barflow.operators import bars as B
 from barflow.operators.series import index_series
 from barflow.plans.registry import cte
+from barflow.session import stage
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -41,7 +42,8 @@ cte("b", """SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_ts) -
 
 
 def indexed(spark, sf, seconds: int = 1800) -> DataFrame:
-    return index_series(bars(spark, sf, seconds))
+    """Bars are written once (they are far smaller than ticks) and indexed from there."""
+    return index_series(stage(bars(spark, sf, seconds)))
 
 
 def side_series(spark, sf, event_type: str, out: str, scale: float) -> DataFrame:

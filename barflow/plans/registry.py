@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, tuple[str, tuple[str, ...]]] = {}
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
@@ -25,7 +25,7 @@ def _needed(names, seen: list[str]) -> list[str]:
 
 
 def sql_text(body: str, uses=()) -> str:
-    parts = [f"{n} AS ({CTES[n][1]})" for n in _needed(uses, [])]
+    parts = [f"{n} AS {CTES[n][1]}" if CTES[n][1].startswith("(") else f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in _needed(uses, [])]
     return f"WITH RECURSIVE {', '.join(parts)} {body}" if parts else body
 
 
@@ -35,7 +35,7 @@ def query(name: str, sql: str | None = None, uses: tuple[str, ...] = ()):
     def register(fn):
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = sql_text(sql, uses)
+            ORACLE[name] = (sql, uses)
         return fn
 
     return register
