@@ -188,7 +188,6 @@ def percent_rank(r: Roll, x, n: int) -> Column:
 
 
 def autocorrelation(r: Roll, x="_ret", n=20, m=10):
-    a, b = col(x), r.lag(x)
     cov = r.mean(F.col("_rr1"), n, m) - r.mean(x, n, m) * r.mean("_r1", n, m)
     var = F.greatest(F.pow(r.std(x, n, m), F.lit(2)), F.lit(1e-12))
     return {"ret_autocorr_20": F.coalesce(clip(cov / var, -1.0, 1.0), F.lit(0.0))}

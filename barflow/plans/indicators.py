@@ -461,7 +461,7 @@ cte("rgi", """SELECT dxe.*, CASE WHEN hu IS NULL THEN 0.5 ELSE least(greatest(hu
   FROM dxe JOIN rgi0 USING (symbol, i) JOIN (SELECT symbol, i, hu FROM xh) USING (symbol, i)""", ("dxe", "rgi0", "xh"))
 Q12 = 1 - 2 / 13
 rec("rgs1", "rgi", [("hn", "hurst_60", Q12, 1.0), ("an", "adx_ema", Q12, 1.0), ("n1", "1.0", Q12, 1.0)])
-rec("rgs2", "rgi", [("vn", "vol_regime", Q12, 1.0), ("ovn", "vol_of_vol", Q12, 1.0), ("n2", "1.0", Q12, 1.0)], seed=70)
+rec("rgs2", "rgi", [("vn", "vol_regime", Q12, 1.0), ("ovn", "vol_of_vol", Q12, 1.0), ("n2", "1.0", Q12, 1.0)], seed=69)
 cte("rgs", """SELECT rgi.*, hn / n1 AS hurst_smooth, an / n1 AS adx_smooth, vn / n2 AS vol_regime_smooth, ovn / n2 AS vol_of_vol_smooth
   FROM rgi JOIN rgs1 USING (symbol, i) LEFT JOIN rgs2 USING (symbol, i)""", ("rgi", "rgs1", "rgs2"))
 feature("ema_adjusted", smoothed, {k: k for k in SMOOTH}, "rgs")

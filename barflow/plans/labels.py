@@ -70,9 +70,9 @@ emit("label_outcome3", outcome3, {"label": "label"}, "f3")
 emit("label_binary", lambda s, f: outcome3(s, f).withColumns(L.binary(F.col("label"))), {"long_label": "(label = 2)::INT", "short_label": "(label = 0)::INT"}, "f3")
 cte("fd", f"SELECT *, ({avg('tr0', 14)}) / nullif(close, 0) AS ap FROM f", ("f",))
 cte("fd2", "SELECT *, first_value(ap IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN CURRENT ROW AND 13 FOLLOWING) AS apf FROM fd", ("fd",))
-cte("fd3", "SELECT *, least(greatest(apf * .2, .1), .8) AS tp, least(greatest(apf * .16, .1 * .8), .8 * .7) AS sl FROM fd2", ("fd2",))
+cte("fd3", "SELECT *, least(greatest(apf * .2, .1), .8) AS tpp, least(greatest(apf * .16, .1 * .8), .8 * .7) AS slp FROM fd2", ("fd2",))
 emit("label_adaptive", lambda s, f: L.adaptive(D.indexed(s, f), 0.2, 0.16, 0.1, 0.8, H, 0.06),
-     {"label": f"CASE WHEN full_ AND tp - 2 * .06::DOUBLE > 0 THEN {out3('tp', 'sl')} ELSE 1 END", "tp": "tp", "sl": "sl"},
+     {"label": f"CASE WHEN full_ AND tpp - 2 * .06::DOUBLE > 0 THEN {out3('tpp', 'slp')} ELSE 1 END", "tp": "tpp", "sl": "slp"},
      "fd3")
 KT, KS = hit("hs", "v >= close * 1.5::DOUBLE"), hit("ls", "v <= close * .6::DOUBLE")
 PAID = f"list_sum(list_transform(list_slice(fs, 1, {KT}), lambda v: abs(v) / .016::DOUBLE))"
@@ -120,8 +120,8 @@ emit("label_barrier", lambda s, f: L.barrier(D.indexed(s, f), 1.5, 1.0, H), {"la
 
 
 @query("embargo_split", """SELECT a.symbol, bar_ts, CASE WHEN i < c - 24 THEN 'train' WHEN i < c THEN 'embargo' ELSE 'holdout' END AS part,
-  CASE WHEN bar_ts <= e THEN 'train' WHEN i < nf + 210 AND n - nf > 210 THEN 'gap' ELSE 'oos' END AS oos_part FROM b a JOIN
-  (SELECT symbol, count(*) AS n, floor(count(*) * .8::DOUBLE) AS c, max(bar_ts) - INTERVAL '7 days' AS e FROM b GROUP BY 1) USING (symbol) JOIN
+  CASE WHEN bar_ts <= e THEN 'train' WHEN i < nf + 210 AND total - nf > 210 THEN 'gap' ELSE 'oos' END AS oos_part FROM b a JOIN
+  (SELECT symbol, count(*) AS total, floor(count(*) * .8::DOUBLE) AS c, max(bar_ts) - INTERVAL '7 days' AS e FROM b GROUP BY 1) USING (symbol) JOIN
   (SELECT symbol, count(*) FILTER (bar_ts <= m - INTERVAL '7 days') AS nf FROM (SELECT *, max(bar_ts) OVER (PARTITION BY symbol) AS m FROM b) GROUP BY 1) USING (symbol)""", ("b",))
 def embargo_split(spark, sf):
     d = stage(D.indexed(spark, sf))
@@ -150,7 +150,7 @@ def _outcome_sql(name, start, stop_first):
     g = "(CASE WHEN signal > 0 THEN w[k].o <= stop ELSE w[k].o >= stop END)" if stop_first else "false"
     cte(name, f"""SELECT *, side_exit * (1 - signal * .001::DOUBLE) AS exit FROM (SELECT *, CASE WHEN st AND {g} THEN w[k].o WHEN st THEN stop WHEN kg IS NOT NULL THEN goal ELSE w[k].c END AS side_exit,
       CASE WHEN st AND {g} THEN 'sl_gap' WHEN st THEN 'sl' WHEN kg IS NOT NULL THEN 'tp' ELSE 'timeout' END AS exit_reason, w[k].t AS exit_ts, k + {start - 1} AS bars_held FROM {name}5)""", (f"{name}5",))
-    return f"""SELECT symbol, bar_ts, signal, round(entry, 6) AS entry, round(exit, 6) AS exit, exit_reason, exit_ts, bars_held,
+    return f"""SELECT symbol, bar_ts, signal, round(entry, 10) AS entry, round(exit, 10) AS exit, exit_reason, exit_ts, bars_held,
       round(signal * (exit - entry) / entry - 2 * .0005::DOUBLE, 6) AS pnl_pct FROM {name}"""
 
 
@@ -163,9 +163,9 @@ def outcomes(spark, sf, rule="stop_first"):
 
 @query("signal_outcome", _outcome_sql("so1", 2, True), ("so1",))
 def signal_outcome(spark, sf):
-    return rounded(outcomes(spark, sf).select(*OUT_COLS))
+    return rounded(outcomes(spark, sf).select(*OUT_COLS), 6, {"entry": 10, "exit": 10})
 
 
 @query("signal_outcome_target_first", _outcome_sql("so2", 1, False), ("so2",))
 def signal_outcome_target_first(spark, sf):
-    return rounded(outcomes(spark, sf, "target_first").select(*OUT_COLS))
+    return rounded(outcomes(spark, sf, "target_first").select(*OUT_COLS), 6, {"entry": 10, "exit": 10})

@@ -198,14 +198,15 @@ cte("fsf", f"""SELECT bar_ts, funding_rate, n / w AS funding_ema8, {sm('funding_
   CASE WHEN count(funding_rate) {fr(50)} >= 10 THEN least(greatest((funding_rate - ({avg('funding_rate', 50, 10)})) / (({std('funding_rate', 50, 10)}) + 1e-9), -4), 4) END AS funding_zscore
   FROM fs JOIN fe USING (symbol, i)""", ("fs", "fe"))
 FA = ["funding_rate", "funding_ema8", "funding_cum3", "funding_zscore"]
+FA_DIGITS = {"funding_zscore": 9}
 
 
-@query("funding_asof", f"SELECT b.symbol, b.bar_ts, {', '.join(f'round({c}, 14) AS {c}' for c in FA)} FROM bars b ASOF LEFT JOIN fsf ON b.bar_ts >= fsf.bar_ts", ("bars", "fsf"))
+@query("funding_asof", f"SELECT b.symbol, b.bar_ts, {', '.join(f'round({c}, {FA_DIGITS.get(c, 14)}) AS {c}' for c in FA)} FROM bars b ASOF LEFT JOIN fsf ON b.bar_ts >= fsf.bar_ts", ("bars", "fsf"))
 def funding_asof(spark, sf):
     f = D.funding(spark, sf).withColumns({"symbol": F.lit("ALL"), "timeframe": F.lit("1h")})
     f = P.funding_series(S.index_series(f)).drop("symbol", "timeframe")
     b = D.bars(spark, sf)
-    return rounded(S.asof_join(b.select("symbol", "bar_ts"), [(PB._per_symbol(b, f), "bar_ts", {c: c for c in FA})]), 14)
+    return rounded(S.asof_join(b.select("symbol", "bar_ts"), [(PB._per_symbol(b, f), "bar_ts", {c: c for c in FA})]), 14, FA_DIGITS)
 
 
 @query("funding_history", """SELECT bar_ts, round(funding_rate, 9) AS funding_rate FROM funding_s WHERE bar_ts >= (SELECT max(bar_ts) FROM funding_s) - INTERVAL '48 hours'""", ("funding_s",))
