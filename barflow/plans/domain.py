@@ -81,17 +81,19 @@ def open_interest(spark, sf):
 def fills(spark, sf) -> DataFrame:
     """Line items as filled trades with a model, a score and an outcome."""
     li = table(spark, sf, "lineitem")
-    price = F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2)
+    # Whole cents and thousandths, so that both engines hold the same numbers.
+    cents = F.round(F.col("l_extendedprice") * 100)
+    price_c = F.floor(cents / F.col("l_quantity"))
     long_ = F.col("l_returnflag") != "R"
-    move = F.col("l_tax") - F.col("l_discount") * 0.8
+    move = F.round((F.col("l_tax") - F.col("l_discount") * 0.8) * 1000)
     return li.select(
         F.col("l_orderkey").alias("order_id"),
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("trade_id"),
         F.concat(F.lit("S"), F.col("l_suppkey") % 10).alias("symbol"),
         F.when(long_, "BUY").otherwise("SELL").alias("side"),
-        F.col("l_quantity").alias("quantity"), price.alias("entry_price"),
-        F.round(price * (1 + move), 2).alias("exit_price"),
-        F.round(F.when(long_, 1).otherwise(-1) * F.col("l_extendedprice") * move, 2).alias("pnl"),
+        F.col("l_quantity").alias("quantity"), (price_c / 100.0).alias("entry_price"),
+        (F.floor(price_c * (1000 + move) / 1000) / 100.0).alias("exit_price"),
+        (F.when(long_, 1).otherwise(-1) * F.floor(cents * move / 1000) / 100.0).alias("pnl"),
         F.concat("l_linestatus", "l_returnflag").alias("model"),
         F.round((F.col("l_discount") - 0.05) * 20, 2).alias("prediction"),
         F.round(0.5 + F.col("l_quantity") / 100, 2).alias("confidence"),
@@ -103,9 +105,9 @@ def fills(spark, sf) -> DataFrame:
 cte("fills", """SELECT l_orderkey AS order_id,
   l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS trade_id,
   'S' || (l_suppkey % 10) AS symbol, CASE WHEN l_returnflag <> 'R' THEN 'BUY' ELSE 'SELL' END AS side,
-  l_quantity AS quantity, round(l_extendedprice / l_quantity, 2) AS entry_price,
-  round(round(l_extendedprice / l_quantity, 2) * (1 + (l_tax - l_discount * 0.8::DOUBLE)), 2) AS exit_price,
-  round((CASE WHEN l_returnflag <> 'R' THEN 1 ELSE -1 END) * l_extendedprice * (l_tax - l_discount * 0.8::DOUBLE), 2) AS pnl,
+  l_quantity AS quantity, floor(round(l_extendedprice * 100) / l_quantity) / 100 AS entry_price,
+  floor(floor(round(l_extendedprice * 100) / l_quantity) * (1000 + round((l_tax - l_discount * 0.8::DOUBLE) * 1000)) / 1000) / 100 AS exit_price,
+  (CASE WHEN l_returnflag <> 'R' THEN 1 ELSE -1 END) * floor(round(l_extendedprice * 100) * round((l_tax - l_discount * 0.8::DOUBLE) * 1000) / 1000) / 100 AS pnl,
   l_linestatus || l_returnflag AS model, round((l_discount - 0.05::DOUBLE) * 20, 2) AS prediction,
   round(0.5::DOUBLE + l_quantity / 100, 2) AS confidence, round((l_tax - 0.04::DOUBLE) * 25, 2) AS actual,
   l_extendedprice AS notional, l_shipdate AS ts FROM lineitem""")
