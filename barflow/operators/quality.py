@@ -31,10 +31,9 @@ def validate(bars: DataFrame, seconds: int, min_rows: int = 0, allow_last_irregu
     """
     missing = sorted({*OHLCV, "bar_ts"} - set(bars.columns))
     if missing:
-        names = F.array(*[F.lit(m) for m in missing])
+        names = F.array(*[F.lit(f"missing_column:{m}") for m in missing])
         return (bars.select(*keys).distinct()
-                .select(*keys, F.concat(F.lit("missing_column:"), F.explode(names)).alias("rule"),
-                        F.lit(1).cast("bigint").alias("violations")))
+                .select(*keys, F.explode(names).alias("rule"), F.lit(1).cast("bigint").alias("violations")))
     dated = _with_step(bars.filter(F.col("bar_ts").isNotNull()), keys)
     exempt = (F.col("_final") & (F.col("bar_idx") >= 2)) if allow_last_irregular else F.lit(False)
     o, h, l, c = (F.col(x) for x in OHLCV[:4])

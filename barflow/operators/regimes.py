@@ -5,11 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barflow.functions.columns import col
+from barflow.operators.folds import chunk_fold
 from barflow.operators.series import CHUNK, KEYS
 
 # Regime names and rule thresholds.
@@ -42,64 +42,44 @@ def cyclical_time(ts) -> dict[str, Column]:
             "dow_sin": F.sin(turn * day / 7), "dow_cos": F.cos(turn * day / 7)}
 
 
-def smooth_labels(df: DataFrame, label: str, out: str, min_bars: int = 6, keys=KEYS,
-                  chunk: int = CHUNK) -> DataFrame:
+def smooth_labels(df: DataFrame, label: str, out: str, min_bars: int = 6, keys=KEYS, chunk: int = CHUNK) -> DataFrame:
     """Hold a label until its own matches number ``min_bars``; then the next other label takes over.
 
-    The rule is a finite automaton: (held label, matches up to ``min_bars``). Each chunk is run from
-    every state at once, giving a map state -> state; maps are chained per series over one row per
-    chunk; then each chunk is run from its true entry state. No task holds more than a chunk, or the
-    chunk maps of one series.
+    The rule is a finite automaton over (held label, matches up to ``min_bars``), so a chunk is
+    summarised by the state it ends in for each of the states it can be entered with.
     """
-    keys, names = list(keys), REGIMES
-    width = min_bars + 1
+    names, width = REGIMES, min_bars + 1
     states = len(names) * width
     code = F.array_position(F.array(*[F.lit(n) for n in names]), F.col(label)).cast("int") - 1
-    part = df.withColumn("_code", code).withColumn("_blk", F.floor(F.col("bar_idx") / F.lit(chunk)))
-    narrow = part.select(*keys, "_blk", "bar_idx", "_code")
-    key_schema = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in keys)
 
     def step(held, seen, x):
         same = held == x
         flip = ~same & (seen >= min_bars)
         return np.where(flip, x, held), np.where(same, np.minimum(seen + 1, min_bars), np.where(flip, 1, seen))
 
-    def chunk_map(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bar_idx")
+    def summarise(pdf, first):
         codes = pdf["_code"].to_numpy()
         held, seen = np.divmod(np.arange(states), width)
-        if pdf["_blk"].iloc[0] == 0:
+        if first:
             held, seen, codes = np.full(states, codes[0]), np.zeros(states, int), codes[1:]
         for x in codes:
             held, seen = step(held, seen, x)
-        row = {k: pdf[k].iloc[0] for k in [*keys, "_blk"]}
-        return pd.DataFrame([{**row, "_map": (held * width + seen).tolist()}])
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_blk")
-        state, entry = 0, []
-        for m in pdf["_map"]:
-            entry.append(state)
-            state = int(m[state])
-        return pdf.drop(columns="_map").assign(_entry=entry)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bar_idx")
-        held, seen = divmod(int(pdf["_entry"].iloc[0]), width)
-        first = pdf["_blk"].iloc[0] == 0
+        return (held * width + seen).tolist()
+
+    def advance(state, table):
+        return table[0 if state is None else state]
+
+    def emit(pdf, state):
+        held, seen = (None, 0) if state is None else divmod(state, width)
         res = []
-        for n, x in enumerate(pdf["_code"].tolist()):
-            if first and n == 0:
-                held, seen = x, 0
+        for x in pdf["_code"].tolist():
+            if held is None:
+                held = x
             elif x == held:
                 seen = min(seen + 1, min_bars)
             elif seen >= min_bars:
                 held, seen = x, 1
             res.append(names[held])
-        return pdf[[*keys, "bar_idx"]].assign(**{out: res})
+        return res
 
-    maps = narrow.groupBy(*keys, "_blk").applyInPandas(chunk_map, f"{key_schema}, _blk bigint, _map array<int>")
-    entries = maps.groupBy(*keys).applyInPandas(chain, f"{key_schema}, _blk bigint, _entry int")
-    held = (narrow.join(entries, [*keys, "_blk"]).groupBy(*keys, "_blk")
-            .applyInPandas(run, f"{key_schema}, bar_idx bigint, {out} string"))
-    return df.join(held, [*keys, "bar_idx"])
+    return chunk_fold(df.withColumn("_code", code), list(keys), ["_code"], summarise, advance, emit, None, out, "string", chunk).drop("_code")

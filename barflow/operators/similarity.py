@@ -31,8 +31,11 @@ def similar_topk(queries: DataFrame, vectors: DataFrame, k: int, floor: float, e
     for p in range(parts):
         some = queries if parts == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p)
         folded = some.agg(F.collect_list(F.struct("query_id", unit(F.col("query")).alias("q")))).scalar()
-        d = base.withColumn("_q", F.explode(folded)).filter((F.col("_q.query_id") != F.col("vec_id")) & (F.size("_q.q") == F.size("_v")))
-        d = d.select(F.col("_q.query_id").alias("query_id"), *vectors.columns, dot(F.col("_q.q"), F.col("_v")).alias("similarity")).filter(F.col("similarity") >= floor)
+        scored = F.transform(F.filter("_qs", lambda q: (q["query_id"] != F.col("vec_id")) & (F.size(q["q"]) == F.size("_v"))),
+                             lambda q: F.struct(q["query_id"].alias("query_id"), dot(q["q"], F.col("_v")).alias("similarity")))
+        # Only matches leave the row; the scores of all other queries stay inside the expression.
+        d = base.withColumn("_qs", folded).withColumn("_h", F.explode(F.filter(scored, lambda h: h["similarity"] >= floor)))
+        d = d.select(*vectors.columns, "_h.query_id", "_h.similarity")
         d = _ranked(d, k)
         out = d if out is None else out.unionByName(d)
     return out

@@ -433,7 +433,7 @@ fq("round_to_tick", {"ticked": lambda: X.to_tick("entry_price", 0.5)}, {"ticked"
 fq("fee_adjusted_pnl", {"pnl_after": lambda: X.fee_adjusted_pnl("entry_price", "exit_price", "lots", "side", 0.0005, "funding")},
    {"pnl_after": "d * (exit_price - entry_price) * lots * .001::DOUBLE - 2 * .0005::DOUBLE * (lots * entry_price * .001::DOUBLE) - funding * (lots * entry_price * .001::DOUBLE)"}, 10)
 fq("margin_inr", {"margin": lambda: X.margin_second_currency("lots", "entry_price", F.col("order_id") % 5 * 20.5, "lev")},
-   {"margin": "CASE WHEN order_id % 5 > 0 THEN lots * entry_price * .001::DOUBLE / lev * (order_id % 5 * 20.5::DOUBLE) ELSE 0 END"}, 7)
+   {"margin": "CASE WHEN order_id % 5 > 0 THEN lots * entry_price * .001::DOUBLE / lev * (order_id % 5 * 20.5::DOUBLE) ELSE 0 END"}, 9)
 
 
 def _levels(atr):
