@@ -301,7 +301,7 @@ frames("vol_regime", 72, vol_regime, {"vol_ratio_st_lt": "v5 / (v20 + 1e-9)", "v
                                       "vol_regime": f"v20 / (({MED}) + 1e-9)",
                                       "vol_of_vol": f"({std('v20', 20)}) / (({avg('v20', 50)}) + 1e-9)"}, "xv")
 frames("skew_kurt", 21, lambda d, r: I.skew_kurt(r), {"ret_skew_20": agg("skewness", "ret", 20),
-                                                      "ret_kurt_20": f"least(greatest({agg('kurtosis', 'ret', 20)}, -5), 10)"})
+                                                      "ret_kurt_20": f"CASE WHEN {agg('kurtosis', 'ret', 20)} IS NOT NULL THEN least(greatest({agg('kurtosis', 'ret', 20)}, -5), 10) END"})
 CH = f"100 * log10(({sm('tr0', 14)}) / (({mx('high', 14)}) - ({mn('low', 14)}) + 1e-9)) / log10(14)"
 CHC = f"CASE WHEN {CH} IS NOT NULL THEN least(greatest({CH}, 1), 100) END"
 frames("choppiness", 15, lambda d, r: I.choppiness(r), {"chop": CHC, "chop_norm": f"(({CHC}) - 38.2::DOUBLE) / 61.8::DOUBLE"})

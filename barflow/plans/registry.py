@@ -12,6 +12,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
 def cte(name: str, sql: str, uses: tuple[str, ...] = ()) -> None:
+    if name in CTES:
+        raise ValueError(f"CTE {name!r} is defined twice")
     CTES[name] = (uses, sql)
 
 

@@ -74,12 +74,12 @@ def curve(spark, sf):
 
 cte("dy", "SELECT symbol, ts, CAST(sum(round(pnl * 100)::BIGINT) AS BIGINT) / 100.0::DOUBLE AS pnl FROM fills GROUP BY ALL", ("fills",))
 cte("eq", "SELECT *, max(equity) OVER w AS peak, lag(equity) OVER w AS pe, row_number() OVER w AS rn FROM (SELECT *, 20000000 + sum(pnl) OVER w AS equity FROM dy WINDOW w AS (PARTITION BY symbol ORDER BY ts)) WINDOW w AS (PARTITION BY symbol ORDER BY ts)", ("dy",))
-cte("hr", """SELECT symbol, h, last_value(equity IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY h) AS equity FROM (SELECT symbol, unnest(generate_series(min(ts), max(ts), INTERVAL '1 hour')) AS h FROM eq GROUP BY 1) g LEFT JOIN (SELECT symbol AS s2, ts, equity FROM eq) e ON e.s2 = g.symbol AND e.ts = g.h""", ("eq",))
+cte("eqh", """SELECT symbol, h, last_value(equity IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY h) AS equity FROM (SELECT symbol, unnest(generate_series(min(ts), max(ts), INTERVAL '1 hour')) AS h FROM eq GROUP BY 1) g LEFT JOIN (SELECT symbol AS s2, ts, equity FROM eq) e ON e.s2 = g.symbol AND e.ts = g.h""", ("eq",))
 
 
 @query("equity_metrics", """SELECT symbol, round(m / (s + 1e-9) * sqrt(8760), 6) AS sharpe, round(CASE WHEN ln > 2 THEN m / (ld + 1e-9) * sqrt(8760) ELSE 0 END, 6) AS sortino, round(dd, 8) AS max_drawdown, round(le / fe - 1, 8) AS total_return FROM
-  (SELECT symbol, avg(r) AS m, stddev_samp(r) AS s, count(*) FILTER (r < 0) AS ln, stddev_samp(r) FILTER (r < 0) AS ld FROM (SELECT symbol, equity / lag(equity) OVER (PARTITION BY symbol ORDER BY h) - 1 AS r FROM hr) GROUP BY 1)
-  JOIN (SELECT symbol, min(equity / peak - 1) AS dd, arg_min(equity, ts) AS fe, arg_max(equity, ts) AS le FROM eq GROUP BY 1) USING (symbol)""", ("hr", "eq"))
+  (SELECT symbol, avg(r) AS m, stddev_samp(r) AS s, count(*) FILTER (r < 0) AS ln, stddev_samp(r) FILTER (r < 0) AS ld FROM (SELECT symbol, equity / lag(equity) OVER (PARTITION BY symbol ORDER BY h) - 1 AS r FROM eqh) GROUP BY 1)
+  JOIN (SELECT symbol, min(equity / peak - 1) AS dd, arg_min(equity, ts) AS fe, arg_max(equity, ts) AS le FROM eq GROUP BY 1) USING (symbol)""", ("eqh", "eq"))
 def equity_metrics(spark, sf):
     return rounded(P.equity_metrics(curve(spark, sf), ["symbol"]), 6, {"max_drawdown": 8, "total_return": 8})
 
