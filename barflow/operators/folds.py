@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barflow.functions.columns import micros
-from barflow.operators.series import CHUNK, framed, index_series, running
+from barflow.operators.series import CHUNK, TICK_CHUNK, framed, index_series, running
 
 
 def chunk_fold(df: DataFrame, keys: list[str], cols: list[str], summarise: Callable, advance: Callable, emit: Callable,
@@ -61,14 +61,14 @@ def chunk_fold(df: DataFrame, keys: list[str], cols: list[str], summarise: Calla
     return df.join(done, [*keys, idx])
 
 
-def greedy_spacing(df: DataFrame, keys: list[str], gap_us: int, order=("ts",), out: str = "accepted", chunk: int = CHUNK) -> DataFrame:
+def greedy_spacing(df: DataFrame, keys: list[str], gap_us: int, order=("ts",), out: str = "accepted", chunk: int = TICK_CHUNK) -> DataFrame:
     """Accept a row if at least ``gap_us`` has passed since the last accepted one of its key.
 
     A row that far behind its predecessor is accepted whatever came before, so it starts a segment.
     A segment shorter than the gap holds one accepted row; keys with only such segments, the usual case
     for repeated ids, never leave the JVM. The others are folded in chunks.
     """
-    idx = index_series(df, keys, order, name="bar_idx").withColumn("_us", micros(order[0]))
+    idx = index_series(df, keys, order, balanced=True).withColumn("_us", micros(order[0]))
 
     def cuts(d, r):
         prev = r.lag("_us")
@@ -94,10 +94,13 @@ def greedy_spacing(df: DataFrame, keys: list[str], gap_us: int, order=("ts",), o
                 last[i] = last[nxt[i]]
         # The first accepted row lies before chunk start + gap, or is the first one after it.
         k = min(n, int(np.searchsorted(us, us[0] + gap_us, side="left")) + 1)
-        return [us[:k].tolist(), us[last[:k]].tolist(), int(us[-1])]
+        # Neighbours that end at the same row are one entry, named by the latest of them.
+        ends = last[:k]
+        keep = np.r_[ends[1:] != ends[:-1], True]
+        return [us[:k][keep].tolist(), us[ends[keep]].tolist()]
 
     def advance(state, s):
-        at, final, end = s
+        at, final = s
         need = -(2**62) if state is None else state + gap_us
         i = int(np.searchsorted(at, need, side="left"))
         return final[i] if i < len(at) and at[i] >= need else state
@@ -130,13 +133,16 @@ def moving_baseline(indexed: DataFrame, keys: list[str], price: str, threshold:
         path = []
         while i not in memo:
             path.append(i)
-            base = prices[i]
-            ahead = prices[i + 1:]
-            hit = np.flatnonzero(np.abs((ahead - base) / base) >= threshold) if base != 0 else []
-            if len(hit) == 0:
+            base, at, width, nxt = prices[i], i + 1, 64, None
+            while base != 0 and at < len(prices) and nxt is None:
+                hit = np.flatnonzero(np.abs((prices[at:at + width] - base) / base) >= threshold)
+                if len(hit):
+                    nxt = at + int(hit[0])
+                at, width = at + width, width * 2
+            if nxt is None:
                 memo[i] = base
                 break
-            i = i + 1 + int(hit[0])
+            i = nxt
         for j in path:
             memo[j] = memo[i]
         return memo[i]
@@ -218,7 +224,7 @@ def rolling_cap(df: DataFrame, keys: list[str], n: int, window_us: int, order=("
     window passed without any row, sorted by Spark, and streamed through in Arrow batches; memory is n
     times, and tasks follow the segments.
     """
-    idx = index_series(df, keys, order, name="bar_idx").withColumn("_us", micros(order[0]))
+    idx = index_series(df, keys, order, balanced=True).withColumn("_us", micros(order[0]))
     d = framed(idx, lambda x, r: x.withColumn("_cut", r.lag("_us").isNull() | (F.col("_us") - r.lag("_us") >= window_us)), before=1, keys=keys)
     d = running(d, {"_seg": ("max", F.when(F.col("_cut"), F.col("bar_idx")))}, keys, ("bar_idx",))
     d = d.repartition(*keys, "_seg").sortWithinPartitions(*keys, "bar_idx").drop("_cut")

@@ -336,6 +336,5 @@ def canonical(bars: DataFrame, minutes: int, fill: str = "zero", keys=KEYS, extr
 
 def fill_invalid(d: DataFrame, names) -> DataFrame:
     """NULL, NaN and infinities to 0."""
-    inf = float("inf")
-    return d.withColumns({n: F.when(F.col(n).isNull() | F.isnan(n) | (F.abs(F.col(n)) == inf), 0.0)
-                          .otherwise(F.col(n)) for n in names})
+    bad = "`{0}` IS NULL OR isnan(`{0}`) OR abs(`{0}`) = double('Infinity')"
+    return d.withColumns({n: F.expr(f"CASE WHEN {bad.format(n)} THEN 0D ELSE `{n}` END") for n in names})

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from barflow.functions import futures as X
 from barflow.functions.columns import clip, col, div, reasons
-from barflow.operators.series import framed, running, time_bins
+from barflow.operators.series import framed, range_bins, running, time_bins
 
 MONTH = 30 * 86_400
 
@@ -163,13 +163,13 @@ def daily_breach(df: DataFrame, keys, limit: float, value: float, open_positions
 
 def running_performance(df: DataFrame, keys, initial: float, order=("ts", "trade_id")) -> DataFrame:
     """Counters after every trade: count, pnl, win rate, value, worst single-step loss share so far."""
-    bins = time_bins(order[0], MONTH)
+    df, bins = range_bins(df, keys, order, "_rb"), F.col("_rb")
     d = running(df, {"trades": ("count", F.lit(1)), "total_pnl": ("sum", "pnl"), "_w": ("count", F.when(F.col("pnl") > 0, 1))}, keys, order, bins)
     d = d.withColumn("portfolio_value", initial + F.col("total_pnl"))
     before = F.col("portfolio_value") - F.col("pnl")
     d = d.withColumn("_l", F.when(F.col("pnl") < 0, div(-F.col("pnl"), before)).otherwise(0.0))
     d = running(d, {"_m": ("max", "_l")}, keys, order, bins)
-    return d.withColumns({"win_rate": F.col("_w") / F.col("trades"), "max_drawdown": F.greatest("_m", F.lit(0.0))}).drop("_w", "_l", "_m")
+    return d.withColumns({"win_rate": F.col("_w") / F.col("trades"), "max_drawdown": F.greatest("_m", F.lit(0.0))}).drop("_w", "_l", "_m", "_rb")
 
 
 def trailing_stop(bars: DataFrame, keys, mult: float, side: Column, atr: str = "atr", price: str = "close", order=("bar_idx",)) -> DataFrame:

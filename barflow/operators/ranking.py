@@ -1,8 +1,8 @@
 """Exact order statistics without sorting a column in one task.
 
-Values are cut at approximate quantiles into bins of similar size; equal values are merged first, so
-a heavy tie is one row. Ranks inside a bin come from a window over the bin, ranks of whole bins from
-one row per bin. The result is exact whatever the cuts are.
+Equal values are merged first, so a heavy tie is one row. The distinct values are range partitioned
+into bins of even size, which also spreads a hot key. Ranks inside a bin come from a window over the
+bin, ranks of whole bins from one row per bin; the result is exact whatever the bounds are.
 """
 
 from __future__ import annotations
@@ -11,11 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BINS = 256
+from barflow.operators.series import range_bins
 
 
-def ordered_counts(df: DataFrame, value: str, keys: list[str], sums: dict[str, object] | None = None,
-                   bins: int = BINS) -> DataFrame:
+def ordered_counts(df: DataFrame, value: str, keys: list[str], sums: dict[str, object] | None = None) -> DataFrame:
     """Distinct values with their count and the counts before them: keys, value, n, before, total.
 
     ``sums`` adds columns: name -> numeric column; each also gets ``<name>_before`` and ``<name>_total``.
@@ -25,14 +24,7 @@ def ordered_counts(df: DataFrame, value: str, keys: list[str], sums: dict[str, o
     rows = df.filter(v.isNotNull() & ~F.isnan(v)).select(*keys, v.cast("double").alias("value"), *[
         (e if not isinstance(e, str) else F.col(e)).alias(f"_x_{s}") for s, e in sums.items()])
     distinct = rows.groupBy(*keys, "value").agg(*[F.sum(f"_x_{s}").alias(s) for s in sums])
-    probs = [k / bins for k in range(1, bins)]
-    # Cuts only balance the bins, so a cheap sketch is enough; its size is fixed by ``bins``.
-    cuts = rows.groupBy(*keys).agg(F.percentile_approx("value", probs, 2000).alias("_cuts"))
-    if keys:
-        placed = distinct.join(cuts, keys)
-    else:
-        placed = distinct.withColumn("_cuts", cuts.scalar())
-    placed = placed.withColumn("_bin", F.size(F.filter("_cuts", lambda c: c < F.col("value")))).drop("_cuts")
+    placed = range_bins(distinct, keys, ["value"])
     whole = placed.groupBy(*keys, "_bin").agg(*[F.sum(s).alias(f"_w_{s}") for s in sums])
     order = Window.partitionBy(*keys).orderBy("_bin")
     ahead = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -46,9 +38,9 @@ def ordered_counts(df: DataFrame, value: str, keys: list[str], sums: dict[str, o
                       "total", *[f"{s}_total" for s in sums if s != "n"])
 
 
-def quantiles(df: DataFrame, value: str, probs: dict[str, float], keys: list[str], bins: int = BINS) -> DataFrame:
+def quantiles(df: DataFrame, value: str, probs: dict[str, float], keys: list[str]) -> DataFrame:
     """Exact linearly interpolated quantiles per key: one output column per entry of ``probs``."""
-    c = ordered_counts(df, value, keys, bins=bins)
+    c = ordered_counts(df, value, keys)
     first, last = F.col("before"), F.col("before") + F.col("n") - 1
     out = []
     for name, p in probs.items():

@@ -20,16 +20,36 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from barflow.functions.columns import col, micros
+from barflow.session import stage
 
 KEYS = ("symbol", "timeframe")
 CHUNK = 1024
+# Chunk of tick and trade series, which are far longer than bar series.
+TICK_CHUNK = 65_536
 DAY = 86_400
 
 
+def range_bins(df: DataFrame, keys, order, name: str = "_bin") -> DataFrame:
+    """Cut rows into bins of even size along (keys, order), so that a hot key spreads over many bins.
+
+    The bin is the partition of a range repartitioning. Its bounds come from a sample, so the result is
+    materialised before several passes read it.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stage(df.repartitionByRange(n, *keys, *order).withColumn(name, F.spark_partition_id()))
+
+
 def index_series(df: DataFrame, keys=KEYS, order=("bar_ts",), bin_seconds: int = DAY,
-                 name: str = "bar_idx") -> DataFrame:
-    """Add a dense 0-based row number per key. The first order column must be a timestamp."""
-    binned = df.withColumn("_bin", F.floor(micros(order[0]) / F.lit(bin_seconds * 1_000_000)))
+                 name: str = "bar_idx", balanced: bool = False) -> DataFrame:
+    """Add a dense 0-based row number per key.
+
+    Bars have a bounded number of rows per time bin (the first order column must then be a timestamp);
+    ticks and trades have not: ``balanced`` cuts them into range bins instead.
+    """
+    if balanced:
+        binned = range_bins(df, keys, order)
+    else:
+        binned = df.withColumn("_bin", F.floor(micros(order[0]) / F.lit(bin_seconds * 1_000_000)))
     sizes = binned.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_bin", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
@@ -150,51 +170,43 @@ def scan(df: DataFrame, specs: list[Linear], keys=KEYS, chunk: int = CHUNK,
     table of ends is ``chunk`` times smaller than the series. Inputs are dense after the seed row.
     """
     mid = chunk // 2
-    pos = F.col("_pos")
+    key_list = ", ".join(f"`{k}`" for k in keys)
 
-    def weighted(s: Linear) -> Column:
-        x = F.coalesce(F.col(s.x).cast("double"), F.lit(0.0))
+    def weighted(s: Linear) -> str:
+        x = f"coalesce(cast(`{s.x}` AS double), 0D)"
         if s.seed is None:
-            return x * F.lit(s.gain)
-        return F.when(F.col(idx) == s.seed, x).when(F.col(idx) > s.seed, x * F.lit(s.gain)).otherwise(0.0)
+            return f"{x} * {s.gain!r}D"
+        return f"CASE WHEN `{idx}` = {s.seed} THEN {x} WHEN `{idx}` > {s.seed} THEN {x} * {s.gain!r}D ELSE 0D END"
 
-    def power(s: Linear, exponent: Column) -> Column:
-        return F.lit(1.0) if s.decay == 1.0 else F.pow(F.lit(s.decay), exponent.cast("double"))
+    def power(s: Linear, exponent: str) -> str:
+        return "1D" if s.decay == 1.0 else f"pow({s.decay!r}D, cast({exponent} AS double))"
 
-    based = (
-        df.withColumn("_blk", F.floor(F.col(idx) / F.lit(chunk)))
-        .withColumn("_pos", F.col(idx) - F.col("_blk") * chunk)
-    )
+    based = df.selectExpr("*", f"`{idx}` div {chunk} AS _blk", f"`{idx}` % {chunk} AS _pos")
     ends = based.groupBy(*keys, "_blk").agg(
-        *[F.sum(weighted(s) * power(s, F.lit(chunk - 1) - pos)).alias(f"_e{i}") for i, s in enumerate(specs)]
-    )
-    by_block = Window.partitionBy(*keys).orderBy("_blk")
-    earlier = by_block.rowsBetween(Window.unboundedPreceding, -1)
+        *[F.expr(f"sum(({weighted(s)}) * {power(s, f'{chunk - 1} - _pos')})").alias(f"_e{i}") for i, s in enumerate(specs)])
+    by_block = f"(PARTITION BY {key_list} ORDER BY _blk"
 
-    def carry(i: int, s: Linear) -> Column:
+    def carry(i: int, s: Linear) -> str:
         if s.decay == 1.0:
-            return F.coalesce(F.sum(f"_e{i}").over(earlier), F.lit(0.0))
+            return f"coalesce(sum(_e{i}) OVER {by_block} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0D)"
         reach = max(1, math.ceil(math.log(_NEGLIGIBLE) / (chunk * math.log(s.decay))) + 1)
-        parts = [
-            F.coalesce(F.lag(f"_e{i}", k).over(by_block), F.lit(0.0)) * F.lit(s.decay ** (chunk * (k - 1)))
-            for k in range(1, reach + 1)
-        ]
-        return sum(parts[1:], parts[0])
-
-    carries = ends.select(*keys, "_blk", *[carry(i, s).alias(f"_c{i}") for i, s in enumerate(specs)])
-    inside = (Window.partitionBy(*keys, "_blk").orderBy(idx)
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = based.select(
-        "*", *[F.sum(weighted(s) * power(s, F.lit(mid) - pos)).over(inside).alias(f"_s{i}")
-               for i, s in enumerate(specs)]
-    ).join(carries, [*keys, "_blk"])
-    for i, s in enumerate(specs):
-        y = F.col(f"_s{i}") * power(s, pos - mid) + F.col(f"_c{i}") * power(s, pos + 1)
-        if s.seed is not None:
-            y = F.when(F.col(idx) == s.seed, F.col(s.x).cast("double")).when(F.col(idx) > s.seed, y)
-        out = out.withColumn(s.name, y)
-    return out.drop("_blk", "_pos", *[f"_s{i}" for i in range(len(specs))],
-                    *[f"_c{i}" for i in range(len(specs))])
+        return " + ".join(f"coalesce(lag(_e{i}, {k}) OVER {by_block}), 0D) * {s.decay ** (chunk * (k - 1))!r}D"
+                          for k in range(1, reach + 1))
+
+    carries = ends.selectExpr(*keys, "_blk", *[f"{carry(i, s)} AS _c{i}" for i, s in enumerate(specs)])
+    inside = f"(PARTITION BY {key_list}, _blk ORDER BY `{idx}` ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    local = based.selectExpr("*", *[f"sum(({weighted(s)}) * {power(s, f'{mid} - _pos')}) OVER {inside} AS _s{i}"
+                                    for i, s in enumerate(specs)])
+
+    def value(i: int, s: Linear) -> str:
+        y = f"_s{i} * {power(s, f'_pos - {mid}')} + _c{i} * {power(s, '_pos + 1')}"
+        if s.seed is None:
+            return y
+        return f"CASE WHEN `{idx}` = {s.seed} THEN cast(`{s.x}` AS double) WHEN `{idx}` > {s.seed} THEN {y} END"
+
+    kept = [c for c in df.columns if c not in {s.name for s in specs}]
+    return local.join(carries, [*keys, "_blk"]).selectExpr(
+        *[f"`{c}`" for c in kept], *[f"{value(i, s)} AS `{s.name}`" for i, s in enumerate(specs)])
 
 
 def ema_adjusted(df: DataFrame, items: dict[str, tuple[str, float]], seed: int = 0, keys=KEYS,
@@ -236,9 +248,8 @@ def running(df: DataFrame, items: dict[str, tuple[str, object]], keys=KEYS, orde
     """
     bins = F.floor(F.col("bar_idx") / F.lit(CHUNK)) if bins is None else bins
     keys = list(keys)
-    df = df.withColumn("_bin", bins)
-    for i, (_, c) in enumerate(items.values()):
-        df = df.withColumn(f"_v{i}", col(c))
+    own = [c for c in df.columns if c not in items]
+    df = df.select("*", bins.alias("_bin"), *[col(c).alias(f"_v{i}") for i, (_, c) in enumerate(items.values())])
     kinds = [k for k, _ in items.values()]
 
     def whole(i, kind):
@@ -257,9 +268,8 @@ def running(df: DataFrame, items: dict[str, tuple[str, object]], keys=KEYS, orde
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = df.select("*", *[_RUN[k][0](F.col(f"_v{i}")).over(inside).alias(f"_l{i}") for i, k in enumerate(kinds)])
     out = out.join(carries, [*keys, "_bin"])
-    for i, (name, (kind, _)) in enumerate(items.items()):
-        out = out.withColumn(name, _RUN[kind][1](F.col(f"_c{i}"), F.col(f"_l{i}")))
-    return out.drop("_bin", *[f"_{p}{i}" for p in "vlc" for i in range(len(kinds))])
+    return out.select(*own,
+                      *[_RUN[kind][1](F.col(f"_c{i}"), F.col(f"_l{i}")).alias(name) for i, (name, (kind, _)) in enumerate(items.items())])
 
 
 def time_bins(ts: str, seconds: int = DAY) -> Column:

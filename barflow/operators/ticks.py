@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from barflow.functions import futures as X
 from barflow.functions.columns import col, micros
 from barflow.operators import folds
-from barflow.operators.series import framed, index_series
+from barflow.operators.series import TICK_CHUNK, framed, index_series
 
 ORDER = ("ts", "event_id")
 
 
 def throttle(ticks: DataFrame, min_gap_us: int, change: float, force_us: int, keys=("symbol",)) -> DataFrame:
     """Ticks worth showing: first always; none within the gap of the last received one; then a change or a long silence."""
-    idx = index_series(ticks, keys, ORDER)
+    idx = index_series(ticks, keys, ORDER, balanced=True)
 
     def build(d, r):
         us = micros("ts")
@@ -28,7 +28,7 @@ def throttle(ticks: DataFrame, min_gap_us: int, change: float, force_us: int, ke
 
 def fluctuations(ticks: DataFrame, threshold_pct: float, keys=("symbol",)) -> DataFrame:
     """Events where the price departs from the moving baseline by the threshold."""
-    d = folds.moving_baseline(index_series(ticks, keys, ORDER), list(keys), "price", threshold_pct / 100.0)
+    d = folds.moving_baseline(index_series(ticks, keys, ORDER, balanced=True), list(keys), "price", threshold_pct / 100.0, chunk=TICK_CHUNK)
     change = F.abs(F.try_divide(F.col("price") - F.col("baseline"), "baseline")) * 100
     return d.withColumn("change_pct", change).filter(F.abs(F.try_divide(F.col("price") - F.col("baseline"), "baseline")) >= threshold_pct / 100.0).drop("bar_idx")
 
@@ -63,6 +63,7 @@ def split_stale(signals: DataFrame, seconds: float, event: str, received: str) -
 
 
 def mark_positions(ticks: DataFrame, positions: DataFrame) -> DataFrame:
-    """Open positions at each tick of their symbol; the position side is the static one."""
-    d = ticks.join(positions.filter(F.col("status") == "OPEN"), "symbol")
+    """Open positions at the newest price of their symbol: ticks reduce to one row per symbol first."""
+    price = latest(ticks).select("symbol", F.col("ts").alias("marked_at"), "price")
+    d = positions.filter(F.col("status") == "OPEN").join(price, "symbol")
     return d.withColumn("unrealized", X.gross_pnl("entry_price", "price", "quantity", "side"))

@@ -111,14 +111,14 @@ def latest_tick(spark, sf):
     return T.latest(D.ticks(spark, sf)).select("symbol", "ts", "price", "volume")
 
 
-@query("mark_positions", """SELECT event_id, account, round((CASE WHEN s = 'BUY' THEN 1 ELSE -1 END) * (price - e) * q * .001::DOUBLE, 8) AS unrealized FROM ticks JOIN
-  (SELECT c_custkey AS account, CASE c_nationkey % 5 WHEN 0 THEN 'view' WHEN 1 THEN 'click' WHEN 2 THEN 'error' WHEN 3 THEN 'signup' ELSE 'purchase' END AS symbol, CASE WHEN c_acctbal > 0 THEN 'BUY' ELSE 'SELL' END AS s, abs(c_acctbal) / 100 AS e, c_nationkey + 1 AS q FROM customer WHERE c_custkey % 50 = 0) USING (symbol)""", ("ticks",))
+@query("mark_positions", """SELECT account, marked_at, round((CASE WHEN s = 'BUY' THEN 1 ELSE -1 END) * (price - e) * q * .001::DOUBLE, 8) AS unrealized FROM (SELECT symbol, max(ts) AS marked_at, arg_max(price, (ts, event_id)) AS price FROM ticks GROUP BY 1) JOIN
+  (SELECT c_custkey AS account, CASE c_nationkey % 5 WHEN 0 THEN 'view' WHEN 1 THEN 'click' WHEN 2 THEN 'error' WHEN 3 THEN 'signup' ELSE 'purchase' END AS symbol, CASE WHEN c_acctbal > 0 THEN 'BUY' ELSE 'SELL' END AS s, abs(c_acctbal) / 100 AS e, c_nationkey + 1 AS q FROM customer) USING (symbol)""", ("ticks",))
 def mark_positions(spark, sf):
     k = F.col("c_nationkey") % 5
     symbol = F.when(k == 0, "view").when(k == 1, "click").when(k == 2, "error").when(k == 3, "signup").otherwise("purchase")
-    p = D.table(spark, sf, "customer").filter("c_custkey % 50 = 0").select(F.col("c_custkey").alias("account"), symbol.alias("symbol"), F.when(F.col("c_acctbal") > 0, "BUY").otherwise("SELL").alias("side"),
-                                                                         (F.abs("c_acctbal") / 100).alias("entry_price"), (F.col("c_nationkey") + 1).alias("quantity"), F.lit("OPEN").alias("status"))
-    return rounded(T.mark_positions(D.ticks(spark, sf), p).select("event_id", "account", "unrealized"), 8)
+    p = D.table(spark, sf, "customer").select(F.col("c_custkey").alias("account"), symbol.alias("symbol"), F.when(F.col("c_acctbal") > 0, "BUY").otherwise("SELL").alias("side"),
+                                              (F.abs("c_acctbal") / 100).alias("entry_price"), (F.col("c_nationkey") + 1).alias("quantity"), F.lit("OPEN").alias("status"))
+    return rounded(T.mark_positions(D.ticks(spark, sf), p).select("account", "marked_at", "unrealized"), 8)
 
 
 def _streaming_features():

@@ -118,17 +118,21 @@ def ledger_counts(spark, sf):
     return G.line_counts(ledger_lines(spark, sf))
 
 
-@query("reconcile_ledger", """SELECT trade_id, CASE WHEN l IS NULL THEN 'table_only' WHEN t IS NULL THEN 'ledger_only' ELSE 'matched' END AS state FROM (SELECT trade_id, 1 AS l FROM fills WHERE order_id % 10 <> 0) FULL JOIN (SELECT trade_id, 1 AS t FROM fills WHERE order_id % 7 <> 0) USING (trade_id)""", ("fills",))
+@query("reconcile_ledger", """SELECT trade_id, CASE WHEN l IS NULL THEN 'table_only' WHEN t IS NULL THEN 'ledger_only' ELSE 'matched' END AS state FROM (SELECT trade_id, 1 AS l FROM fills WHERE confidence < .9) FULL JOIN (SELECT trade_id, 1 AS t FROM fills WHERE side = 'BUY') USING (trade_id)""", ("fills",))
 def reconcile_ledger(spark, sf):
     f = D.fills(spark, sf)
-    return L.reconcile_ledger(f.filter("order_id % 10 <> 0"), f.filter("order_id % 7 <> 0"))
+    return L.reconcile_ledger(f.filter("confidence < 0.9"), f.filter("side = 'BUY'"))
 
 
-@query("reconcile_approvals", """SELECT id, 'orphan' AS kind FROM (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 2 = 0 EXCEPT (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0 UNION SELECT o_orderkey FROM orders WHERE o_orderkey % 5 = 0 UNION SELECT o_orderkey FROM orders WHERE o_orderkey % 7 = 0))
-  UNION ALL SELECT id, 'unexpected_fill' FROM (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 3 = 0 EXCEPT SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0)""")
+APPROVED, FILLED, REJECTED, FAILED = "o_orderstatus <> 'P'", "l_returnflag = 'N'", "l_linestatus = 'O' AND l_returnflag = 'R'", "l_linenumber = 7"
+
+
+@query("reconcile_approvals", f"""SELECT id, 'orphan' AS kind FROM (SELECT o_orderkey AS id FROM orders WHERE {APPROVED} EXCEPT (SELECT l_orderkey FROM lineitem WHERE {FILLED} UNION SELECT l_orderkey FROM lineitem WHERE {REJECTED} UNION SELECT l_orderkey FROM lineitem WHERE {FAILED}))
+  UNION ALL SELECT id, 'unexpected_fill' FROM (SELECT l_orderkey AS id FROM lineitem WHERE {FILLED} EXCEPT SELECT o_orderkey FROM orders WHERE {APPROVED})""")
 def reconcile_approvals(spark, sf):
-    o = D.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
-    return L.reconcile_sets(*[o.filter(F.col("id") % n == 0) for n in (2, 3, 5, 7)], "id")
+    o, l = D.table(spark, sf, "orders"), D.table(spark, sf, "lineitem")
+    line = lambda cond: l.filter(cond).select(F.col("l_orderkey").alias("id"))
+    return L.reconcile_sets(o.filter(APPROVED).select(F.col("o_orderkey").alias("id")), line(FILLED), line(REJECTED), line(FAILED), "id")
 
 
 @query("audit_sink", """SELECT trade_id AS request_id, model AS model_version, CAST(round(confidence / 3, 4) AS DECIMAL(5, 4)) AS confidence, CAST(floor(quantity * 700 / 3) / 100 AS DECIMAL(12, 2)) AS latency_ms, 'T' || order_id AS outcome_reference FROM fills""", ("fills",))
@@ -139,13 +143,13 @@ def audit_sink(spark, sf):
                                      (F.floor(F.col("quantity") * 700 / 3) / 100).alias("latency_ms"), F.concat(F.lit("T"), "order_id").alias("outcome_reference")))
 
 
-@query("trade_insert", """SELECT trade_id, symbol, side, quantity, entry_price AS price FROM (SELECT * REPLACE (CASE WHEN order_id % 23 = 0 THEN 'HOLD' ELSE side END AS side, CASE WHEN order_id % 29 = 0 THEN 0 ELSE quantity END AS quantity) FROM fills WHERE order_id % 2 = 0)
-  WHERE side IN ('BUY', 'SELL') AND quantity > 0 AND entry_price > 0 AND trade_id NOT IN (SELECT trade_id FROM fills WHERE order_id % 3 = 0)""", ("fills",))
+@query("trade_insert", """SELECT trade_id, symbol, side, quantity, entry_price AS price FROM (SELECT * REPLACE (CASE WHEN order_id % 23 = 0 THEN 'HOLD' ELSE side END AS side, CASE WHEN order_id % 29 = 0 THEN 0 ELSE quantity END AS quantity) FROM fills WHERE confidence < .8)
+  WHERE side IN ('BUY', 'SELL') AND quantity > 0 AND entry_price > 0 AND trade_id NOT IN (SELECT trade_id FROM fills WHERE model LIKE '%N')""", ("fills",))
 def trade_insert(spark, sf):
     from barflow.sources.sinks import new_trades
     f = D.fills(spark, sf).withColumn("price", F.col("entry_price"))
-    batch = f.filter("order_id % 2 = 0").withColumns({"side": F.when(F.col("order_id") % 23 == 0, "HOLD").otherwise(F.col("side")), "quantity": F.when(F.col("order_id") % 29 == 0, 0.0).otherwise(F.col("quantity"))})
-    return new_trades(batch, f.filter("order_id % 3 = 0")).select("trade_id", "symbol", "side", "quantity", "price")
+    batch = f.filter("confidence < 0.8").withColumns({"side": F.when(F.col("order_id") % 23 == 0, "HOLD").otherwise(F.col("side")), "quantity": F.when(F.col("order_id") % 29 == 0, 0.0).otherwise(F.col("quantity"))})
+    return new_trades(batch, f.filter("model LIKE '%N'")).select("trade_id", "symbol", "side", "quantity", "price")
 
 
 # event envelopes --------------------------------------------------------------------------------

@@ -229,12 +229,13 @@ def prediction_outcome(spark, sf):
 
 # similarity -------------------------------------------------------------------------------------
 
-SIM = """SELECT q.vec_id AS query_id, e.vec_id, e.label, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS sim FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0"""
+SIM = """SELECT q.vec_id AS query_id, e.vec_id, e.label, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS sim FROM (SELECT max(vec_id) AS vec_id, arg_max(embedding, vec_id) AS embedding FROM embeddings GROUP BY label) q JOIN embeddings e ON q.vec_id <> e.vec_id"""
 
 
 def queries_of(spark, sf):
+    """The newest context of each label, looked up in the whole memory."""
     e = D.table(spark, sf, "embeddings")
-    return e.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), e
+    return e.groupBy("label").agg(F.max("vec_id").alias("query_id"), F.max_by("embedding", "vec_id").alias("query")).drop("label"), e
 
 
 @query("similar_topk", f"SELECT query_id, vec_id, round(sim, 6) AS similarity FROM ({SIM}) WHERE sim >= .1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) <= 5")

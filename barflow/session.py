@@ -18,6 +18,7 @@ def local_session(cpus: str = "8", app: str = "barflow") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", os.environ.get("BARFLOW_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
