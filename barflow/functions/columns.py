@@ -64,6 +64,15 @@ def micros(ts) -> Column:
     return F.unix_micros(col(ts).cast("timestamp"))
 
 
+def moment(ts, tie) -> Column:
+    """One ordered number of a time and a tie-breaking id (taken modulo 10^18).
+
+    Unlike a struct it is a fixed-width value, so min_by / max_by over it stay in the hash aggregate.
+    """
+    late = micros(ts).cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)")
+    return (late + F.pmod(col(tie), F.lit(10**18)).cast("decimal(18,0)")).cast("decimal(38,0)")
+
+
 def bucket_start(ts, seconds: int) -> Column:
     """Left-closed bucket start of a timestamp."""
     width = seconds * 1_000_000

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barflow.functions.columns import bucket_end, bucket_start, micros
+from barflow.functions.columns import bucket_end, bucket_start, micros, moment
 from barflow.operators.series import KEYS, framed, index_series
 
 # Bar length names and their seconds.
@@ -36,7 +36,7 @@ def bucket_start_ntz(ts, seconds: int) -> Column:
 
 def bars_from_ticks(ticks: DataFrame, seconds: int) -> DataFrame:
     """Left-closed OHLCV bars. One shuffle, partial aggregation; equal times are split by event_id."""
-    at = F.struct("ts", "event_id")
+    at = moment("ts", "event_id")
     return ticks.groupBy(
         "symbol", F.lit(_NAMES[seconds]).alias("timeframe"), bucket_start_ntz("ts", seconds).alias("bar_ts")
     ).agg(
@@ -61,14 +61,14 @@ def upsert(stored: DataFrame, batch: DataFrame, keys=(*KEYS, "bar_ts")) -> DataF
             .unionByName(batch.select(*cols, F.lit(1).alias("_new"),
                                       (F.col("seq") if "seq" in batch.columns else F.lit(0)).cast("bigint")
                                       .alias("_seq"))))
-    best = F.max_by(F.struct(*OHLCV), F.struct("_new", "_seq")).alias("_r")
-    return both.groupBy(*keys).agg(best).select(*keys, "_r.*")
+    newest = F.shiftleft(F.col("_new").cast("bigint"), 62) + F.col("_seq")
+    return both.groupBy(*keys).agg(*[F.max_by(c, newest).alias(c) for c in OHLCV])
 
 
 def first_per_time(rows: DataFrame, keys, order: Column) -> DataFrame:
     """Drop repeated (keys); the first by ``order`` stays. Aggregates map-side, no sort."""
     rest = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*")
+    return rows.groupBy(*keys).agg(*[F.min_by(c, order).alias(c) for c in rest])
 
 
 def from_exchange_rows(rows: DataFrame, keys=KEYS, seq: str = "seq") -> DataFrame:

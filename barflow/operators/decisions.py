@@ -52,8 +52,10 @@ def extract(df: DataFrame, context: str = "context") -> DataFrame:
 
 def by_timeframe(df: DataFrame, keys, order: str, frames) -> DataFrame:
     """One struct column per timeframe, the latest prediction of each; aggregates map-side."""
-    value = F.struct("signal", "conf", "buy", "sell")
-    return df.groupBy(*keys).agg(*[F.max_by(value, F.when(F.col("tf") == t, F.col(order))).alias(f"tf_{t}") for t in frames])
+    fields = ("signal", "conf", "buy", "sell")
+    at = {t: F.when(F.col("tf") == t, F.col(order)) for t in frames}
+    flat = df.groupBy(*keys).agg(*[F.max_by(f, at[t]).alias(f"_{t}_{f}") for t in frames for f in fields], *[F.max(at[t]).alias(f"_{t}") for t in frames])
+    return flat.select(*keys, *[F.when(F.col(f"_{t}").isNotNull(), F.struct(*[F.col(f"_{t}_{f}").alias(f) for f in fields])).alias(f"tf_{t}") for t in frames])
 
 
 def _first(frames_col, order, fallback) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from barflow.functions import futures as X
 from barflow.functions.columns import clip, col, div, reasons
 from barflow.operators.series import framed, range_bins, running, time_bins
+from barflow.session import stage
 
 MONTH = 30 * 86_400
 
@@ -168,7 +169,7 @@ def running_performance(df: DataFrame, keys, initial: float, order=("ts", "trade
     d = d.withColumn("portfolio_value", initial + F.col("total_pnl"))
     before = F.col("portfolio_value") - F.col("pnl")
     d = d.withColumn("_l", F.when(F.col("pnl") < 0, div(-F.col("pnl"), before)).otherwise(0.0))
-    d = running(d, {"_m": ("max", "_l")}, keys, order, bins)
+    d = running(stage(d), {"_m": ("max", "_l")}, keys, order, bins)
     return d.withColumns({"win_rate": F.col("_w") / F.col("trades"), "max_drawdown": F.greatest("_m", F.lit(0.0))}).drop("_w", "_l", "_m", "_rb")
 
 

@@ -254,7 +254,7 @@ def running(df: DataFrame, items: dict[str, tuple[str, object]], keys=KEYS, orde
 
     def whole(i, kind):
         if kind == "last":
-            at = F.struct(*[F.col(o) for o in order])
+            at = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(o) for o in order])
             return F.max_by(f"_v{i}", F.when(F.col(f"_v{i}").isNotNull(), at))
         return _RUN[kind][0](F.col(f"_v{i}"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barflow.functions import futures as X
-from barflow.functions.columns import col, micros
+from barflow.functions.columns import col, micros, moment
 from barflow.operators import folds
 from barflow.operators.series import TICK_CHUNK, framed, index_series
 
@@ -53,7 +53,7 @@ def hourly_cap(signals: DataFrame, n: int, keys=("symbol",), order=ORDER, breako
 
 def latest(ticks: DataFrame, keys=("symbol",), order=ORDER) -> DataFrame:
     rest = [c for c in ticks.columns if c not in keys]
-    return ticks.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
+    return ticks.groupBy(*keys).agg(*[F.max_by(c, moment(*order)).alias(c) for c in rest])
 
 
 def split_stale(signals: DataFrame, seconds: float, event: str, received: str) -> tuple[DataFrame, DataFrame]:

@@ -114,7 +114,7 @@ def buy_hold(spark, sf):
 @query("running_performance", """SELECT trade_id, trades, round(total_pnl, 2) AS total_pnl, round(w / trades, 8) AS win_rate, round(pv, 2) AS portfolio_value, round(greatest(0, max(CASE WHEN pnl < 0 THEN -pnl / (pv - pnl) ELSE 0 END) OVER (PARTITION BY symbol ORDER BY ts, trade_id)), 8) AS max_drawdown FROM
   (SELECT *, 20000000 + total_pnl AS pv FROM (SELECT *, count(*) OVER w AS trades, sum(pnl) OVER w AS total_pnl, count(*) FILTER (pnl > 0) OVER w AS w FROM fills WINDOW w AS (PARTITION BY symbol ORDER BY ts, trade_id)))""", ("fills",))
 def running_performance(spark, sf):
-    d = P.running_performance(D.fills(spark, sf), ["symbol"], START * 20)
+    d = P.running_performance(D.fills(spark, sf).select("symbol", "ts", "trade_id", "pnl"), ["symbol"], START * 20)
     return rounded(d.select("trade_id", "trades", "total_pnl", "win_rate", "portfolio_value", "max_drawdown"), 8, {"total_pnl": 2, "portfolio_value": 2})
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barflow.functions.columns import moment
 from barflow.operators.bars import _NAMES
 
 
@@ -15,7 +16,7 @@ def watermarked(df: DataFrame, ts: str, delay: str) -> DataFrame:
 def closed_bars(ticks: DataFrame, seconds: int, delay: str = "1 minute") -> DataFrame:
     """Tumbling bars; in append mode each is emitted once, when the watermark passes its end."""
     w = F.window("ts", f"{seconds} seconds")
-    at = F.struct("ts", "event_id")
+    at = moment("ts", "event_id")
     return watermarked(ticks, "ts", delay).groupBy("symbol", w).agg(
         F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"),
         F.sum("volume").alias("volume"), F.count(F.lit(1)).alias("n")).select("symbol", F.lit(_NAMES[seconds]).alias("timeframe"), F.col("window.start").alias("bar_ts"),
@@ -24,7 +25,7 @@ def closed_bars(ticks: DataFrame, seconds: int, delay: str = "1 minute") -> Data
 
 def stats_24h(ticks: DataFrame, length: str = "24 hours", slide: str = "1 minute", delay: str = "1 minute") -> DataFrame:
     """Sliding 24-hour open, high, low, close and change per symbol."""
-    at = F.struct("ts", "event_id")
+    at = moment("ts", "event_id")
     d = watermarked(ticks, "ts", delay).groupBy("symbol", F.window("ts", length, slide)).agg(
         F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.sum("volume").alias("volume"))
     return d.select("symbol", F.col("window.end").alias("at"), "open", "high", "low", "close", "volume", (F.try_divide(F.col("close") - F.col("open"), "open") * 100).alias("change_pct"))
