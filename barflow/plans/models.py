@@ -186,6 +186,11 @@ def strategy_params(spark, sf):
 # decisions --------------------------------------------------------------------------------------
 
 
+# One number per line item that orders the predictions of a slot.
+RANK = ("l_linenumber * CAST(1000000000000000 AS BIGINT) + l_partkey * 1000000000 + l_suppkey * 100000 + CAST(l_quantity AS BIGINT) * 1000 "
+        "+ CAST(round(l_discount * 100) AS BIGINT) * 10 + CAST(round(l_tax * 100) AS BIGINT)")
+
+
 def preds(spark, sf):
     li = D.table(spark, sf, "lineitem")
     p2 = lambda e: F.round(e, 2)
@@ -193,14 +198,14 @@ def preds(spark, sf):
     tf = F.when(F.col("l_linenumber") % 3 == 0, "3m").when(F.col("l_linenumber") % 3 == 1, "5m").otherwise("15m")
     conf = p2(0.5 + F.col("l_quantity") / 100)
     d = li.select(F.col("l_orderkey").alias("order_id"), F.concat(F.lit("M_BTC_"), F.upper(tf)).alias("model_name"), p2((F.col("l_discount") - 0.05) * 20).alias("prediction"),
-                  conf.alias("confidence"), (F.col("l_linenumber") * 10**12 + F.col("l_partkey") * 10**6 + F.col("l_suppkey")).alias("rank"), "l_partkey", "l_quantity", buy.alias("_b"), sell.alias("_s"))
+                  conf.alias("confidence"), F.expr(RANK).alias("rank"), "l_partkey", "l_quantity", buy.alias("_b"), sell.alias("_s"))
     body = F.to_json(F.struct(F.when(F.col("l_partkey") % 7 != 0, p2(F.col("_b") - F.col("_s"))).alias("entry_signal"), F.when(F.col("l_partkey") % 7 != 0, p2(F.col("confidence") - 0.01)).alias("entry_confidence"),
                               F.struct(F.col("_s").alias("sell"), F.lit(0.1).alias("hold"), F.col("_b").alias("buy")).alias("entry_proba"), F.lit("v15_pipeline").alias("format")))
     return d.withColumn("context", F.when(F.col("l_partkey") % 5 != 0, body)).drop("_b", "_s")
 
 
-cte("pr0", """SELECT l_orderkey AS order_id, CASE l_linenumber % 3 WHEN 0 THEN '3m' WHEN 1 THEN '5m' ELSE '15m' END AS tf, round((l_discount - .05::DOUBLE) * 20, 2) AS prediction, round(.5::DOUBLE + l_quantity / 100, 2) AS confidence,
-  l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey AS rank, l_partkey, l_quantity, round(l_discount * 8, 2) AS b0, round(l_tax * 8, 2) AS s0 FROM lineitem""")
+cte("pr0", f"""SELECT l_orderkey AS order_id, CASE l_linenumber % 3 WHEN 0 THEN '3m' WHEN 1 THEN '5m' ELSE '15m' END AS tf, round((l_discount - .05::DOUBLE) * 20, 2) AS prediction, round(.5::DOUBLE + l_quantity / 100, 2) AS confidence,
+  {RANK} AS rank, l_partkey, l_quantity, round(l_discount * 8, 2) AS b0, round(l_tax * 8, 2) AS s0 FROM lineitem""")
 cte("pr", """SELECT *, CASE WHEN l_partkey % 5 <> 0 AND l_partkey % 7 <> 0 THEN round(b0 - s0, 2) ELSE prediction END AS signal, CASE WHEN l_partkey % 5 <> 0 AND l_partkey % 7 <> 0 THEN least(round(confidence - .01::DOUBLE, 2), 1) ELSE least(confidence, 1) END AS conf,
   CASE WHEN l_partkey % 5 <> 0 THEN b0 END AS buy, CASE WHEN l_partkey % 5 <> 0 THEN s0 END AS sell FROM pr0""", ("pr0",))
 
@@ -289,7 +294,7 @@ def primary_prediction(spark, sf):
 
 @query("ensemble_edge", "SELECT order_id, rank, round(CASE WHEN (prediction > 0 AND b0 - s0 > 0) OR (prediction < 0 AND b0 - s0 < 0) THEN abs(prediction) * (b0 - s0) ELSE 0 END, 8) AS edge FROM pr", ("pr",))
 def ensemble_edge(spark, sf):
-    src = D.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("order_id"), (F.col("l_linenumber") * 10**12 + F.col("l_partkey") * 10**6 + F.col("l_suppkey")).alias("rank"),
+    src = D.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("order_id"), F.expr(RANK).alias("rank"),
                                                 F.round((F.col("l_discount") - 0.05) * 20, 2).alias("reg"), F.round(F.col("l_discount") * 8, 2).alias("b"), F.round(F.col("l_tax") * 8, 2).alias("s"))
     return rounded(src.select("order_id", "rank", A.ensemble_edge("reg", "b", "s").alias("edge")), 8)
 
