@@ -12,7 +12,7 @@ from barflow.operators import quality as Q
 from barflow.operators import regimes as R
 from barflow.operators import series as S
 from barflow.plans import domain as D
-from barflow.plans.registry import cte, query
+from barflow.plans.registry import CTES, cte, query
 from barflow.session import stage
 
 # SQL building blocks --------------------------------------------------------------------------
@@ -688,6 +688,39 @@ def v15_features(spark, sf):
     return rounded(v15(spark, sf).select("symbol", "bar_ts", *V15, "sr_near_high", "sr_near_low"), 5)
 
 
+def v15_core(d, keys=S.KEYS):
+    """Columns that the model set takes from a higher timeframe; ``d`` is indexed."""
+    d = S.framed(d, I.base, before=1, keys=keys)
+    d = S.scan(d, I.CLOSE_EMAS, keys).withColumns(I.macd_columns())
+    d = S.framed(d, lambda x, r: I.adx_sma(x.withColumns(I.rsi_sma(r, (14,))), r, "_trl"), before=30, keys=keys)
+    return d.withColumns({"ema_cross_50_200": F.signum(F.col("ema_50") - F.col("ema_200")), "macd_hist": F.col("macd_histogram")})
+
+
+def v15_htf(spark, sf):
+    """Model columns of the bars with five higher-timeframe columns, given once 14 higher bars exist; and the broken trend line."""
+    from barflow.operators import charts
+    bars = D.bars(spark, sf)
+    high = v15_core(S.index_series(B.resample(bars, 14400), ("symbol",)), ("symbol",)).filter(b.I >= 13)
+    d = S.asof_join(bars, [(high, "bar_ts", {c: f"{c}_15m" for c in V15_TAIL})])
+    return charts.trendlines(S.index_series(stage(d))).withColumn("sr_breakout_dn", F.col("tl_breakout_down"))
+
+
+cte("b4", "SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_ts) - 1 AS i FROM r4", ("r4",))
+cte("x4", CTES["x"][1].replace("FROM b\n", "FROM b4\n"), ("b4",))
+rec("ec4", "x4", [span(f"ema_{n}", "close", n) for n in (12, 26, 50, 200)])
+cte("mc40", f"""SELECT *, ema_12 - ema_26 AS macd, 100 * {avg('pdm', 14, 1)} / nullif({avg('trl', 14, 1)}, 0) AS pdi, 100 * {avg('mdm', 14, 1)} / nullif({avg('trl', 14, 1)}, 0) AS mdi, {RSI['rsi_14']} AS rsi_14
+  FROM x4 JOIN ec4 USING (symbol, i)""", ("x4", "ec4"))
+rec("mc41", "mc40", [span("sig", "macd", 9)])
+cte("mc42", "SELECT *, 100 * abs(pdi - mdi) / nullif(pdi + mdi, 0) AS dx FROM mc40 JOIN mc41 USING (symbol, i)", ("mc40", "mc41"))
+cte("v4", f"SELECT * FROM (SELECT symbol, bar_ts, i, {avg('dx', 14, 1)} AS adx_14, pdi - mdi AS di_diff, sign(ema_50 - ema_200)::DOUBLE AS ema_cross_50_200, macd - sig AS macd_hist, rsi_14 FROM mc42) WHERE i >= 13", ("mc42",))
+
+
+@query("v15_features_htf", "SELECT b.symbol, b.bar_ts, " + ", ".join(f"round(v4.{c}, 6) AS {c}_15m" for c in V15_TAIL) + """, t.tl_breakout_down AS sr_breakout_dn FROM bars b JOIN h_tl t USING (symbol, bar_ts)
+  ASOF LEFT JOIN v4 ON b.symbol = v4.symbol AND b.bar_ts >= v4.bar_ts""", ("bars", "h_tl", "v4"))
+def v15_features_htf(spark, sf):
+    return rounded(v15_htf(spark, sf).select("symbol", "bar_ts", *[f"{c}_15m" for c in V15_TAIL], "sr_breakout_dn"))
+
+
 def mtf_context(spark, sf):
     """Context of two coarser frames resampled from the bars, brought back by as-of."""
     bars = D.bars(spark, sf)
