@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-MODULES = ("sharding", "mixing", "language")
+MODULES = ("sharding", "mixing", "language", "bpe", "secrets", "simhash")
 
 
 def query(name: str, sql: str | None = None):

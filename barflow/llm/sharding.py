@@ -25,7 +25,7 @@ from barflow.llm.registry import query
 SHARDS = 8
 VNODES = 128
 PLACES = 1 << 14
-SLACK = 0.01
+SLACK = 0.001
 
 
 def ring(spark: SparkSession, shards: int = SHARDS, vnodes: int = VNODES, places: int = PLACES) -> DataFrame:
