@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-MODULES = ("fingerprints", "sharding", "mixing", "language", "bpe", "secrets", "simhash", "quality")
+MODULES = ("fingerprints", "sharding", "mixing", "language", "bpe", "secrets", "simhash", "quality", "rules")
 
 
 def query(name: str, sql: str | None = None):
