@@ -152,6 +152,26 @@ def find_secrets(docs: DataFrame, allow: tuple[str, ...] = ALLOW, redacted: bool
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
+def redact_rows(docs: DataFrame, allow: tuple[str, ...] = ALLOW) -> DataFrame:
+    """The rows of ``docs``, columns as they are, with every span of ``text`` replaced; n_chars, if there, follows."""
+    at = docs.columns.index("text")
+    chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        patterns = tuple(map(re.compile, allow))
+        for batch in batches:
+            texts = [None if t is None else redact(t, spans) if (spans := scan(t, patterns)[1]) else t for t in batch.column(at).to_pylist()]
+            columns = batch.columns
+            changed = [a != b for a, b in zip(texts, batch.column(at).to_pylist())]
+            columns[at] = pa.array(texts, pa.string())
+            if chars is not None:
+                counts = [len(t) if c else n for t, c, n in zip(texts, changed, columns[chars].to_pylist())]
+                columns[chars] = pa.array(counts, columns[chars].type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 @query("op2_secrets")
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every text."""

@@ -7,10 +7,15 @@ a component, named by its smallest doc_id.
 Pigeonring: cut the 64 bits into five segments on a ring. If two fingerprints differ in at most four bits, there
 is a segment from which every chain of l consecutive segments has at most floor(l * 4 / 5) differing bits: none
 in the first, one in the first two, two in three, three in four, four in all. The first two conditions are the
-join key: a segment as it is, and the next one with one bit masked, for every start and every masked bit. What
-meets under a key must satisfy the longer chains before all 64 bits are compared. Within a key, links are found
-by a search that leaves out what it has reached, so a group of n fingerprints gives at most n - 1 links, not all
-pairs. Only distinct fingerprints take part: copies cost nothing.
+join key: a segment as it is, and the next one without a group of two or three bits, for every start and every
+group. What meets under a key must satisfy all chains before all 64 bits are compared. Within a key, links are
+found by a search that leaves out what it has reached, so a group of n fingerprints gives at most n - 1 links, not
+all pairs. Only distinct fingerprints take part: copies cost nothing.
+
+Wide fingerprints (``words`` above 1) add words made from the same hashes, mixed with a salt each. A pair is then
+a candidate if it meets under a key of any word, and linked if all words together differ in at most ``WIDE`` of
+their bits, which stands for a likeness of about 0.8. Here a pair may be missed; pairs within BITS bits in a word
+always meet.
 
 NULL, empty and blank texts have fingerprint zero and are linked like any other. Texts are read whole. Repeated
 rows come back as often as they came. A row with a NULL doc_id takes part under no id: it gets its fingerprint
@@ -28,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barflow.llm.common import stage, table
+from barflow.llm.common import mix, stage, table
 from barflow.llm.graph import components
 from barflow.llm.registry import query
 
@@ -37,71 +42,79 @@ SEED = 42
 BITS = 4
 #: Bits of the five segments, from the lowest bit.
 SEGMENTS = (13, 13, 13, 13, 12)
-
-
-def simhash(text: str | None, size: int = SHINGLE) -> int:
-    words = (text or "").encode().lower().split()  # bytes: only A-Z change, and only the six blanks split
-    if not words:
-        return 0
-    n = max(1, len(words) - size + 1)
-    line = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]).tolist()
-    starts = [0, *ends]
-    last = min(size, len(words)) - 1
+#: Bits of a segment that are left out together.
+GROUPS = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (9, 10), (11, 12))
+#: Part of the bits in which wide fingerprints of a link differ at most; a cosine of 0.86, 0.8 of shingles in common.
+WIDE = 0.17
+
+
+def simhash(text: str | None, size: int = SHINGLE, words: int = 1) -> np.ndarray:
+    """The fingerprint of a text, ``words`` times 64 bits."""
+    parts = (text or "").encode().lower().split()  # bytes: only A-Z change, and only the six blanks split
+    if not parts:
+        return np.zeros(words, np.uint64)
+    n = max(1, len(parts) - size + 1)
+    line = b" ".join(parts)
+    starts = [0, *np.cumsum([len(w) + 1 for w in parts]).tolist()]
+    last = min(size, len(parts))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[starts[i] : ends[i + last] - 1], SEED) for i in range(n)], np.uint64)
-    counts = np.zeros(64, np.int64)
-    for at in range(0, n, 4096):
-        part = hashes[at : at + 4096]
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
+    hashes = np.array([digest(line[starts[i] : starts[i + last] - 1], SEED) for i in range(n)], np.uint64)
+    out = []
+    for word in range(words):
+        h = hashes if word == 0 else mix(hashes ^ np.uint64(word))
+        counts = np.zeros(64, np.int64)
+        for at in range(0, n, 4096):
+            counts += np.unpackbits(h[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
+    return np.array(out, np.uint64)
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed number) of every row."""
+def fingerprints(docs: DataFrame, size: int = SHINGLE, words: int = 1) -> DataFrame:
+    """doc_id and fp0, fp1, ... (64 bits each as a signed number) of every row."""
+    names = [f"fp{w}" for w in range(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([simhash(text.as_py(), size) for text in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.array([simhash(text.as_py(), size, words) for text in batch.column(1)], np.uint64).reshape(-1, words)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(fps[:, w]).view(np.int64)) for w in range(words)]], names=["doc_id", *names])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
-def chain_keys(fp: Column) -> Column:
-    """All keys of a fingerprint: start, masked bit, the start's segment, and the next segment without that bit."""
-    starts = [sum(SEGMENTS[:i]) for i in range(len(SEGMENTS))]
-    part = [F.shiftrightunsigned(fp, starts[i]).bitwiseAND(F.lit((1 << SEGMENTS[i]) - 1)) for i in range(len(SEGMENTS))]
+def chain_keys(fps: list[Column]) -> Column:
+    """All keys of a fingerprint: word and start, group left out, the start's segment, and the rest of the next."""
     keys = []
-    for i in range(len(SEGMENTS)):
-        j = (i + 1) % len(SEGMENTS)
-        for bit in range(SEGMENTS[j]):
-            masked = part[j].bitwiseAND(F.lit(((1 << SEGMENTS[j]) - 1) & ~(1 << bit)))
-            keys.append(F.lit((i * 16 + bit) << 32).cast("long").bitwiseOR(F.shiftleft(part[i], 16)).bitwiseOR(masked))
+    for w, fp in enumerate(fps):
+        part = [F.shiftrightunsigned(fp, sum(SEGMENTS[:i])).bitwiseAND(F.lit((1 << SEGMENTS[i]) - 1)) for i in range(len(SEGMENTS))]
+        for i in range(len(SEGMENTS)):
+            j = (i + 1) % len(SEGMENTS)
+            for g, group in enumerate(GROUPS):
+                rest = part[j].bitwiseAND(F.lit(((1 << SEGMENTS[j]) - 1) & ~sum(1 << bit for bit in group)))
+                keys.append(F.lit(((w * len(SEGMENTS) + i) * 8 + g) << 32).cast("long").bitwiseOR(F.shiftleft(part[i], 16)).bitwiseOR(rest))
     return F.array(*keys)
 
 
-def _within(fps: np.ndarray, one: np.uint64, start: int) -> np.ndarray:
-    """Which fingerprints pass the chains of three and more segments from ``start``, then the whole comparison."""
+def _near(fps: np.ndarray, one: np.ndarray, start: int) -> np.ndarray:
+    """Which fingerprints (a row each) are linked to ``one``: all chains from ``start``, or the sum over wide words."""
     apart = fps ^ one
-    ok = np.ones(len(fps), bool)
-    mask = np.uint64(0)
+    if fps.shape[1] > 1:
+        return np.bitwise_count(apart).sum(axis=1) <= WIDE * 64 * fps.shape[1]
+    apart, ok, mask = apart[:, 0], np.ones(len(fps), bool), np.uint64(0)
     for chain in range(1, len(SEGMENTS) + 1):
         i = (start + chain - 1) % len(SEGMENTS)
         mask |= np.uint64(((1 << SEGMENTS[i]) - 1) << sum(SEGMENTS[:i]))
-        if chain >= 3:
-            ok &= np.bitwise_count(apart & mask) <= chain * BITS // len(SEGMENTS)
-    return ok & (np.bitwise_count(apart) <= BITS)
+        ok &= np.bitwise_count(apart & mask) <= chain * BITS // len(SEGMENTS)
+    return ok
 
 
 def _search(fps: np.ndarray, ids: np.ndarray, start: int) -> list[tuple[int, int]]:
-    """Links that connect what is connected under one key by a chain from ``start``."""
+    """Links that connect what is connected under one key by chains from ``start``."""
     links, rest = [], np.arange(len(fps))
     while len(rest):
         front, rest = [rest[0]], rest[1:]
         while front and len(rest):
             at = front.pop()
-            near = _within(fps[rest], fps[at], start)
+            near = _near(fps[rest], fps[at], start)
             if near.any():
                 found = rest[near]
                 links += [(int(ids[at]), int(ids[x])) for x in found]
@@ -111,45 +124,49 @@ def _search(fps: np.ndarray, ids: np.ndarray, start: int) -> list[tuple[int, int
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp, id) sorted by key to links (a, b). A key's fingerprints are distinct, 16 bytes each."""
-    held: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
+    """Rows (key, id, fp0, ...) sorted by key to links (a, b). A key's fingerprints are distinct, a few bytes each."""
+    held: list[np.ndarray] = []
 
-    def flush(keys, fps, ids):
+    def flush(keys, ids, *fps):
         cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True]) if len(keys) else np.zeros(1, int)
-        links = []
+        table, found = np.stack(fps, axis=1).view(np.uint64), []
         for a in np.flatnonzero(np.diff(cuts) > 1):
             lo, hi = cuts[a], cuts[a + 1]
-            links += _search(fps[lo:hi].view(np.uint64), ids[lo:hi], int(keys[lo] >> 36))
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
+            found += _search(table[lo:hi], ids[lo:hi], int(keys[lo] >> 35) % len(SEGMENTS))
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
     for batch in batches:
-        cols = [np.concatenate([h, batch.column(i).to_numpy(zero_copy_only=False)]) for i, h in enumerate(held)]
-        if not len(cols[0]):
-            continue
-        cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last key may go on
-        held = [c[cut:].copy() for c in cols]
-        yield flush(*[c[:cut] for c in cols])
-    yield flush(*held)
-
-
-def links(distinct: DataFrame) -> DataFrame:
-    """From distinct (fp, id): ids (a, b) of fingerprints that differ in at most BITS bits, enough to connect all such."""
-    keys = distinct.select(F.explode(chain_keys(F.col("fp"))).alias("key"), "fp", "id")
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
+        cols = [np.concatenate(pair) for pair in zip(held, cols)] if held else cols
+        if len(cols[0]):
+            cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last key may go on
+            held = [c[cut:].copy() for c in cols]
+            yield flush(*[c[:cut] for c in cols])
+    if held:
+        yield flush(*held)
+
+
+def links(distinct: DataFrame, words: int = 1) -> DataFrame:
+    """From distinct fingerprints (fp0, ..., id): links (a, b) between ids, enough to connect all that are linked."""
+    names = [f"fp{w}" for w in range(words)]
+    keys = distinct.select(F.explode(chain_keys([F.col(n) for n in names])).alias("key"), "id", *names)
     n = max(1, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return keys.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(_runs, "a long, b long")
+    return keys.repartition(n, "key").sortWithinPartitions("key", "id").mapInArrow(_runs, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, fp, component_id of every row of ``docs``."""
-    prints = stage(fingerprints(docs, size))
-    distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("id")).filter(F.col("id").isNotNull()))
-    roots = components(links(distinct))
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, words: int = 1) -> DataFrame:
+    """doc_id, fp0, ..., component_id of every row of ``docs``."""
+    names = [f"fp{w}" for w in range(words)]
+    prints = stage(fingerprints(docs, size, words))
+    distinct = stage(prints.groupBy(*names).agg(F.min("doc_id").alias("id")).filter(F.col("id").isNotNull()))
+    roots = components(links(distinct, words))
     named = distinct.join(roots, F.col("id") == F.col("node"), "left").select(
-        F.col("fp").alias("of"), F.coalesce("root", "id").alias("component_id"))
-    return prints.join(named, F.col("fp") == F.col("of"), "left").select("doc_id", "fp", "component_id")
+        *[F.col(n).alias(f"of_{n}") for n in names], F.coalesce("root", "id").alias("component_id"))
+    same = [F.col(n) == F.col(f"of_{n}") for n in names]
+    return prints.join(named, same, "left").select("doc_id", *names, "component_id")
 
 
 @query("op4_simhash")
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
-    return near_duplicates(table(spark, sf_dir)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return near_duplicates(table(spark, sf_dir)).select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
