@@ -148,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Rules:
     known = known.orderBy(F.xxhash64("of"), "of").limit(sample)
     stats = statistics(F.col("text"))
     # At most ``sample`` ids and labels are sent to the scan of the documents.
-    rows = docs.join(F.broadcast(known), F.col("doc_id").cast("long") == F.col("of")).select("of", "label", *[c.alias(k) for k, c in stats.items()])
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id").cast("long") == F.col("of")).select("of", "label", *[c.alias(k) for k, c in stats.items()])
     got = rows.orderBy("of", *stats).limit(sample).toArrow()
     x = np.stack([got[k].to_numpy() for k in stats], axis=1) if got.num_rows else np.zeros((0, len(stats)))
     return fit_rules(x, got["label"].to_numpy().astype(float), list(stats))

@@ -30,8 +30,8 @@ SLACK = 0.001
 
 def ring(spark: SparkSession, shards: int = SHARDS, vnodes: int = VNODES, places: int = PLACES) -> DataFrame:
     """For each place the shards in clockwise order: (place, prefs). Two turns are laid out so that the last places wrap."""
-    nodes = spark.range(shards * vnodes).select(
-        (F.col("id") % shards).alias("shard"), F.pmod(F.xxhash64(F.lit("node"), F.col("id")), F.lit(places)).alias("at"))
+    shard, replica = F.col("id") % shards, F.floor(F.col("id") / shards)  # a shard's nodes do not depend on how many shards there are
+    nodes = spark.range(shards * vnodes).select(shard.alias("shard"), F.pmod(F.xxhash64(F.lit("node"), shard, replica), F.lit(places)).alias("at"))
     owned = nodes.groupBy("at").agg(*[F.max(F.col("shard") == s).alias(f"has{s}") for s in range(shards)])
     turns = spark.range(2 * places).withColumnRenamed("id", "step").join(
         owned, F.pmod(F.col("step"), F.lit(places)) == F.col("at"), "left")
