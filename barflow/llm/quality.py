@@ -9,7 +9,7 @@ bound, and the only rows that come to the driver. Scoring covers every row.
 
 NULL and empty texts have statistics 0 and get a score like any other. Labels other than 0 and 1 are ignored,
 repeated labels of a document count once (the lowest). Without labels every score is 1; with labels of one kind
-it is that label. Ties of statistics fall on the side of "<=". Only doc_id and text are read, and of labels
+it is that label; with labels that no statistic tells apart it is their mean. Ties of statistics fall on the side of "<=". Only doc_id and text are read, and of labels
 doc_id and quality.
 """
 
@@ -116,6 +116,8 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str]) -> Rules:
             holds &= (binned[:, f] > cut) if above else (binned[:, f] <= cut)
         if 0 < holds.sum() < len(y):
             rules.setdefault(np.packbits(holds).tobytes(), (tests, holds))
+    if not rules:
+        return Rules([], 0.0, float(y.mean()))
     z = np.stack([holds for _, holds in rules.values()], axis=1).astype(np.float64)
     weights, intercept = _lasso(z, y)
     kept = [(float(w), tuple((names[f], above, float(bounds[f][cut])) for f, above, cut in tests)) for w, (tests, _) in zip(weights, rules.values()) if w]
