@@ -83,7 +83,8 @@ def bucket(h: Column) -> Column:
 def ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(bucket, ratio) for the buckets that occur, summed in the map tasks before they are shuffled."""
     trusted = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("of")).distinct()
-    flagged = docs.select("doc_id", "text").join(trusted, F.col("doc_id") == F.col("of"), "left")
+    # Labels may be as many as documents: a sort-merge join at every size, so cost and disk grow in proportion.
+    flagged = docs.select("doc_id", "text").join(trusted.hint("merge"), F.col("doc_id") == F.col("of"), "left")
     hashed = flagged.select(F.col("of").isNotNull().cast("long").alias("good"), F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
     grams = hashed.select("good", F.explode(F.concat("hashes", _zipped(F.col("hashes"), F.col("hashes"), 1))).alias("h"))
     counts = stage(grams.groupBy(bucket(F.col("h")).alias("bucket")).agg(F.sum("good").alias("good"), F.count(F.lit(1)).alias("raw")))
