@@ -38,11 +38,11 @@ def l2_normalized(a: Column) -> Column:
     return F.when(n > 0, F.transform(a, lambda v: v / n)).otherwise(a)
 
 
-def context_embedding(features: list[Column], volatility: Column, regime: Column, trend: Column, ts: Column) -> Column:
-    """50 features and 10 context factors, scaled to unit length."""
+def context_embedding(features: Column, volatility: Column, regime: Column, trend: Column, ts: Column) -> Column:
+    """A feature vector of any width and 10 context factors, scaled to unit length."""
     turn = 2 * math.pi * F.hour(ts) / 24.0
     context = [F.least(F.lit(1.0), volatility * 50), *[F.when(regime == r, 1.0).otherwise(0.0) for r in ("bull", "bear", "neutral")],
                trend, F.sin(turn), F.cos(turn)]
-    raw = [*features, *context]
-    raw += [F.lit(0.0)] * (60 - len(raw))
-    return l2_normalized(F.array(*[F.coalesce(x.cast("double"), F.lit(0.0)) for x in raw]))
+    context += [F.lit(0.0)] * (10 - len(context))
+    raw = F.concat(F.transform(features, lambda x: x.cast("double")), F.array(*[x.cast("double") for x in context]))
+    return l2_normalized(F.transform(raw, lambda x: F.coalesce(x, F.lit(0.0))))

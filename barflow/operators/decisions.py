@@ -175,9 +175,9 @@ def perp_regime(funding, spike, basis_pct, long_sq, short_sq, ob) -> dict[str, C
     return {"perp_regime": regime, "squeeze_side": F.when(col(long_sq) > col(short_sq), "long").otherwise("short"), "notes": notes}
 
 
-def market_flags(rsi, volatility) -> Column:
+def market_flags(rsi, volatility, high: float = 5.0, low: float = 2.0) -> Column:
     r, v = col(rsi), col(volatility)
-    return reasons((r > 70, "overbought"), (r < 30, "oversold"), (v > 5, "high_volatility"), (v < 2, "low_volatility"))
+    return reasons((r > 70, "overbought"), (r < 30, "oversold"), (v > high, "high_volatility"), (v < low, "low_volatility"))
 
 
 def hold_band(consensus, volatility, margin) -> Column:

@@ -91,16 +91,18 @@ def decayed_accuracy(df: DataFrame, now: Column, days: int = 30, decay: float =
     return d.groupBy(*keys).agg((F.sum(F.when(hit, w).otherwise(0.0)) / F.sum(w)).alias("decayed_accuracy"))
 
 
-def correlation_penalty(df: DataFrame, slot: list[str], models: list[str]) -> DataFrame:
-    """Mean |correlation| of each model with the others over shared slots, and its penalty."""
-    wide = df.groupBy(*slot).agg(*[F.avg(F.when(F.col("model") == m, F.col("prediction"))).alias(f"_m{i}") for i, m in enumerate(models)])
-    n = len(models)
-    row = wide.agg(*[F.abs(F.corr(f"_m{i}", f"_m{j}")).alias(f"c{i}_{j}") for i in range(n) for j in range(i + 1, n)])
-    cells = [F.struct(F.lit(m).alias("model"), (sum((F.coalesce(F.col(f"c{min(i, j)}_{max(i, j)}"), F.lit(0.0)) for j in range(n) if j != i), F.lit(0.0)) / (n - 1)).alias("avg_corr"))
-             for i, m in enumerate(models)]
+def correlation_penalty(df: DataFrame, slot: list[str]) -> DataFrame:
+    """Mean |correlation| of each model with the others over shared slots, and its penalty: whatever models there are.
+
+    Slots hold one row per model, so the join makes models x models rows per slot and one group per pair.
+    """
+    one = df.groupBy(*slot, "model").agg(F.avg("prediction").alias("_p"))
+    other = one.select(*slot, F.col("model").alias("_other"), F.col("_p").alias("_q"))
+    pairs = one.join(other, slot).filter(F.col("model") != F.col("_other"))
+    each = pairs.groupBy("model", "_other").agg(F.coalesce(F.abs(F.corr("_p", "_q")), F.lit(0.0)).alias("_c"))
     a = F.col("avg_corr")
     pen = F.when(a > 0.8, 0.5).when(a > 0.6, 0.7).when(a > 0.4, 0.9).otherwise(1.0)
-    return row.select(F.explode(F.array(*cells)).alias("_r")).select("_r.*").withColumn("penalty", pen)
+    return each.groupBy("model").agg(F.avg("_c").alias("avg_corr")).withColumn("penalty", pen)
 
 
 def consensus(preds: DataFrame, keys, penalty: DataFrame, recent: DataFrame, regime_score: DataFrame, min_weight=0.05, max_weight=0.40) -> DataFrame:

@@ -50,7 +50,8 @@ def smooth_labels(df: DataFrame, label: str, out: str, min_bars: int = 6, keys=K
     """
     names, width = REGIMES, min_bars + 1
     states = len(names) * width
-    code = F.array_position(F.array(*[F.lit(n) for n in names]), F.col(label)).cast("int") - 1
+    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col(label)).cast("int") - 1
+    code = F.when(place < 0, F.raise_error(F.concat(F.lit("unknown regime: "), F.col(label))).cast("int")).otherwise(place)
 
     def step(held, seen, x):
         same = held == x

@@ -124,13 +124,13 @@ def mark_positions(spark, sf):
 def _streaming_features():
     from barflow.plans.indicators import LATEST
 
-    @query("streaming_features", f"SELECT * EXCLUDE (i) FROM (SELECT symbol, bar_ts, i, {LATEST} FROM xall) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY i DESC) = 1 AND i >= 29", ("xall",))
+    @query("streaming_features", f"SELECT * EXCLUDE (i) FROM (SELECT symbol, bar_ts, i, {LATEST} FROM xall) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY i DESC) = 1 AND i >= 29", ("xall",),
+           own={"bars": (("ticks",), f"SELECT * FROM ({D.bars_sql(1800, '30m')}) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY bar_ts DESC) <= 500")})
     def streaming_features(spark, sf):
         from barflow.operators.indicators import CANONICAL
         from barflow.plans.indicators import LOOSE
         from barflow.streaming.sinks import newest_features
-        # A cache longer than the series sees the whole of it, so the result equals the batch features.
-        out = newest_features(D.bars(spark, sf), 30, 20_000)
+        out = newest_features(D.bars(spark, sf), 30)
         return rounded(out.select("symbol", "bar_ts", *CANONICAL), 9, LOOSE)
 
 

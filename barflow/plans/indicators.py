@@ -588,7 +588,7 @@ feature("rolling_quantile", edge_threshold, {"live": f"CASE WHEN count(ar) {fr(2
 
 
 def canon(spark, sf):
-    return I.canonical(D.bars(spark, sf), 30)
+    return I.canonical(stage(D.bars(spark, sf)), 30)
 
 
 CANON_SQL = {**SMA, **{f"ema_{s}": f"ema_{s}" for s in (12, 26, 50)}, **SMAR, **PRICE, **RSI, "stochastic_k_14": "sk", "stochastic_d_14": avg("sk", 3, 1),
@@ -623,11 +623,17 @@ def feature_alias(spark, sf):
     return rounded(d.select("symbol", "bar_ts", *[F.col(resolve(k)).alias(k) for k in (*ALIAS, "rsi_14_15m")]), 9, {"macd_hist": 6})
 
 
-@query("feature_contract", "SELECT * FROM (VALUES " + ", ".join(f"({k}, '{n}', true)" for k, n in enumerate(I.CANONICAL)) + ") t(position, feature, ok)")
+@query("feature_contract", "SELECT unnest(range(0, " + str(len(I.CANONICAL)) + "))::INT AS position, unnest([" + ", ".join(f"'{n}'" for n in I.CANONICAL) + "]) AS feature, true AS present, unnest(["
+       + ", ".join(f"count(*) FILTER ({n} IS NULL)" for n in I.CANONICAL) + "]) AS nulls, unnest([" + ", ".join(f"count(*) FILTER (NOT isfinite({n}))" for n in I.CANONICAL)
+       + "]) AS not_finite FROM (SELECT " + ", ".join(f"{CANON_SQL[n]} AS {n}" for n in I.CANONICAL) + " FROM xall)", ("xall",))
 def feature_contract(spark, sf):
-    cols = [c for c in canon(spark, sf).select(*I.CANONICAL).columns]
-    problems = Q.check_contract(canon(spark, sf).select(*I.CANONICAL), I.CANONICAL)
-    return spark.createDataFrame([(k, c, not problems) for k, c in enumerate(cols)], "position int, feature string, ok boolean")
+    """Each feature of the contract beside the frame that is to hold it: is it there, how many values are missing."""
+    d = canon(spark, sf)
+    there = set(d.columns)
+    cell = [(k, n, F.col(n) if n in there else F.lit(None).cast("double")) for k, n in enumerate(I.CANONICAL)]
+    sums = [F.struct(F.lit(k).alias("position"), F.lit(n).alias("feature"), F.lit(n in there).alias("present"), F.count_if(c.isNull()).alias("nulls"),
+                     F.count_if(F.isnan(c.cast("double")) | (F.abs(c) == float("inf"))).alias("not_finite")) for k, n, c in cell]
+    return d.agg(F.array(*sums).alias("r")).select(F.explode("r").alias("r")).select("r.*")
 
 
 def trend_15m(d, r):

@@ -73,7 +73,7 @@ def confidence_calibrate(spark, sf):
     return rounded(o.join(p, "model").select("trade_id", M.calibrated("confidence", "accuracy", "evaluated", "prediction").alias("calibrated")))
 
 
-NOW = "TIMESTAMP '1999-06-30'"
+NOW = "(SELECT max(ts) FROM mo)"
 DEC = """SELECT model, sum(CASE WHEN (CASE WHEN prediction > .1 THEN 1 WHEN prediction < -.1 THEN -1 ELSE 0 END) = (CASE WHEN actual > .1 THEN 1 WHEN actual < -.1 THEN -1 ELSE 0 END) THEN w ELSE 0 END) / sum(w) AS decayed_accuracy FROM
   (SELECT *, pow(.95::DOUBLE, floor(epoch({now} - ts) / 86400)) AS w FROM mo WHERE actual IS NOT NULL AND ts >= {now} - INTERVAL '{days} days' AND ts <= {now}) GROUP BY 1"""
 cte("dec30", DEC.format(now=NOW, days=30), ("mo",))
@@ -81,8 +81,8 @@ cte("dec7", DEC.format(now=NOW, days=7), ("mo",))
 
 
 def decayed(spark, sf, days):
-    now = F.lit("1999-06-30").cast("timestamp_ntz")
-    return M.decayed_accuracy(outcomes(spark, sf).filter(F.col("ts") <= now), now, days)
+    o = outcomes(spark, sf)
+    return M.decayed_accuracy(o, o.agg(F.max("ts")).scalar(), days)
 
 
 @query("decayed_accuracy", "SELECT model, round(decayed_accuracy, 8) AS decayed_accuracy FROM dec30", ("dec30",))
@@ -90,9 +90,6 @@ def decayed_accuracy(spark, sf):
     return rounded(decayed(spark, sf, 30), 8)
 
 
-MODELS = ["FA", "FN", "FR", "OA", "ON", "OR"]
-
-
 def slots(spark, sf):
     """One prediction per model and day: the mean of that day's rows (integer cents keep it exact)."""
     f = D.fills(spark, sf)
@@ -114,7 +111,7 @@ def consensus(spark, sf):
     d = stage(slots(spark, sf))
     d = d.withColumn("regime", F.concat(F.lit("r"), F.month("ts") % 2))
     fit = d.groupBy("model", "regime").agg(F.avg(((F.col("prediction") > 0) == (F.col("actual") > 0)).cast("int")).alias("regime_score"))
-    return rounded(M.consensus(d, ["ts"], M.correlation_penalty(d, ["ts"], MODELS), decayed(spark, sf, 7), fit), 8)
+    return rounded(M.consensus(d, ["ts"], M.correlation_penalty(d, ["ts"]), decayed(spark, sf, 7), fit), 8)
 
 
 cte("cd", "SELECT ts, count(*) AS models, CASE WHEN sum(confidence) > 0 THEN sum(prediction * confidence) / sum(confidence) ELSE avg(prediction) END AS v, coalesce(stddev_samp(prediction), 0) AS sd, sum(confidence) / count(*) AS ac FROM slots GROUP BY 1", ("slots",))
@@ -377,9 +374,8 @@ def market_flags(spark, sf):
     from barflow.functions.columns import reasons
     from barflow.operators import indicators as I
     d = S.framed(D.indexed(spark, sf), lambda x, r: (lambda y: y.withColumns({**I.rsi_sma(r, (14,)), **I.volatility(r)}))(I.base(x, r)), before=22)
-    # The rule's volatility limits are in percent of price; these bars swing far more, so the input is scaled.
-    scaled = F.when(F.col("volatility_20") > 100, 6.0).when(F.col("volatility_20") < 60, 1.0).otherwise(3.0)
-    return d.select("symbol", "bar_ts", A.market_flags("rsi_14", scaled).alias("flags"))
+    # The rule's limits fit calm prices; these bars swing far more.
+    return d.select("symbol", "bar_ts", A.market_flags("rsi_14", "volatility_20", high=100.0, low=60.0).alias("flags"))
 
 
 def _fill_market_flags():

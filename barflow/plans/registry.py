@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, tuple[str, tuple[str, ...]]] = {}
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
+#: Of single queries: CTEs that replace the shared ones of the same name.
+OWN: dict[str, dict[str, tuple[tuple[str, ...], str]]] = {}
 
 
 def cte(name: str, sql: str, uses: tuple[str, ...] = ()) -> None:
@@ -17,27 +19,29 @@ def cte(name: str, sql: str, uses: tuple[str, ...] = ()) -> None:
     CTES[name] = (uses, sql)
 
 
-def _needed(names, seen: list[str]) -> list[str]:
+def _needed(names, seen: list[str], ctes) -> list[str]:
     for n in names:
         if n not in seen:
-            _needed(CTES[n][0], seen)
+            _needed(ctes[n][0], seen, ctes)
             if n not in seen:
                 seen.append(n)
     return seen
 
 
-def sql_text(body: str, uses=()) -> str:
-    parts = [f"{n} AS {CTES[n][1]}" if CTES[n][1].startswith("(") else f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in _needed(uses, [])]
+def sql_text(body: str, uses=(), own=None) -> str:
+    ctes = CTES | (own or {})
+    parts = [f"{n} AS {ctes[n][1]}" if ctes[n][1].startswith("(") else f"{n} AS MATERIALIZED ({ctes[n][1]})" for n in _needed(uses, [], ctes)]
     return f"WITH RECURSIVE {', '.join(parts)} {body}" if parts else body
 
 
-def query(name: str, sql: str | None = None, uses: tuple[str, ...] = ()):
-    """Register a query; ``sql`` is its oracle body, ``uses`` the shared CTEs it reads."""
+def query(name: str, sql: str | None = None, uses: tuple[str, ...] = (), own=None):
+    """Register a query; ``sql`` is its oracle body, ``uses`` the shared CTEs it reads, ``own`` replaces some of them."""
 
     def register(fn):
         QUERIES[name] = fn
         if sql is not None:
             ORACLE[name] = (sql, uses)
+            OWN[name] = own or {}
         return fn
 
     return register

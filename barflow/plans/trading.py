@@ -155,10 +155,10 @@ def roe(spark, sf):
 
 @query("risk_score", """SELECT account, round(ex, 2) AS exposure, round(lev, 8) AS leverage, round(dr, 8) AS drawdown, n AS open_positions, round(least(1, CASE WHEN dr > .15 THEN .4 WHEN dr > .15 * .7 THEN .2 ELSE 0 END + CASE WHEN lev > 5 THEN .3 WHEN lev > 4 THEN .15 ELSE 0 END + CASE WHEN n >= 5 THEN .2 WHEN n > 4 THEN .1 ELSE 0 END + CASE WHEN big / nullif(ex, 0) > .5 THEN .15 ELSE 0 END), 6) AS risk_score, n < 5 AS can_trade FROM
   (SELECT *, ex / cash AS lev, (greatest(peak, tot) - tot) / greatest(peak, tot) AS dr FROM (SELECT *, cash + ex + u AS tot FROM (SELECT c_custkey AS account, 5000 + abs(c_acctbal) AS cash, 6000 + abs(c_acctbal) * 1.2::DOUBLE AS peak, coalesce(ex, 0) AS ex, coalesce(big, 0) AS big, coalesce(u, 0) AS u, coalesce(n, 0) AS n FROM customer LEFT JOIN
-   (SELECT account, sum(entry_price * quantity) AS ex, max(entry_price * quantity) AS big, sum(pnl) AS u, count(*) AS n FROM pos WHERE status = 'OPEN' AND quantity < 10 GROUP BY 1) ON account = c_custkey)))""", ("pos",))
+   (SELECT account, sum(entry_price * quantity) AS ex, max(entry_price * quantity) AS big, sum(pnl) AS u, count(*) AS n FROM pos WHERE status = 'OPEN' GROUP BY 1) ON account = c_custkey)))""", ("pos",))
 def risk_score(spark, sf):
     a = D.table(spark, sf, "customer").select(F.col("c_custkey").alias("account"), (5000 + F.abs("c_acctbal")).alias("cash"), (6000 + F.abs("c_acctbal") * 1.2).alias("peak"))
-    p = positions(spark, sf).filter((F.col("status") == "OPEN") & (F.col("quantity") < 10))
+    p = positions(spark, sf).filter(F.col("status") == "OPEN")
     return rounded(P.risk_score(p, a, ["account"]), 8, {"exposure": 2, "risk_score": 6})
 
 
@@ -250,11 +250,11 @@ def similar_with_outcome(spark, sf):
     return rounded(V.similar_with_outcome(q, e, 5, 0.1, F.col("label") % 2 == 1).select("query_id", "vec_id", "label", "similarity"))
 
 
-@query("context_embedding", """SELECT vec_id, list_transform(raw, lambda v: round(v / n, 6)) AS embedding FROM (SELECT *, sqrt(list_sum(list_transform(raw, lambda v: v * v))) AS n FROM (SELECT vec_id, list_concat(list_transform(embedding[1:50], lambda v: v::DOUBLE), [least(1, vec_id % 7 / 100.0::DOUBLE * 50), (label % 3 = 0)::INT, (label % 3 = 1)::INT, (label % 3 = 2)::INT, .25, sin(2 * pi() * (vec_id % 24) / 24), cos(2 * pi() * (vec_id % 24) / 24), 0, 0, 0]::DOUBLE[]) AS raw FROM embeddings))""")
+@query("context_embedding", """SELECT vec_id, list_transform(raw, lambda v: round(v / n, 6) + 0.0::DOUBLE) AS embedding FROM (SELECT *, sqrt(list_sum(list_transform(raw, lambda v: v * v))) AS n FROM (SELECT vec_id, list_concat(list_transform(embedding, lambda v: v::DOUBLE), [least(1, vec_id % 7 / 100.0::DOUBLE * 50), (label % 3 = 0)::INT, (label % 3 = 1)::INT, (label % 3 = 2)::INT, .25, sin(2 * pi() * (vec_id % 24) / 24), cos(2 * pi() * (vec_id % 24) / 24), 0, 0, 0]::DOUBLE[]) AS raw FROM embeddings))""")
 def context_embedding(spark, sf):
     from barflow.functions.vectors import context_embedding as build
     e = D.table(spark, sf, "embeddings")
     k = F.col("label") % 3
     ts = F.timestamp_seconds(F.col("vec_id") % 24 * 3600)
-    v = build([F.col("embedding")[i] for i in range(50)], F.col("vec_id") % 7 / 100.0, F.when(k == 0, "bull").when(k == 1, "bear").otherwise("neutral"), F.lit(0.25), ts)
-    return e.select("vec_id", F.transform(v, lambda x: F.round(x, 6)).alias("embedding"))
+    v = build(F.col("embedding"), F.col("vec_id") % 7 / 100.0, F.when(k == 0, "bull").when(k == 1, "bear").otherwise("neutral"), F.lit(0.25), ts)
+    return e.select("vec_id", F.transform(v, lambda x: F.round(x, 6) + 0.0).alias("embedding"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,19 +25,24 @@ def local_session(cpus: str = "8", app: str = "barflow") -> SparkSession:
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a temporary folder only where the session runs locally and nothing is set."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        found = tempfile.mkdtemp(prefix="barflow-stage-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
 def stage(df: DataFrame) -> DataFrame:
-    """Materialise an intermediate that several passes read, on the cluster's shared folder.
+    """Write an intermediate that several passes read once, as compressed Parquet in the shared folder.
 
-    Reads ``spark.checkpoint.dir`` from the session; a temporary folder is used only where the
-    session runs locally and the setting is absent.
+    Later passes read only their columns, and a lost executor costs a read instead of a recomputation. The
+    files live as long as the folder: results are lazy, so only its owner knows when they are no longer read.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        if configured is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            configured = tempfile.mkdtemp(prefix="barflow-checkpoint-")
-        sc.setCheckpointDir(configured)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
