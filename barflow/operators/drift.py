@@ -107,6 +107,11 @@ def windows_from_end(indexed: DataFrame, past: int, recent: int, keys) -> DataFr
             .withColumn("recent", back <= recent).drop("_n"))
 
 
+def short_series(rows: DataFrame, needed: int, keys) -> DataFrame:
+    """Series with fewer rows than both windows take, which therefore have no result."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") < needed).select(*keys, F.lit("too_short").alias("state"))
+
+
 def drift_limits(df: DataFrame, keys, ks: float = 0.10, psi_limit: float = 0.20, count: int = 5) -> DataFrame:
     """Limits scaled by the newest volatility regime over its median, between 0.5 and 3."""
     now = df.groupBy(*keys).agg(F.max_by("vol_regime", "bar_idx").alias("_now"))

@@ -157,19 +157,21 @@ def total(name: str, x: str) -> Linear:
     return Linear(name, x, 1.0)
 
 
-_NEGLIGIBLE = 1e-24
-
 
 def scan(df: DataFrame, specs: list[Linear], keys=KEYS, chunk: int = CHUNK,
          idx: str = "bar_idx") -> DataFrame:
     """Add one column per spec, all in one pass over a dense index.
 
     In a chunk y is a running sum of x * decay^-pos rescaled (centred, so it stays in double range
-    for decay >= 0.5); the value entering a chunk comes from the ends of the chunks before it. For
-    decay < 1 only as many ends are used as weigh more than 1e-24, for decay = 1 all of them. The
-    table of ends is ``chunk`` times smaller than the series. Inputs are dense after the seed row.
+    for decay >= 0.5); the value entering a chunk folds the ends of the chunks before it, back to where
+    the weight is zero in double arithmetic, for decay = 1 all of them. The table of ends is ``chunk``
+    times smaller than the series. Inputs are dense after the seed row. A decay whose powers leave the
+    double range within half a chunk is refused; use a smaller chunk for it.
     """
     mid = chunk // 2
+    for s in specs:
+        if not 0 < s.decay <= 1 or mid * -math.log(s.decay) > 700:
+            raise ValueError(f"{s.name}: decay {s.decay} is out of range for chunks of {chunk} rows")
     key_list = ", ".join(f"`{k}`" for k in keys)
 
     def weighted(s: Linear) -> str:
@@ -189,9 +191,10 @@ def scan(df: DataFrame, specs: list[Linear], keys=KEYS, chunk: int = CHUNK,
     def carry(i: int, s: Linear) -> str:
         if s.decay == 1.0:
             return f"coalesce(sum(_e{i}) OVER {by_block} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0D)"
-        reach = max(1, math.ceil(math.log(_NEGLIGIBLE) / (chunk * math.log(s.decay))) + 1)
-        return " + ".join(f"coalesce(lag(_e{i}, {k}) OVER {by_block}), 0D) * {s.decay ** (chunk * (k - 1))!r}D"
-                          for k in range(1, reach + 1))
+        # Beyond this many chunks even the largest double times the weight is less than the smallest.
+        reach = math.ceil(1460 / (chunk * -math.log(s.decay))) + 1
+        ahead = f"collect_list(_e{i}) OVER {by_block} ROWS BETWEEN {reach} PRECEDING AND 1 PRECEDING)"
+        return f"aggregate({ahead}, 0D, (held, e) -> held * {s.decay**chunk!r}D + e)"
 
     carries = ends.selectExpr(*keys, "_blk", *[f"{carry(i, s)} AS _c{i}" for i, s in enumerate(specs)])
     inside = f"(PARTITION BY {key_list}, _blk ORDER BY `{idx}` ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barflow.functions.vectors import dot, norm
-
-QUERY_LIMIT = 10_000
+#: Vectors, or queries, in a block; a task scores one block of each.
+BLOCK = 4096
 
 
 def _ranked(d: DataFrame, k: int) -> DataFrame:
@@ -16,29 +17,55 @@ def _ranked(d: DataFrame, k: int) -> DataFrame:
     return d.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= k).drop("_rk")
 
 
-def similar_topk(queries: DataFrame, vectors: DataFrame, k: int, floor: float, extra: Column | None = None) -> DataFrame:
+def _blocks(df: DataFrame, id_: str, own: str, other: str, others: DataFrame, block: int) -> DataFrame:
+    """Deal rows into blocks and repeat them for each block of the other side; the numbers of blocks follow the tables."""
+    n = lambda d: F.greatest(F.lit(1), F.ceil(d.agg(F.count(F.lit(1))).scalar() / block)).cast("int")
+    mine = df.withColumn(own, F.pmod(F.xxhash64(id_), n(df)).cast("int"))
+    return mine.withColumn(other, F.explode(F.sequence(F.lit(0), n(others) - 1)))
+
+
+def _unit(vectors: pd.Series) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length: row numbers and rows of length 1; zero vectors and vectors with gaps are left out."""
+    out = {}
+    lengths = vectors.map(lambda v: -1 if v is None else len(v)).to_numpy()
+    for size in set(lengths.tolist()) - {-1, 0}:
+        rows = np.flatnonzero(lengths == size)
+        m = np.array([np.asarray(v, dtype=float) for v in vectors.iloc[rows]])
+        norm = np.sqrt((m * m).sum(axis=1))
+        ok = np.isfinite(norm) & (norm > 0)
+        out[size] = rows[ok], m[ok] / norm[ok, None]
+    return out
+
+
+def similar_topk(queries: DataFrame, vectors: DataFrame, k: int, floor: float, block: int = BLOCK) -> DataFrame:
     """Exact top-k by cosine at or above ``floor``; vectors of another length never match.
 
-    The query side is counted first. Up to ``QUERY_LIMIT`` queries travel with every vector as one
-    folded array (a scalar subquery), so the vector table is scanned once and never shuffled; more are
-    worked off in as many passes. Each map task keeps only k rows per query before the shuffle.
+    Both sides are dealt into blocks, and each pair of blocks is scored by one matrix product in its own task,
+    which keeps the best k of each query; the best of all blocks are ranked at the end. Nothing is broadcast and
+    no task holds more than two blocks, however many queries there are.
     """
-    unit = lambda v: F.transform(v, lambda x: x.cast("double") / norm(v))
-    n = queries.count()
-    parts = max(1, -(-n // QUERY_LIMIT))
-    base = vectors.withColumn("_v", unit(F.col("embedding")))
-    out = None
-    for p in range(parts):
-        some = queries if parts == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p)
-        folded = some.agg(F.collect_list(F.struct("query_id", unit(F.col("query")).alias("q")))).scalar()
-        scored = F.transform(F.filter("_qs", lambda q: (q["query_id"] != F.col("vec_id")) & (F.size(q["q"]) == F.size("_v"))),
-                             lambda q: F.struct(q["query_id"].alias("query_id"), dot(q["q"], F.col("_v")).alias("similarity")))
-        # Only matches leave the row; the scores of all other queries stay inside the expression.
-        d = base.withColumn("_qs", folded).withColumn("_h", F.explode(F.filter(scored, lambda h: h["similarity"] >= floor)))
-        d = d.select(*vectors.columns, "_h.query_id", "_h.similarity")
-        d = _ranked(d, k)
-        out = d if out is None else out.unionByName(d)
-    return out
+    schema = ", ".join(f"`{n}` {t}" for n, t in vectors.dtypes)
+    own = queries.select("query_id", "query")
+    q = _blocks(own, "query_id", "_qb", "_vb", vectors, block)
+    v = _blocks(vectors, "vec_id", "_vb", "_qb", own, block)
+
+    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        mine, theirs = _unit(left["query"]), _unit(right["embedding"])
+        ids, query_ids = right["vec_id"].to_numpy(), left["query_id"].to_numpy()
+        for size in mine.keys() & theirs.keys():
+            (at, a), (of, b) = mine[size], theirs[size]
+            cosine = a @ b.T
+            for i, row in enumerate(cosine):
+                hit = np.flatnonzero((row >= floor) & (ids[of] != query_ids[at[i]]))
+                best = hit[np.lexsort((ids[of[hit]], -row[hit]))[:k]]
+                found += [(of[j], query_ids[at[i]], row[j]) for j in best]
+        rows = right.iloc[[f[0] for f in found]].drop(columns=["_vb", "_qb"]).reset_index(drop=True)
+        return rows.assign(query_id=[f[1] for f in found], similarity=[f[2] for f in found])
+
+    kind = dict(queries.dtypes)["query_id"]
+    scored = q.groupBy("_qb", "_vb").cogroup(v.groupBy("_qb", "_vb")).applyInPandas(score, f"{schema}, query_id {kind}, similarity double")
+    return _ranked(scored, k)
 
 
 def similar_with_outcome(queries: DataFrame, vectors: DataFrame, k: int, floor: float, has_outcome: Column) -> DataFrame:

@@ -86,10 +86,12 @@ def gap_daily_cap(spark, sf):
     return folds.gap_and_daily_cap(d, ["symbol", "timeframe"], "cand", "day", 3, 4).filter("accepted").select("symbol", "bar_ts")
 
 
-@query("stats_24h", """SELECT symbol, e + INTERVAL '6 hours' AS "at", arg_min(price, (ts, event_id)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts, event_id)) AS close, sum(volume) AS volume, round((arg_max(price, (ts, event_id)) - arg_min(price, (ts, event_id))) / nullif(arg_min(price, (ts, event_id)), 0) * 100, 6) AS change_pct FROM
-  (SELECT *, unnest(generate_series(time_bucket(INTERVAL '6 hours', ts) - INTERVAL '18 hours', time_bucket(INTERVAL '6 hours', ts), INTERVAL '6 hours')) + INTERVAL '18 hours' AS e FROM ticks) GROUP BY symbol, e""", ("ticks",))
+@query("stats_24h", """SELECT symbol, m + INTERVAL '1 minute' AS "at", first_value(o) OVER w AS open, max(h) OVER w AS high, min(l) OVER w AS low, c AS close, sum(v) OVER w AS volume,
+  round((c - first_value(o) OVER w) / nullif(first_value(o) OVER w, 0) * 100, 6) AS change_pct FROM
+  (SELECT symbol, time_bucket(INTERVAL '1 minute', ts) AS m, arg_min(price, (ts, event_id)) AS o, max(price) AS h, min(price) AS l, arg_max(price, (ts, event_id)) AS c, sum(volume) AS v FROM ticks GROUP BY 1, 2)
+  WINDOW w AS (PARTITION BY symbol ORDER BY m RANGE BETWEEN INTERVAL '1439 minutes' PRECEDING AND CURRENT ROW)""", ("ticks",))
 def stats_24h(spark, sf):
-    d = W.stats_24h(D.ticks(spark, sf), slide="6 hours")
+    d = W.stats_24h(D.ticks(spark, sf))
     return rounded(d.withColumn("at", F.col("at").cast("timestamp_ntz")))
 
 

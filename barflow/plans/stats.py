@@ -41,6 +41,15 @@ def windows(spark, sf):
     return stage(d)
 
 
+def with_short(out, spark, sf):
+    """Results as state ok, and a row for every series that is shorter than both windows."""
+    return out.withColumn("state", F.lit("ok")).unionByName(R.short_series(D.bars(spark, sf), 1000, ["symbol"]), allowMissingColumns=True)
+
+
+def short_sql(nulls: str) -> str:
+    return f" UNION ALL SELECT symbol, {nulls}, 'too_short' FROM b GROUP BY symbol HAVING count(*) < 1000"
+
+
 def long_windows(d):
     return N.long_form(d, FEATS, [*KEYS, "recent"])
 
@@ -93,10 +102,10 @@ cte("ksp", """SELECT *, CASE WHEN l2 < 1e-3 THEN 1 ELSE least(greatest(list_sum(
   FROM (SELECT symbol, feature, stat, CAST(n_past AS BIGINT) AS n_past, CAST(n_recent AS BIGINT) AS n_recent, stat * stat * n_past::DOUBLE * n_recent::DOUBLE / (n_past::DOUBLE + n_recent::DOUBLE) AS l2 FROM ksd)""", ("ksd",))
 
 
-@query("ks_drift", "SELECT symbol, feature, round(stat, 9) AS stat, round(p, 9) AS p, n_past, n_recent, p < .05 AND stat > .05 AS drifted FROM ksp", ("ksp",))
+@query("ks_drift", "SELECT symbol, feature, round(stat, 9) AS stat, round(p, 9) AS p, n_past, n_recent, p < .05 AND stat > .05 AS drifted, 'ok' AS state FROM ksp" + short_sql("NULL, NULL, NULL, NULL, NULL, NULL"), ("ksp", "b"))
 def ks_drift(spark, sf):
     out = R.ks_test(long_windows(windows(spark, sf)), [*KEYS, "feature"])
-    return rounded(out.withColumn("drifted", (F.col("p") < 0.05) & (F.col("stat") > 0.05)).drop("timeframe"), 9)
+    return with_short(rounded(out.withColumn("drifted", (F.col("p") < 0.05) & (F.col("stat") > 0.05)).drop("timeframe"), 9), spark, sf)
 
 
 def psi_sql(floor, widen, tail):
@@ -112,16 +121,16 @@ cte("psi_a", psi_sql("1e-6", "0", ""), ("fw",))
 cte("psi_n", psi_sql("1e-4", "1e-9", ""), ("fw",))
 
 
-@query("psi_drift", "SELECT symbol, feature, round(psi, 8) AS psi, psi > .02 AS drifted FROM psi_a", ("psi_a",))
+@query("psi_drift", "SELECT symbol, feature, round(psi, 8) AS psi, psi > .02 AS drifted, 'ok' AS state FROM psi_a" + short_sql("NULL, NULL, NULL"), ("psi_a", "b"))
 def psi_drift(spark, sf):
     out = R.psi(long_windows(windows(spark, sf)), [*KEYS, "feature"])
-    return rounded(out.select("symbol", "feature", "psi", (F.col("psi") > 0.02).alias("drifted")), 8)
+    return with_short(rounded(out.select("symbol", "feature", "psi", (F.col("psi") > 0.02).alias("drifted")), 8), spark, sf)
 
 
-@query("psi_drift_v39", "SELECT symbol, feature, round(psi, 8) AS psi FROM psi_n", ("psi_n",))
+@query("psi_drift_v39", "SELECT symbol, feature, round(psi, 8) AS psi, 'ok' AS state FROM psi_n" + short_sql("NULL, NULL"), ("psi_n", "b"))
 def psi_drift_v39(spark, sf):
     out = R.psi(long_windows(windows(spark, sf)), [*KEYS, "feature"], floor=1e-4, widen=1e-9, min_rows=30)
-    return rounded(out.select("symbol", "feature", "psi"), 8)
+    return with_short(rounded(out.select("symbol", "feature", "psi"), 8), spark, sf)
 
 
 @query("consensus_drift", "SELECT symbol, feature FROM ksp WHERE p < .5 AND stat > .03 INTERSECT SELECT symbol, feature FROM psi_n WHERE psi > .015", ("ksp", "psi_n"))
@@ -148,16 +157,16 @@ def drift_limits(spark, sf):
 
 
 @query("drift_decision", """SELECT symbol, round(nr, 9) AS null_ratio, coalesce(k, 0) AS ks_count, coalesce(p, 0) AS psi_count,
-  CASE WHEN nr > .15 THEN 'skip_sparse' WHEN coalesce(k, 0) > 0 OR coalesce(p, 0) > 0 THEN 'retrain' ELSE 'skip' END AS action FROM
+  CASE WHEN nr > .15 THEN 'skip_sparse' WHEN coalesce(k, 0) > 0 OR coalesce(p, 0) > 0 THEN 'retrain' ELSE 'skip' END AS action, 'ok' AS state FROM
   (SELECT symbol, avg(x) AS nr FROM (SELECT symbol, feature, avg((value IS NULL)::INT) AS x FROM fw WHERE recent GROUP BY ALL) GROUP BY 1)
   LEFT JOIN (SELECT symbol, count(*) AS k FROM ksp WHERE p < .05 AND stat > .05 GROUP BY 1) USING (symbol)
-  LEFT JOIN (SELECT symbol, count(*) AS p FROM psi_a WHERE psi > .05 GROUP BY 1) USING (symbol)""", ("fw", "ksp", "psi_a"))
+  LEFT JOIN (SELECT symbol, count(*) AS p FROM psi_a WHERE psi > .05 GROUP BY 1) USING (symbol)""" + short_sql("NULL, NULL, NULL, NULL"), ("fw", "ksp", "psi_a", "b"))
 def drift_decision(spark, sf):
     d = windows(spark, sf)
     rows = long_windows(d)
     keys = [*KEYS, "feature"]
     out = R.drift_decision(R.ks_drift(rows, keys, 0.05, 0.05), R.psi(rows, keys).filter("psi > 0.05"), R.null_ratio(d.filter("recent"), FEATS, KEYS), KEYS, 0)
-    return rounded(out.drop("timeframe"), 9)
+    return with_short(rounded(out.drop("timeframe"), 9), spark, sf)
 
 
 @query("feature_sanitize", """SELECT symbol, feature, min(value) <> max(value) AS varies, round(avg((value IS NULL)::INT), 9) AS null_share,

@@ -244,6 +244,15 @@ def similar_topk(spark, sf):
     return rounded(V.similar_topk(q, e, 5, 0.1).select("query_id", "vec_id", "similarity"))
 
 
+@query("similar_all", """SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS similarity FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id
+  WHERE list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) >= .1 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) DESC, e.vec_id) <= 3""")
+def similar_all(spark, sf):
+    """Every context against the whole memory."""
+    e = D.table(spark, sf, "embeddings")
+    q = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return rounded(V.similar_topk(q, e, 3, 0.1).select("query_id", "vec_id", "similarity"))
+
+
 @query("similar_with_outcome", f"SELECT query_id, vec_id, label, round(sim, 6) AS similarity FROM (SELECT * FROM ({SIM}) WHERE sim >= .1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) <= 10) WHERE label % 2 = 1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) <= 5")
 def similar_with_outcome(spark, sf):
     q, e = queries_of(spark, sf)

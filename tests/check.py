@@ -28,7 +28,7 @@ def _plain(v):
     if isinstance(v, bool):
         return int(v)
     if isinstance(v, float):
-        return None if math.isnan(v) else (0.0 if v == 0 else v)
+        return "nan" if math.isnan(v) else v  # the sign of zero and NaN count, as they do where results are hashed
     if isinstance(v, (list, tuple)):
         return tuple(_plain(x) for x in v)
     if hasattr(v, "asDict"):
@@ -66,7 +66,7 @@ def compare(spark_df, con, sql, tol: float = 0.0):
     bad = {}
     for a, b in zip(sorted(got, key=_key), sorted(exp, key=_key)):
         for c, x, y in zip(got_c, a, b):
-            same = x == y or (isinstance(x, (int, float)) and isinstance(y, (int, float))
+            same = repr(x) == repr(y) or (x != 0 and isinstance(x, (int, float)) and isinstance(y, (int, float)) and type(x) is type(y)
                               and abs(x - y) <= tol + 1e-12 * max(abs(x), abs(y)))
             if not same:
                 bad.setdefault(c, []).append((x, y, a))
