@@ -1,72 +1,99 @@
 """Rules whose state depends on what they accepted before, without one task per series.
 
-``chunk_fold`` runs such a rule in three steps over chunks of an indexed series: each chunk is
-summarised for every state it could be entered with, summaries are chained per series (one row per
-chunk), and each chunk is run again from its true entry state. Only chunk-sized frames reach Python.
+``chunk_fold`` runs such a rule over chunks of an indexed series. Each chunk is summarised for every state it
+could be entered with; the summaries of ``GROUP`` neighbouring chunks are composed to one, group by group in
+parallel; only groups are chained per series; and from a group's entry state the entry states of its chunks
+follow, group by group again. Each chunk is then run from its true entry state. A task sees one chunk of rows,
+the summaries of one group, or one row per group of a series.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barflow.functions.columns import micros
 from barflow.operators.series import CHUNK, TICK_CHUNK, framed, index_series, running
+from barflow.session import stage
 
+#: Chunks whose summaries are composed in one task.
+GROUP = 256
+_ARROW = {"boolean": pa.bool_(), "double": pa.float64(), "string": pa.string()}
 
-def chunk_fold(df: DataFrame, keys: list[str], cols: list[str], summarise: Callable, advance: Callable, emit: Callable,
-               start, out: str, out_type: str, chunk: int = CHUNK, idx: str = "bar_idx") -> DataFrame:
+
+def chunk_fold(df: DataFrame, keys: list[str], cols: list[str], summarise: Callable, advance: Callable, compose: Callable, emit: Callable,
+               start, out: str, out_type: str, chunk: int = CHUNK, idx: str = "bar_idx", group: int | None = None) -> DataFrame:
     """Add ``out`` to an indexed frame.
 
-    summarise(pdf, first) -> JSON value; advance(state, summary) -> state; emit(pdf, state) -> values.
-    ``pdf`` is one chunk in order; ``first`` tells the first chunk of a series.
+    summarise(values, first) -> JSON value; compose(earlier, later) -> JSON value; advance(state, summary) ->
+    state; emit(values, state) -> array. ``values`` holds the arrays of ``cols`` and the index of one chunk in
+    order; ``first`` tells the first chunk of a series.
     """
     kinds = dict(df.dtypes)
-    part = df.select(*keys, idx, *cols, F.floor(F.col(idx) / F.lit(chunk)).alias("_blk"))
-    key_schema = ", ".join(f"{k} {kinds[k]}" for k in keys)
+    base = df.withColumn("_blk", F.floor(F.col(idx) / F.lit(chunk)))
+    key_schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    top = F.floor(F.col("_blk") / F.lit(group or GROUP)).alias("_top")
+
+    def named(key, names, **more):
+        return pa.table({**{n: pa.array([k.as_py()], k.type) for n, k in zip(names, key)}, **more})
+
+    def arrays(t):
+        return {c: t.column(c).to_numpy() for c in {*cols, idx}}
 
-    def head(pdf):
-        return {k: pdf[k].iloc[0] for k in [*keys, "_blk"]}
+    def summary(key, t):
+        text = json.dumps(summarise(arrays(t.sort_by(idx)), key[-1].as_py() == 0))
+        return named(key, [*keys, "_blk"], _sum=pa.array([text]))
 
-    def summary(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(idx)
-        return pd.DataFrame([{**head(pdf), "_sum": json.dumps(summarise(pdf, pdf["_blk"].iloc[0] == 0))}])
+    def composed(key, t):
+        parts = map(json.loads, t.sort_by("_blk").column("_sum").to_pylist())
+        return named(key, [*keys, "_top"], _sum=pa.array([json.dumps(functools.reduce(compose, parts))]))
 
     def chain(batches):
-        # Summaries arrive sorted and in Arrow batches: memory is one batch however long the series.
         current, state = None, start
-        for pdf in batches:
+        for t in batches:
             entry = []
-            for key, text in zip(zip(*[pdf[k] for k in keys]), pdf["_sum"]):
+            for *key, text in zip(*[t.column(k).to_pylist() for k in [*keys, "_sum"]]):
                 if key != current:
                     current, state = key, start
                 entry.append(json.dumps(state))
                 state = advance(state, json.loads(text))
-            yield pdf.drop(columns="_sum").assign(_entry=entry)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(idx)
-        values = emit(pdf, json.loads(pdf["_entry"].iloc[0]))
-        return pdf[[*keys, idx]].assign(**{out: values})
-
-    sums = part.groupBy(*keys, "_blk").applyInPandas(summary, f"{key_schema}, _blk bigint, _sum string")
-    entries = (sums.repartition(*keys).sortWithinPartitions(*keys, "_blk")
-               .mapInPandas(chain, f"{key_schema}, _blk bigint, _entry string"))
-    done = part.join(entries, [*keys, "_blk"]).groupBy(*keys, "_blk").applyInPandas(run, f"{key_schema}, {idx} bigint, {out} {out_type}")
-    return df.join(done, [*keys, idx])
+            yield pa.RecordBatch.from_arrays([t.column(k) for k in [*keys, "_top"]] + [pa.array(entry, pa.string())], names=[*keys, "_top", "_entry"])
+
+    def descend(t, above):
+        t = t.sort_by("_blk")
+        state, entry = json.loads(above.column("_entry")[0].as_py()), []
+        for text in t.column("_sum").to_pylist():
+            entry.append(json.dumps(state))
+            state = advance(state, json.loads(text))
+        return t.select([*keys, "_blk"]).append_column("_entry", pa.array(entry, pa.string()))
+
+    def run(t, above):
+        t = t.sort_by(idx)
+        values = emit(arrays(t), json.loads(above.column("_entry")[0].as_py()))
+        return t.drop_columns(["_blk"]).append_column(out, pa.array(values, _ARROW[out_type], from_pandas=True))
+
+    sums = stage(base.select(*keys, "_blk", idx, *cols).groupBy(*keys, "_blk").applyInArrow(summary, f"{key_schema}, _blk bigint, _sum string"))
+    placed = sums.select("*", top)
+    tops = placed.groupBy(*keys, "_top").applyInArrow(composed, f"{key_schema}, _top bigint, _sum string")
+    entered = tops.repartition(*keys).sortWithinPartitions(*keys, "_top").mapInArrow(chain, f"{key_schema}, _top bigint, _entry string")
+    entries = placed.groupBy(*keys, "_top").cogroup(entered.groupBy(*keys, "_top")).applyInArrow(descend, f"{key_schema}, _blk bigint, _entry string")
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + f", `{out}` {out_type}"
+    return base.groupBy(*keys, "_blk").cogroup(entries.groupBy(*keys, "_blk")).applyInArrow(run, schema)
 
 
 def greedy_spacing(df: DataFrame, keys: list[str], gap_us: int, order=("ts",), out: str = "accepted", chunk: int = TICK_CHUNK) -> DataFrame:
     """Accept a row if at least ``gap_us`` has passed since the last accepted one of its key.
 
-    A row that far behind its predecessor is accepted whatever came before, so it starts a segment.
-    A segment shorter than the gap holds one accepted row; keys with only such segments, the usual case
-    for repeated ids, never leave the JVM. The others are folded in chunks.
+    A row that far behind its predecessor is accepted whatever came before, so it starts a segment of its own.
+    In a segment shorter than the gap only that row is accepted; repeated ids have no others and never leave the
+    JVM. Longer segments are folded, each as a series of its own.
     """
     idx = index_series(df, keys, order, balanced=True).withColumn("_us", micros(order[0]))
 
@@ -75,39 +102,46 @@ def greedy_spacing(df: DataFrame, keys: list[str], gap_us: int, order=("ts",), o
         return d.withColumn("_cut", prev.isNull() | (F.col("_us") - prev >= gap_us))
 
     d = framed(idx, cuts, before=1, keys=keys)
-    d = running(d, {"_seg": ("max", F.when(F.col("_cut"), F.col("bar_idx")))}, keys, ("bar_idx",))
-    spans = d.groupBy(*keys, "_seg").agg((F.max("_us") - F.min("_us") >= gap_us).alias("_long"))
-    need = spans.groupBy(*keys).agg(F.bool_or("_long").alias("_fold"))
-    d = d.join(need, keys)
-    short = d.filter(~F.col("_fold")).withColumn(out, F.col("_cut"))
-    long_ = d.filter("_fold")
-
-    def hops(us):
-        return np.searchsorted(us, us + gap_us, side="left")
-
-    def summarise(pdf, first):
-        us = pdf["_us"].to_numpy()
-        n, nxt = len(us), hops(us)
-        last = np.arange(n)
-        for i in range(n - 1, -1, -1):
-            if nxt[i] < n:
-                last[i] = last[nxt[i]]
-        # The first accepted row lies before chunk start + gap, or is the first one after it.
-        k = min(n, int(np.searchsorted(us, us[0] + gap_us, side="left")) + 1)
-        # Neighbours that end at the same row are one entry, named by the latest of them.
-        ends = last[:k]
-        keep = np.r_[ends[1:] != ends[:-1], True]
-        return [us[:k][keep].tolist(), us[ends[keep]].tolist()]
+    d = stage(running(d, {"_seg": ("max", F.when(F.col("_cut"), F.col("bar_idx")))}, keys, ("bar_idx",)))
+    spans = d.groupBy(*keys, "_seg").agg((F.max("_us") - F.min("_us") >= gap_us).alias("_long")).filter("_long")
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in [*keys, "_seg"]]
+    d = d.join(spans.select(*[F.col(k).alias(f"_of_{k}") for k in [*keys, "_seg"]], "_long"), functools.reduce(lambda a, b: a & b, same), "left")
+    d = d.drop(*[f"_of_{k}" for k in [*keys, "_seg"]])
+    short = d.filter(F.col("_long").isNull()).withColumn(out, F.col("_cut"))
+    long_ = d.filter("_long").withColumn("_in", F.col("bar_idx") - F.col("_seg"))
+
+    def merged(start, at, final):
+        """Only entries that a state before ``start`` can reach; neighbours with one end are one, named by the latest."""
+        n = int(np.searchsorted(at, start + gap_us, side="left")) + 1
+        at, final = np.asarray(at[:n], np.int64), np.asarray(final[:n], np.int64)
+        keep = np.r_[final[1:] != final[:-1], True]
+        return [int(start), at[keep].tolist(), final[keep].tolist()]
+
+    def summarise(v, first):
+        us = v["_us"]
+        n = len(us)
+        nxt = np.searchsorted(us, us + gap_us, side="left")
+        last = np.where(nxt < n, nxt, np.arange(n))
+        while True:  # twice as far each time
+            further = last[last]
+            if np.array_equal(further, last):
+                break
+            last = further
+        return merged(us[0], us, us[last])
 
     def advance(state, s):
-        at, final = s
+        _, at, final = s
         need = -(2**62) if state is None else state + gap_us
         i = int(np.searchsorted(at, need, side="left"))
-        return final[i] if i < len(at) and at[i] >= need else state
+        return final[i] if i < len(at) else state
+
+    def compose(a, b):
+        later = int(np.searchsorted(b[1], a[1][-1], side="right"))
+        return merged(a[0], a[1] + b[1][later:], [advance(f, b) for f in a[2]] + b[2][later:])
 
-    def emit(pdf, state):
-        us = pdf["_us"].to_numpy()
-        nxt = hops(us)
+    def emit(v, state):
+        us = v["_us"]
+        nxt = np.searchsorted(us, us + gap_us, side="left")
         flags = np.zeros(len(us), bool)
         i = 0 if state is None else int(np.searchsorted(us, state + gap_us, side="left"))
         while i < len(us):
@@ -115,91 +149,115 @@ def greedy_spacing(df: DataFrame, keys: list[str], gap_us: int, order=("ts",), o
             i = int(nxt[i])
         return flags
 
-    folded = chunk_fold(long_, keys, ["_us"], summarise, advance, emit, None, out, "boolean", chunk)
-    return short.unionByName(folded).drop("_us", "_cut", "_seg", "_fold", "bar_idx")
+    folded = chunk_fold(long_, [*keys, "_seg"], ["_us"], summarise, advance, compose, emit, None, out, "boolean", chunk, "_in").drop("_in")
+    return short.unionByName(folded).drop("_us", "_cut", "_seg", "_long", "bar_idx")
 
 
 def moving_baseline(indexed: DataFrame, keys: list[str], price: str, threshold: float, out: str = "baseline", chunk: int = CHUNK) -> DataFrame:
     """Baseline in force before each row; it moves to the price that departs from it by ``threshold``.
 
-    From any entry baseline the first departure in a chunk is a new high or low of the chunk, so a
-    chunk is summarised by those records and the baseline each would lead to at its end.
+    From any entry baseline the first departure in a chunk is a new high or low of the chunk, so a chunk is
+    summarised by those records and the baseline each would lead to at its end. Neighbouring highs, or lows,
+    that lead to the same end are one, named by the latest.
     """
 
     def departs(p, base):
-        return base != 0 and abs((p - base) / base) >= threshold
+        return (base != 0) & (np.abs((p - base) / (base if base != 0 else 1.0)) >= threshold)
+
+    def departure(prices, at, base):
+        """The next row from ``at`` that departs from ``base``, or the number of rows."""
+        width = 64
+        while at < len(prices) and base != 0:
+            hit = np.flatnonzero(departs(prices[at:at + width], base))
+            if len(hit):
+                return at + int(hit[0])
+            at, width = at + width, width * 2
+        return len(prices)
 
     def final(prices, i, memo):
         path = []
         while i not in memo:
             path.append(i)
-            base, at, width, nxt = prices[i], i + 1, 64, None
-            while base != 0 and at < len(prices) and nxt is None:
-                hit = np.flatnonzero(np.abs((prices[at:at + width] - base) / base) >= threshold)
-                if len(hit):
-                    nxt = at + int(hit[0])
-                at, width = at + width, width * 2
-            if nxt is None:
-                memo[i] = base
+            nxt = departure(prices, i + 1, prices[i])
+            if nxt == len(prices):
+                memo[i] = float(prices[i])
                 break
             i = nxt
         for j in path:
             memo[j] = memo[i]
         return memo[i]
 
-    def summarise(pdf, first):
-        p = pdf[price].to_numpy(float)
+    def merged(records, ends, from_first):
+        r, e = np.asarray(records), np.asarray(ends)
+        up = np.r_[True, r[1:] > np.maximum.accumulate(r)[:-1]]
+        # A record goes if the next one is of the same kind and leads to the same end.
+        keep = np.r_[~((up[1:] == up[:-1]) & (e[1:] == e[:-1])), True]
+        keep[0] = True  # the first is high and low at once
+        return [r[keep].tolist(), e[keep].tolist(), from_first]
+
+    def summarise(v, first):
+        p = v[price].astype(float)
         hi, lo = np.maximum.accumulate(p), np.minimum.accumulate(p)
         new = np.flatnonzero(np.r_[True, (p[1:] > hi[:-1]) | (p[1:] < lo[:-1])])
         memo = {}
-        return [p[new].tolist(), [float(final(p, int(i), memo)) for i in new], float(final(p, 0, memo))]
+        return merged(p[new], [final(p, int(i), memo) for i in new], final(p, 0, memo))
 
     def advance(state, s):
         records, ends, from_first = s
         if state is None:
             return from_first
-        for p, end in zip(records, ends):
-            if departs(p, state):
-                return end
-        return state
-
-    def emit(pdf, state):
-        used = []
-        for p in pdf[price].to_numpy(float):
-            used.append(state)
-            if state is None or departs(p, state):
-                state = float(p)
+        hit = np.flatnonzero(departs(np.asarray(records), state))
+        return ends[hit[0]] if len(hit) else state
+
+    def compose(a, b):
+        hi, lo = max(a[0]), min(a[0])
+        new = [(r, e) for r, e in zip(b[0], b[1]) if r > hi or r < lo]
+        return merged(a[0] + [r for r, _ in new], [advance(e, b) for e in a[1]] + [e for _, e in new], advance(a[2], b))
+
+    def emit(v, state):
+        p = v[price].astype(float)
+        used, at = np.empty(len(p), object), 0
+        if state is None:
+            used[0], state, at = None, float(p[0]), 1
+        while at < len(p):
+            nxt = departure(p, at, state)
+            used[at:nxt + 1] = state
+            if nxt < len(p):
+                state = float(p[nxt])
+            at = nxt + 1
         return used
 
-    return chunk_fold(indexed, keys, [price], summarise, advance, emit, None, out, "double", chunk)
+    return chunk_fold(indexed, keys, [price], summarise, advance, compose, emit, None, out, "double", chunk)
 
 
 def gap_and_daily_cap(indexed: DataFrame, keys: list[str], candidate: str, day: str, gap: int, cap: int, out: str = "accepted",
                       chunk: int = CHUNK) -> DataFrame:
     """Accept a candidate bar at least ``gap`` bars after the last accepted one, at most ``cap`` per day.
 
-    A chunk can be entered in (gap + 1) x (cap + 1) states: bars since the last accepted one, and how
-    many the first day of the chunk has taken already.
+    A chunk can be entered in (gap + 1) x (cap + 1) states: bars since the last accepted one, and how many the
+    first day of the chunk has taken already. Candidates are walked once for all states together.
     """
-
-    def fold(i, cand, days, since, used, day0):
-        last, today, flags = i[0] - since, day0, np.zeros(len(i), bool)
-        for k in range(len(i)):
+    states = [(s, u) for s in range(gap + 1) for u in range(cap + 1)]
+
+    def fold(v, since, used):
+        """Arrays of states through the candidates of a chunk; the accepted flags of each state if there is one."""
+        i, days = v["bar_idx"], v[day]
+        last, used, today = i[0] - np.asarray(since), np.asarray(used).copy(), days[0]
+        flags = np.zeros((len(i), len(used)), bool) if len(used) == 1 else None
+        for k in np.flatnonzero(v[candidate].astype(bool)):
             if days[k] != today:
-                today, used = days[k], 0
-            if cand[k] and i[k] - last >= gap and used < cap:
-                last, used = i[k], used + 1
-                flags[k] = True
-        return flags, int(min(gap, i[-1] + 1 - last)), int(used), int(today)
-
-    def arrays(pdf):
-        return pdf["bar_idx"].to_numpy(), pdf[candidate].to_numpy(bool), pdf[day].to_numpy()
-
-    def summarise(pdf, first):
-        i, cand, days = arrays(pdf)
-        day0 = int(days[0])
-        table = {f"{s},{u}": fold(i, cand, days, s, u, day0)[1:] for s in range(gap + 1) for u in range(cap + 1)}
-        return [day0, table]
+                today, used[:] = days[k], 0
+            ok = (i[k] - last >= gap) & (used < cap)
+            last, used = np.where(ok, i[k], last), used + ok
+            if flags is not None:
+                flags[k] = ok
+        if days[-1] != today:
+            today, used[:] = days[-1], 0
+        return flags, np.minimum(gap, i[-1] + 1 - last), used, int(today)
+
+    def summarise(v, first):
+        _, since, used, today = fold(v, *zip(*states))
+        return [int(v[day][0]), [[int(s), int(u), today] for s, u in zip(since, used)]]
 
     def entry(state, day0):
         since, used, today = state
@@ -207,22 +265,24 @@ def gap_and_daily_cap(indexed: DataFrame, keys: list[str], candidate: str, day:
 
     def advance(state, s):
         since, used = entry(state, s[0])
-        return s[1][f"{since},{used}"]
+        return s[1][since * (cap + 1) + used]
 
-    def emit(pdf, state):
-        i, cand, days = arrays(pdf)
-        since, used = entry(state, int(days[0]))
-        return fold(i, cand, days, since, used, int(days[0]))[0]
+    def compose(a, b):
+        return [a[0], [advance(state, b) for state in a[1]]]
 
-    return chunk_fold(indexed, keys, [candidate, day], summarise, advance, emit, [gap, 0, -1], out, "boolean", chunk)
+    def emit(v, state):
+        since, used = entry(state, int(v[day][0]))
+        return fold(v, [since], [used])[0][:, 0]
+
+    return chunk_fold(indexed, keys, [candidate, day], summarise, advance, compose, emit, [gap, 0, -1], out, "boolean", chunk)
 
 
 def rolling_cap(df: DataFrame, keys: list[str], n: int, window_us: int, order=("ts",), out: str = "accepted") -> DataFrame:
     """Accept while fewer than ``n`` rows were accepted in the window before (its far edge excluded).
 
-    The state is the last n accepted times, which has no small summary. Rows are cut where a whole
-    window passed without any row, sorted by Spark, and streamed through in Arrow batches; memory is n
-    times, and tasks follow the segments.
+    The state is the last n accepted times, which has no small summary. Rows are cut where a whole window passed
+    without any row, sorted by Spark, and streamed through in Arrow batches; memory is n times, tasks follow the
+    segments, and only accepted rows are walked.
     """
     idx = index_series(df, keys, order, balanced=True).withColumn("_us", micros(order[0]))
     d = framed(idx, lambda x, r: x.withColumn("_cut", r.lag("_us").isNull() | (F.col("_us") - r.lag("_us") >= window_us)), before=1, keys=keys)
@@ -232,14 +292,22 @@ def rolling_cap(df: DataFrame, keys: list[str], n: int, window_us: int, order=("
     def run(batches):
         current, taken = None, []
         for pdf in batches:
-            flags = []
-            for key, us in zip(zip(*[pdf[k] for k in [*keys, "_seg"]]), pdf["_us"]):
-                if key != current:
-                    current, taken = key, []
-                taken = [t for t in taken if t > us - window_us]
-                flags.append(len(taken) < n)
-                if flags[-1]:
-                    taken.append(us)
+            us, flags = pdf["_us"].to_numpy(), np.zeros(len(pdf), bool)
+            ids = pd.MultiIndex.from_frame(pdf[[*keys, "_seg"]])
+            cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(pdf)] if len(pdf) else [0]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if ids[lo] != current:
+                    current, taken = ids[lo], []
+                i = lo
+                while i < hi:
+                    if len(taken) == n:  # nothing passes until the oldest of the last n is a window away
+                        i = lo + int(np.searchsorted(us[lo:hi], max(us[i], taken[0] + window_us), side="left"))
+                        if i >= hi or us[i] < taken[0] + window_us:
+                            break
+                        taken = taken[1:]
+                    flags[i] = True
+                    taken.append(int(us[i]))
+                    i += 1
             yield pdf.assign(**{out: flags})
 
     schema = ", ".join(f"`{c}` {t}" for c, t in d.dtypes) + f", {out} boolean"

@@ -53,34 +53,47 @@ def smooth_labels(df: DataFrame, label: str, out: str, min_bars: int = 6, keys=K
     place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col(label)).cast("int") - 1
     code = F.when(place < 0, F.raise_error(F.concat(F.lit("unknown regime: "), F.col(label))).cast("int")).otherwise(place)
 
-    def step(held, seen, x):
+    def runs(codes):
+        """Code and length of each stretch of equal codes."""
+        cuts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1], True])
+        return [(int(codes[a]), int(b - a)) for a, b in zip(cuts, cuts[1:])]
+
+    def step(held, seen, x, n):
+        """All states over a stretch of n equal codes: it matches, it takes over at its first row, or nothing happens."""
         same = held == x
         flip = ~same & (seen >= min_bars)
-        return np.where(flip, x, held), np.where(same, np.minimum(seen + 1, min_bars), np.where(flip, 1, seen))
+        return np.where(flip, x, held), np.where(same, np.minimum(seen + n, min_bars), np.where(flip, np.minimum(n, min_bars), seen))
 
-    def summarise(pdf, first):
-        codes = pdf["_code"].to_numpy()
+    def summarise(v, first):
+        codes = v["_code"]
         held, seen = np.divmod(np.arange(states), width)
         if first:
             held, seen, codes = np.full(states, codes[0]), np.zeros(states, int), codes[1:]
-        for x in codes:
-            held, seen = step(held, seen, x)
+        for x, n in runs(codes) if len(codes) else []:
+            held, seen = step(held, seen, x, n)
         return (held * width + seen).tolist()
 
     def advance(state, table):
         return table[0 if state is None else state]
 
-    def emit(pdf, state):
-        held, seen = (None, 0) if state is None else divmod(state, width)
-        res = []
-        for x in pdf["_code"].tolist():
-            if held is None:
-                held = x
-            elif x == held:
-                seen = min(seen + 1, min_bars)
+    def compose(a, b):
+        return [b[state] for state in a]
+
+    def emit(v, state):
+        codes, at = v["_code"], 0
+        res = np.empty(len(codes), object)
+        if state is None:
+            held, seen, at = int(codes[0]), 0, 1
+            res[0] = names[held]
+        else:
+            held, seen = divmod(state, width)
+        for x, n in runs(codes[at:]) if at < len(codes) else []:
+            if x == held:
+                seen = min(seen + n, min_bars)
             elif seen >= min_bars:
-                held, seen = x, 1
-            res.append(names[held])
+                held, seen = x, min(n, min_bars)
+            res[at:at + n] = names[held]
+            at += n
         return res
 
-    return chunk_fold(df.withColumn("_code", code), list(keys), ["_code"], summarise, advance, emit, None, out, "string", chunk).drop("_code")
+    return chunk_fold(df.withColumn("_code", code), list(keys), ["_code"], summarise, advance, compose, emit, None, out, "string", chunk).drop("_code")

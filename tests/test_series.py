@@ -168,3 +168,41 @@ def test_regime_smoothing(spark):
         else:
             want[i] = cur
     assert got == want
+
+
+@pytest.fixture
+def small_groups(monkeypatch):
+    """Three chunks to a group, so that short series already go through composition and several groups."""
+    monkeypatch.setattr(folds, "GROUP", 3)
+
+
+def test_hot_key_without_pauses(spark, small_groups):
+    """One key holds nine tenths of the rows and never pauses for the gap; chunks both shorter and longer than it."""
+    g = np.random.default_rng(11)
+    hot = np.sort(g.choice(30_000, 1800, replace=False))
+    rest = [(f"k{i % 20}", int(t)) for i, t in enumerate(np.sort(g.choice(30_000, 200, replace=False)))]
+    rows = [("hot", int(t)) for t in hot] + rest
+    df = spark.createDataFrame(pd.DataFrame({"k": [r[0] for r in rows], "ts": pd.to_datetime([r[1] for r in rows], unit="s")}), "k string, ts timestamp_ntz")
+    for gap in (60, 900, 5000):
+        got = folds.greedy_spacing(df, ["k"], gap * 1_000_000, chunk=16).orderBy("ts").toPandas()
+        for key in {r[0] for r in rows}:
+            assert got[got.k == key].accepted.tolist() == brute_spacing(sorted(t for k, t in rows if k == key), gap)
+
+
+@pytest.mark.parametrize("thr", [0.003, 0.05])
+def test_composed_baselines_on_trends_and_zero(spark, small_groups, thr):
+    g = np.random.default_rng(2)
+    price = np.r_[100 * np.cumprod(1 + 0.004 * np.abs(g.standard_normal(150))), 0.0, 150 - np.arange(140) * 0.7, 80 + g.standard_normal(100)]
+    d = spark.createDataFrame(pd.DataFrame({"k": "a", "bar_idx": range(len(price)), "p": price}), "k string, bar_idx bigint, p double")
+    got = folds.moving_baseline(d, ["k"], "p", thr, chunk=8).orderBy("bar_idx").toPandas().baseline
+    base, want = None, []
+    for p in price:
+        want.append(base)
+        if base is None or (base != 0 and abs((p - base) / base) >= thr):
+            base = p
+    assert [None if pd.isna(x) else x for x in got] == want
+
+
+def test_composed_gaps_and_regimes(spark, idx, data, small_groups):
+    test_gap_and_daily_cap(spark, idx, data)
+    test_regime_smoothing(spark)
