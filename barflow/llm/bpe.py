@@ -19,13 +19,14 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barflow.llm.common import table
+from barflow.llm.common import slices, table
 from barflow.llm.registry import query
 
 #: Entries that a task remembers for pieces, halves and boundary windows; beyond it they are forgotten and made anew.
@@ -146,17 +147,19 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = Texts(*sent.value)
         for batch in batches:
-            rows: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": []}
-            for text in batch.column(1):
-                joined, data = texts.encode(text.as_py() or "")
-                rows["n_tokens"].append(joined.count(",") + 1 if joined else 0)
-                rows["ids_sha256"].append(hashlib.sha256(joined.encode()).hexdigest())
-                rows["decoded_sha256"].append(hashlib.sha256(data).hexdigest())
+            for lo, hi in slices(batch.column(1)):  # what a task holds at a time follows bytes, not rows
+                n_tokens, ids_sha, data_sha, tokens = [], [], [], []
+                for text in batch.column(1)[lo:hi]:
+                    joined, data = texts.encode(text.as_py() or "")
+                    n_tokens.append(joined.count(",") + 1 if joined else 0)
+                    ids_sha.append(hashlib.sha256(joined.encode()).hexdigest())
+                    data_sha.append(hashlib.sha256(data).hexdigest())
+                    if ids:
+                        tokens.append(np.fromstring(joined, np.int32, sep=","))
+                arrays = [batch.column(0)[lo:hi], pa.array(n_tokens, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(data_sha, pa.string())]
                 if ids:
-                    rows["ids"].append(list(map(int, joined.split(","))) if joined else [])
-            arrays = [batch.column(0), pa.array(rows["n_tokens"], pa.int64()), pa.array(rows["ids_sha256"], pa.string()), pa.array(rows["decoded_sha256"], pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays + [pa.array(rows["ids"], pa.list_(pa.int32()))] * ids,
-                                             names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids)
+                    arrays.append(pa.ListArray.from_arrays(np.r_[0, np.cumsum(n_tokens)].astype(np.int32), np.concatenate(tokens)))
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
