@@ -180,6 +180,12 @@ def trailing_stop(bars: DataFrame, keys, mult: float, side: Column, atr: str = "
     return d.withColumn("stop", F.when(side == "long", F.col("_s")).otherwise(-F.col("_s"))).drop("_s")
 
 
+def trailing_stops(bars: DataFrame, keys, mult: float, atr: str = "atr", price: str = "close", order=("bar_idx",)) -> DataFrame:
+    """long_stop and short_stop since entry, both levels in one running pass."""
+    reach = mult * F.col(atr)
+    return running(bars, {"long_stop": ("max", F.col(price) - reach), "short_stop": ("min", F.col(price) + reach)}, keys, order)
+
+
 def decision_patterns(df: DataFrame) -> DataFrame:
     """Counts and success per signal; the row with a NULL signal is the total."""
     known = F.col("pnl").isNotNull()

@@ -10,6 +10,8 @@ from barflow.operators import bars as B
 from barflow.operators import quality as Q
 from barflow.operators import series as S
 from barflow.plans import domain as D
+from barflow.sources import tables as TB
+from barflow.session import stage
 from barflow.plans.registry import cte, query
 
 OHLC = "symbol, bar_ts, open, high, low, close, volume"
@@ -23,7 +25,8 @@ def bars_from_events(spark, sf):
 @query("candle_scan", f"""SELECT {OHLC} FROM bars WHERE symbol = 'click'
   AND bar_ts >= TIMESTAMP '2024-01-05' AND bar_ts <= TIMESTAMP '2024-01-20'""", ("bars",))
 def candle_scan(spark, sf):
-    return B.scan_range(D.bars(spark, sf), "click", "30m", "2024-01-05", "2024-01-20").drop("timeframe", "n")
+    stored = TB.read_bars(spark, D.stored_bars(spark, D.bars(spark, sf)), "2024-01-05", "2024-01-20")
+    return B.scan_range(stored, "click", "30m", "2024-01-05", "2024-01-20").drop("timeframe", "n")
 
 
 @query("candle_upsert", f"""SELECT symbol, bar_ts,
@@ -36,7 +39,9 @@ def candle_upsert(spark, sf):
     late = b.filter(F.col("bar_ts") >= F.lit("2024-01-15").cast("timestamp_ntz"))
     batch = late.withColumn("seq", F.lit(1)).unionByName(
         late.withColumns({c: F.col(c) + 1 for c in B.OHLCV[:4]}).withColumn("seq", F.lit(2)))
-    return B.upsert(stored, batch).drop("timeframe")
+    path = D.stored_bars(spark, stored.drop("n"))
+    TB.upsert_bars(spark, path, batch)
+    return TB.read_bars(spark, path).drop("timeframe")
 
 
 @query("candle_normalize", """SELECT symbol, time_bucket(INTERVAL '60 seconds', ts) AS bar_ts,
@@ -89,10 +94,8 @@ cte("perp", """SELECT symbol, b.bar_ts, open, high, low, close, volume, mark_pri
 
 def perp_matrix(spark, sf):
     """OHLCV with mark, funding and open interest, the three filled forward."""
-    m = D.bars(spark, sf, 3600).drop("n")
-    for side in (D.mark(spark, sf), D.funding(spark, sf), D.open_interest(spark, sf)):
-        m = m.join(side, "bar_ts", "left")
-    return Q.fill_forward(S.index_series(m), ["mark_price", "funding_rate", "open_interest"], None)
+    m = D.bars(spark, sf, 3600).drop("n").join(D.all_sides(spark, sf), "bar_ts", "left")
+    return Q.fill_forward(S.index_series(stage(m)), ["mark_price", "funding_rate", "open_interest"], None)
 
 
 cte("perp_filled", """SELECT * REPLACE (last_value(mark_price IGNORE NULLS) OVER w AS mark_price,
@@ -297,9 +300,9 @@ def asof_join(spark, sf):
   ASOF LEFT JOIN r4 ON b.symbol = r4.symbol AND b.bar_ts >= r4.bar_ts
   ASOF LEFT JOIN funding_s f ON b.bar_ts >= f.bar_ts""", ("bars", "r4", "bars2h", "funding_s"))
 def asof_chain(spark, sf):
-    b = D.bars(spark, sf)
+    b = stage(D.bars(spark, sf))
     two = D.bars(spark, sf, 7200).withColumn("bar_ts", F.expr("bar_ts + INTERVAL 2 HOURS"))
-    fund = _per_symbol(b, D.funding(spark, sf))
+    fund = _per_symbol(b, stage(D.funding(spark, sf)))
     return S.asof_join(b.select("symbol", "bar_ts", "close"), [
         (two, "bar_ts", {"close": "h_close"}), (B.resample(b, 14400), "bar_ts", {"close": "h1_close"}),
         (fund, "bar_ts", {"funding_rate": "funding_rate"})])
@@ -327,8 +330,8 @@ def htf_align(spark, sf):
        ("bars2h",))
 def labeled_scan(spark, sf):
     from barflow.sources.tables import load_partition
-    both = D.bars(spark, sf).unionByName(D.bars(spark, sf, 7200))
-    return rounded(load_partition(both, "2h").groupBy("timeframe", "symbol")
+    path = D.stored_bars(spark, D.bars(spark, sf).unionByName(D.bars(spark, sf, 7200)))
+    return rounded(load_partition(TB.read_bars(spark, path), "2h").groupBy("timeframe", "symbol")
                    .agg(F.count(F.lit(1)).alias("rows"), F.avg("close").alias("mean_close")))
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barflow.operators import bars as B
 from barflow.operators.series import index_series
 from barflow.plans.registry import cte
-from barflow.session import stage
+from barflow.session import shared_folder, stage
+from barflow.sources.tables import write_bars
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -46,6 +49,13 @@ def indexed(spark, sf, seconds: int = 1800) -> DataFrame:
     return index_series(stage(bars(spark, sf, seconds)))
 
 
+def stored_bars(spark, rows: DataFrame) -> str:
+    """Write bars as a partitioned table in the shared folder and return its path."""
+    path = f"{shared_folder(spark)}/bars-{uuid.uuid4().hex}"
+    write_bars(rows, path)
+    return path
+
+
 def side_series(spark, sf, event_type: str, out: str, scale: float) -> DataFrame:
     """Hourly mean of one event type as a side series shared by all symbols' bars of that hour."""
     t = ticks(spark, sf).filter(F.col("symbol") == event_type)
@@ -66,6 +76,19 @@ cte("mark_s", side_sql("view", "mark_price", 100.0), ("ticks",))
 cte("oi_s", side_sql("error", "open_interest", 1.0), ("ticks",))
 
 
+SIDES = {"mark_price": ("view", 100.0), "funding_rate": ("signup", 1.0e7), "open_interest": ("error", 1.0)}
+
+
+def all_sides(spark, sf) -> DataFrame:
+    """The three side series in one pass over the ticks, a row per hour that has any of them."""
+    t = ticks(spark, sf).filter(F.col("symbol").isin([kind for kind, _ in SIDES.values()]))
+    sums = []
+    for out, (kind, scale) in SIDES.items():
+        own = F.when(F.col("symbol") == kind, F.round(F.col("price") * 100).cast("bigint"))
+        sums.append(F.try_divide(F.sum(own), F.count_if(F.col("symbol") == kind) * scale).alias(out))
+    return t.groupBy(B.bucket_start_ntz("ts", 3600).alias("bar_ts")).agg(*sums)
+
+
 def funding(spark, sf):
     return side_series(spark, sf, "signup", "funding_rate", 1.0e7)
 

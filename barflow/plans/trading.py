@@ -122,8 +122,7 @@ def running_performance(spark, sf):
 def trailing_stop(spark, sf):
     d = scanned(spark, sf, [S.ema("atr", "_tr0", 14)]).withColumn("trade", F.floor(F.col("bar_idx") / 100))
     keys = [*S.KEYS, "trade"]
-    d = P.trailing_stop(d, keys, 1.5, F.lit("long")).withColumnRenamed("stop", "long_stop")
-    d = P.trailing_stop(d, keys, 1.5, F.lit("short")).withColumnRenamed("stop", "short_stop")
+    d = P.trailing_stops(stage(d.select(*S.KEYS, "bar_idx", "bar_ts", "close", "atr", "trade")), keys, 1.5)
     return rounded(d.select("symbol", "bar_ts", "long_stop", "short_stop"))
 
 

@@ -1,25 +1,47 @@
-"""Parquet tables laid out for pruning: partitioned by symbol and timeframe, sorted by time."""
+"""Parquet tables laid out for pruning: partitioned by symbol, timeframe and month, sorted by time."""
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barflow.operators import bars as B
+from barflow.session import stage
+
+PARTITIONS = ["symbol", "timeframe", "month"]
+
+
+def month_of(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM")
+
 
 def write_bars(bars: DataFrame, path: str, mode: str = "append") -> None:
     """Append or replace partitions. Rows are clustered by key and month, so a hot symbol is many files."""
-    month = F.date_format("bar_ts", "yyyy-MM")
-    (bars.withColumn("month", month).repartition("symbol", "timeframe", "month")
+    (bars.withColumn("month", month_of(F.col("bar_ts"))).repartition(*PARTITIONS)
      .sortWithinPartitions("symbol", "timeframe", "bar_ts")
      .write.mode(mode).option("partitionOverwriteMode", "dynamic")
-     .partitionBy("symbol", "timeframe", "month").parquet(path))
+     .partitionBy(*PARTITIONS).parquet(path))
+
+
+def read_bars(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Bars at ``path``; filters on symbol and timeframe prune folders, and so does a range given by ``start`` and ``end``."""
+    d = spark.read.parquet(path)
+    for bound, keep in ((start, lambda m, b: m >= b), (end, lambda m, b: m <= b)):
+        if bound is not None:
+            ts = F.lit(bound).cast("timestamp_ntz")
+            d = d.filter(keep(F.col("month"), month_of(ts)) & keep(F.col("bar_ts"), ts))
+    return d.drop("month")
 
 
-def read_bars(spark: SparkSession, path: str) -> DataFrame:
-    """Bars at ``path``; filters on symbol, timeframe and month prune folders."""
-    return spark.read.parquet(path).drop("month")
+def upsert_bars(spark: SparkSession, path: str, batch: DataFrame) -> None:
+    """Merge a batch into the table: only the folders that the batch touches are read and written again."""
+    touched = batch.select("symbol", "timeframe", month_of(F.col("bar_ts")).alias("month")).distinct()
+    stored = spark.read.parquet(path).join(touched, PARTITIONS, "left_semi").drop("month")
+    # Written aside first: the folders being replaced are those being read.
+    write_bars(stage(B.upsert(stored, batch)), path, "overwrite")
 
 
 def load_partition(labeled: DataFrame, timeframe: str) -> DataFrame:
@@ -29,9 +51,9 @@ def load_partition(labeled: DataFrame, timeframe: str) -> DataFrame:
 
 def read_labeled(spark: SparkSession, folder: str, timeframe: str) -> DataFrame | None:
     """``labeled_{timeframe}.parquet`` under ``folder``, None if it does not exist."""
-    path = os.path.join(folder, f"labeled_{timeframe}.parquet")
-    jvm = spark._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    try:
+        return spark.read.parquet(os.path.join(folder, f"labeled_{timeframe}.parquet"))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    return spark.read.parquet(path)

@@ -66,8 +66,9 @@ def compare(spark_df, con, sql, tol: float = 0.0):
     bad = {}
     for a, b in zip(sorted(got, key=_key), sorted(exp, key=_key)):
         for c, x, y in zip(got_c, a, b):
-            same = repr(x) == repr(y) or (x != 0 and isinstance(x, (int, float)) and isinstance(y, (int, float)) and type(x) is type(y)
-                              and abs(x - y) <= tol + 1e-12 * max(abs(x), abs(y)))
+            same = x == y
+            if isinstance(x, (int, float)) and isinstance(y, (int, float)):
+                same = abs(x - y) <= tol + 1e-12 * max(abs(x), abs(y)) and math.copysign(1, x) == math.copysign(1, y)
             if not same:
                 bad.setdefault(c, []).append((x, y, a))
     if not bad:
