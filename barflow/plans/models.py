@@ -342,21 +342,27 @@ def context_regime(spark, sf):
     return D.fills(spark, sf).select("trade_id", G.context_regime(F.col("quantity") / 1000, F.col("confidence")).alias("regime"))
 
 
-REJ_SQL = """CASE WHEN signal = 'HOLD' THEN 'hold' WHEN age > 45 THEN 'stale' WHEN rule = 'HOLD' THEN 'edge_gate' WHEN (os = 'long' AND signal LIKE '%SELL') OR (os = 'short' AND signal LIKE '%BUY') THEN 'reversal_exit'
-  WHEN os IS NOT NULL THEN 'position_open' WHEN confidence < .55 THEN 'low_confidence' WHEN vol IS NULL THEN 'no_volatility' WHEN cash < notional THEN 'margin' WHEN NOT ok THEN 'risk' WHEN NOT (sl <= 0 OR tp <= 0 OR tp / sl >= 1.2) THEN 'reward'
-  WHEN (signal LIKE '%BUY' AND tr < 0) OR (signal LIKE '%SELL' AND tr > 0) THEN 'timeframe_conflict' WHEN adx < 20 AND signal IN ('BUY', 'SELL') THEN 'ranging' WHEN signal LIKE '%BUY' AND bb >= .92 THEN 'near_upper_band' WHEN quantity < 3 THEN 'lots' END"""
-cte("rj", f"SELECT trade_id, {REJ_SQL} AS reason FROM (SELECT *, CASE WHEN prediction > .6 THEN 'STRONG_BUY' WHEN prediction > .2 THEN 'BUY' WHEN prediction < -.6 THEN 'STRONG_SELL' WHEN prediction < -.2 THEN 'SELL' ELSE 'HOLD' END AS signal, order_id % 60 AS age, CASE WHEN order_id % 11 = 0 THEN 'HOLD' ELSE 'BUY' END AS rule, CASE order_id % 13 WHEN 0 THEN 'long' WHEN 1 THEN 'short' END AS os, CASE WHEN order_id % 17 <> 0 THEN quantity END AS vol, 80000.0 AS cash, order_id % 19 <> 0 AS ok, .01::DOUBLE AS sl, confidence / 50 AS tp, (order_id % 3) - 1 AS tr, quantity AS adx, actual AS bb FROM fills)", ("fills",))
+REJ_SQL = """CASE WHEN signal = 'HOLD' THEN 'hold' WHEN age > 45 THEN 'stale' WHEN rule = 'HOLD' THEN 'edge_gate' WHEN NOT buy AND NOT sell THEN 'unknown_signal' WHEN (os = 'long' AND sell) OR (os = 'short' AND buy) THEN 'reversal_exit'
+  WHEN os IS NOT NULL THEN 'position_open' WHEN confidence < .55 THEN 'low_confidence' WHEN price IS NULL THEN 'no_price' WHEN vol IS NULL THEN 'no_volatility' WHEN vol < 3 THEN 'low_volatility' WHEN atr / price < .0015 THEN 'low_atr'
+  WHEN cash < notional THEN 'margin' WHEN NOT ok THEN 'risk' WHEN NOT (sl <= 0 OR tp <= 0 OR tp / sl >= 1.2) THEN 'reward' WHEN (buy AND tr < 0) OR (sell AND tr > 0) THEN 'timeframe_conflict' WHEN adx < 20 AND signal IN ('BUY', 'SELL') THEN 'ranging'
+  WHEN (buy AND price < ema) OR (sell AND price > ema) THEN 'against_ema200' WHEN buy AND bb >= .92 THEN 'near_upper_band' WHEN buy AND res > 0 THEN 'at_resistance' WHEN buy AND rstr >= {cap} THEN 'resistance_strength' WHEN sell AND sup > 0 THEN 'at_support'
+  WHEN sell AND sstr >= {cap} THEN 'support_strength' WHEN buy AND brk < .5 THEN 'signal_filter' WHEN lots < 1 THEN 'lots' END""".format(cap=A.EntryLimits().strength_cap)
+cte("rj", f"""SELECT trade_id, {REJ_SQL} AS reason FROM (SELECT *, signal LIKE '%BUY' AS buy, signal LIKE '%SELL' AS sell FROM (SELECT * EXCLUDE (actual), CASE WHEN order_id % 97 = 5 THEN 'WAIT' WHEN prediction > .6 THEN 'STRONG_BUY' WHEN prediction > .2 THEN 'BUY' WHEN prediction < -.6 THEN 'STRONG_SELL'
+  WHEN prediction < -.2 THEN 'SELL' ELSE 'HOLD' END AS signal, order_id % 60 AS age, CASE WHEN order_id % 11 = 0 THEN 'HOLD' ELSE 'BUY' END AS rule, CASE order_id % 13 WHEN 0 THEN 'long' WHEN 1 THEN 'short' END AS os, CASE WHEN order_id % 89 <> 0 THEN entry_price END AS price,
+  CASE WHEN order_id % 17 <> 0 THEN order_id % 53 END AS vol, entry_price * ((order_id % 23) / 1000.0::DOUBLE) AS atr, 80000.0 AS cash, order_id % 19 <> 0 AS ok, .01::DOUBLE AS sl, confidence / 50 AS tp, (order_id % 3) - 1 AS tr, quantity AS adx,
+  entry_price * (1 + ((order_id % 29) - 14) / 100.0::DOUBLE) AS ema, actual AS bb, order_id % 31 = 0 AS res, (order_id % 37) / 40.0::DOUBLE AS rstr, order_id % 41 = 0 AS sup, (order_id % 43) / 40.0::DOUBLE AS sstr, (order_id % 47) / 10.0::DOUBLE AS brk, order_id % 59 - 1 AS lots FROM fills))""".replace("res > 0", "res").replace("sup > 0", "sup"), ("fills",))
 
 
 def rejections(spark, sf):
+    """Every check fed from the line item, so that each of them decides for some rows."""
     c, p, o = F.col, F.col("prediction"), F.col("order_id")
-    sig = F.when(p > 0.6, "STRONG_BUY").when(p > 0.2, "BUY").when(p < -0.6, "STRONG_SELL").when(p < -0.2, "SELL").otherwise("HOLD")
-    none = F.lit(None).cast("double")
+    sig = F.when(o % 97 == 5, "WAIT").when(p > 0.6, "STRONG_BUY").when(p > 0.2, "BUY").when(p < -0.6, "STRONG_SELL").when(p < -0.2, "SELL").otherwise("HOLD")
     d = D.fills(spark, sf).withColumns({
-        "signal": sig, "age_seconds": o % 60, "edge_signal": F.when(o % 11 == 0, "HOLD").otherwise("BUY"), "open_side": F.when(o % 13 == 0, "long").when(o % 13 == 1, "short"), "price": c("entry_price"),
-        "volatility": F.when(o % 17 != 0, c("quantity")), "atr": none, "required": c("notional"), "cash": F.lit(80000.0), "risk_ok": o % 19 != 0, "sl_pct": F.lit(0.01), "tp_pct": c("confidence") / 50, "trend_15m": o % 3 - 1,
-        "adx": c("quantity"), "ema_200": none, "bb_position": c("actual"), "at_resistance": none, "resistance_strength": none, "at_support": none, "support_strength": none, "breakout_score": none, "lots": c("quantity") - 2})
-    return d.withColumn("reason", A.reject_reason(A.EntryLimits(min_confidence=0.55)))
+        "signal": sig, "age_seconds": o % 60, "edge_signal": F.when(o % 11 == 0, "HOLD").otherwise("BUY"), "open_side": F.when(o % 13 == 0, "long").when(o % 13 == 1, "short"),
+        "price": F.when(o % 89 != 0, c("entry_price")), "volatility": F.when(o % 17 != 0, o % 53), "atr": c("entry_price") * ((o % 23) / 1000.0), "required": c("notional"), "cash": F.lit(80000.0), "risk_ok": o % 19 != 0,
+        "sl_pct": F.lit(0.01), "tp_pct": c("confidence") / 50, "trend_15m": o % 3 - 1, "adx": c("quantity"), "ema_200": c("entry_price") * (1 + (o % 29 - 14) / 100.0), "bb_position": c("actual"),
+        "at_resistance": (o % 31 == 0).cast("int"), "resistance_strength": (o % 37) / 40.0, "at_support": (o % 41 == 0).cast("int"), "support_strength": (o % 43) / 40.0, "breakout_score": (o % 47) / 10.0, "lots": o % 59 - 1})
+    return d.withColumn("reason", A.reject_reason(A.EntryLimits(min_confidence=0.55, min_volatility=3.0, min_atr_pct=0.0015, breakout_floor=0.5)))
 
 
 @query("reject_reason", "SELECT * FROM rj", ("rj",))
