@@ -88,6 +88,60 @@ def chunk_fold(df: DataFrame, keys: list[str], cols: list[str], summarise: Calla
     return base.groupBy(*keys, "_blk").cogroup(entries.groupBy(*keys, "_blk")).applyInArrow(run, schema)
 
 
+def spaced(us: np.ndarray, last: int | None, gap_us: int) -> tuple[np.ndarray, int | None]:
+    """Which of the times in order are at least the gap after the last accepted one, and the last accepted."""
+    flags = np.zeros(len(us), bool)
+    i = 0 if last is None else int(np.searchsorted(us, last + gap_us, side="left"))
+    while i < len(us):
+        flags[i], last = True, int(us[i])
+        i = int(np.searchsorted(us, last + gap_us, side="left"))
+    return flags, last
+
+
+def capped(us: np.ndarray, taken: list[int], n: int, window_us: int) -> tuple[np.ndarray, list[int]]:
+    """Which of the times in order are accepted, at most n in a window, and the last n accepted."""
+    flags, i = np.zeros(len(us), bool), 0
+    while i < len(us):
+        if len(taken) == n:  # nothing passes until the oldest of the last n is a window away
+            i = max(i, int(np.searchsorted(us, taken[0] + window_us, side="left")))
+            if i >= len(us):
+                break
+            taken = taken[1:]
+        flags[i] = True
+        taken = [*taken, int(us[i])]
+        i += 1
+    return flags, taken
+
+
+def departs(p, base: float, threshold: float):
+    return (base != 0) & (np.abs((p - base) / (base if base != 0 else 1.0)) >= threshold)
+
+
+def departure(prices: np.ndarray, at: int, base: float, threshold: float) -> int:
+    """The next row from ``at`` that departs from ``base``, or the number of rows."""
+    width = 64
+    while at < len(prices) and base != 0:
+        hit = np.flatnonzero(departs(prices[at:at + width], base, threshold))
+        if len(hit):
+            return at + int(hit[0])
+        at, width = at + width, width * 2
+    return len(prices)
+
+
+def followed(prices: np.ndarray, base: float | None, threshold: float) -> tuple[np.ndarray, float | None]:
+    """The baseline in force before each price, and the one after all; the first price of all becomes the baseline."""
+    used, at = np.full(len(prices), np.nan), 0
+    if base is None and len(prices):
+        base, at = float(prices[0]), 1
+    while at < len(prices):
+        nxt = departure(prices, at, base, threshold)
+        used[at:nxt + 1] = base
+        if nxt < len(prices):
+            base = float(prices[nxt])
+        at = nxt + 1
+    return used, base
+
+
 def greedy_spacing(df: DataFrame, keys: list[str], gap_us: int, order=("ts",), out: str = "accepted", chunk: int = TICK_CHUNK) -> DataFrame:
     """Accept a row if at least ``gap_us`` has passed since the last accepted one of its key.
 
@@ -140,14 +194,7 @@ def greedy_spacing(df: DataFrame, keys: list[str], gap_us: int, order=("ts",), o
         return merged(a[0], a[1] + b[1][later:], [advance(f, b) for f in a[2]] + b[2][later:])
 
     def emit(v, state):
-        us = v["_us"]
-        nxt = np.searchsorted(us, us + gap_us, side="left")
-        flags = np.zeros(len(us), bool)
-        i = 0 if state is None else int(np.searchsorted(us, state + gap_us, side="left"))
-        while i < len(us):
-            flags[i] = True
-            i = int(nxt[i])
-        return flags
+        return spaced(v["_us"], state, gap_us)[0]
 
     folded = chunk_fold(long_, [*keys, "_seg"], ["_us"], summarise, advance, compose, emit, None, out, "boolean", chunk, "_in").drop("_in")
     return short.unionByName(folded).drop("_us", "_cut", "_seg", "_long", "bar_idx")
@@ -161,24 +208,11 @@ def moving_baseline(indexed: DataFrame, keys: list[str], price: str, threshold:
     that lead to the same end are one, named by the latest.
     """
 
-    def departs(p, base):
-        return (base != 0) & (np.abs((p - base) / (base if base != 0 else 1.0)) >= threshold)
-
-    def departure(prices, at, base):
-        """The next row from ``at`` that departs from ``base``, or the number of rows."""
-        width = 64
-        while at < len(prices) and base != 0:
-            hit = np.flatnonzero(departs(prices[at:at + width], base))
-            if len(hit):
-                return at + int(hit[0])
-            at, width = at + width, width * 2
-        return len(prices)
-
     def final(prices, i, memo):
         path = []
         while i not in memo:
             path.append(i)
-            nxt = departure(prices, i + 1, prices[i])
+            nxt = departure(prices, i + 1, prices[i], threshold)
             if nxt == len(prices):
                 memo[i] = float(prices[i])
                 break
@@ -206,7 +240,7 @@ def moving_baseline(indexed: DataFrame, keys: list[str], price: str, threshold:
         records, ends, from_first = s
         if state is None:
             return from_first
-        hit = np.flatnonzero(departs(np.asarray(records), state))
+        hit = np.flatnonzero(departs(np.asarray(records), state, threshold))
         return ends[hit[0]] if len(hit) else state
 
     def compose(a, b):
@@ -215,17 +249,7 @@ def moving_baseline(indexed: DataFrame, keys: list[str], price: str, threshold:
         return merged(a[0] + [r for r, _ in new], [advance(e, b) for e in a[1]] + [e for _, e in new], advance(a[2], b))
 
     def emit(v, state):
-        p = v[price].astype(float)
-        used, at = np.empty(len(p), object), 0
-        if state is None:
-            used[0], state, at = None, float(p[0]), 1
-        while at < len(p):
-            nxt = departure(p, at, state)
-            used[at:nxt + 1] = state
-            if nxt < len(p):
-                state = float(p[nxt])
-            at = nxt + 1
-        return used
+        return followed(v[price].astype(float), state, threshold)[0]
 
     return chunk_fold(indexed, keys, [price], summarise, advance, compose, emit, None, out, "double", chunk)
 
@@ -298,16 +322,7 @@ def rolling_cap(df: DataFrame, keys: list[str], n: int, window_us: int, order=("
             for lo, hi in zip(cuts, cuts[1:]):
                 if ids[lo] != current:
                     current, taken = ids[lo], []
-                i = lo
-                while i < hi:
-                    if len(taken) == n:  # nothing passes until the oldest of the last n is a window away
-                        i = lo + int(np.searchsorted(us[lo:hi], max(us[i], taken[0] + window_us), side="left"))
-                        if i >= hi or us[i] < taken[0] + window_us:
-                            break
-                        taken = taken[1:]
-                    flags[i] = True
-                    taken.append(int(us[i]))
-                    i += 1
+                flags[lo:hi], taken = capped(us[lo:hi], taken, n, window_us)
             yield pdf.assign(**{out: flags})
 
     schema = ", ".join(f"`{c}` {t}" for c, t in d.dtypes) + f", {out} boolean"
