@@ -142,3 +142,11 @@ def walkforward_summary(folds: DataFrame, keys=()) -> DataFrame:
 def recommended_threshold(df: DataFrame, keys, lo: float = 0.46, hi: float = 0.80) -> DataFrame:
     q = quantiles(df, "recommended", {"_m": 0.5}, list(keys))
     return q.select(*keys, F.least(F.greatest("_m", F.lit(lo)), F.lit(hi)).alias("threshold"))
+
+
+def reliability_table(df: DataFrame, score: str, outcome: str, keys: list[str], bins: int = 10) -> DataFrame:
+    """Mean score beside the observed rate in bins of equal rank; equal scores share the bin of their first rank."""
+    c = ordered_counts(df.filter(F.col(outcome).isNotNull()), score, keys, {"hits": F.col(outcome).cast("int")})
+    c = c.withColumn("bin", F.floor(F.col("before") * bins / F.col("total")).cast("int"))
+    n = F.sum("n")
+    return c.groupBy(*keys, "bin").agg(n.alias("rows"), (F.sum(F.col("value") * F.col("n")) / n).alias("mean_score"), (F.sum("hits") / n).alias("observed_rate"))

@@ -328,3 +328,11 @@ def upgrade_gate(spark, sf):
 def walkforward_summary(spark, sf):
     folds = D.fills(spark, sf).groupBy("model", F.year("ts").alias("fold")).agg((F.sum("pnl") / 1e6).alias("total_return"), (F.avg("pnl") / F.stddev_samp("pnl")).alias("sharpe"))
     return rounded(E.walkforward_summary(folds, ["model"]))
+
+
+@query("reliability_table", """SELECT model, bin, CAST(sum(n) AS BIGINT) AS rows, round(sum(value * n) / sum(n), 8) AS mean_score, round(sum(hits) / sum(n), 8) AS observed_rate FROM
+  (SELECT *, CAST(floor((upto - n) * 10 / total) AS INT) AS bin FROM (SELECT model, confidence AS value, count(*) AS n, sum((pnl > 0)::INT) AS hits,
+   sum(count(*)) OVER (PARTITION BY model ORDER BY confidence) AS upto, sum(count(*)) OVER (PARTITION BY model) AS total FROM fills GROUP BY 1, 2)) GROUP BY 1, 2""", ("fills",))
+def reliability_table(spark, sf):
+    d = D.fills(spark, sf).withColumn("won", F.col("pnl") > 0)
+    return rounded(E.reliability_table(d, "confidence", "won", ["model"]), 8)

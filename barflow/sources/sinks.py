@@ -22,7 +22,7 @@ def new_trades(batch: DataFrame, stored: DataFrame) -> DataFrame:
     return ok.dropDuplicates(["trade_id"]).join(stored.select("trade_id"), "trade_id", "left_anti")
 
 
-def append(df: DataFrame, path: str, day_of: str) -> None:
-    """Append partitioned by day; rows of a day share files."""
+def append(df: DataFrame, path: str, day_of: str, files: int = 8) -> None:
+    """Append partitioned by day; the rows of a day share ``files`` files, each written by its own task."""
     d = df.withColumn("day", F.to_date(day_of))
-    d.repartition("day").write.mode("append").partitionBy("day").parquet(path)
+    d.repartition("day", F.pmod(F.xxhash64(*df.columns), F.lit(files))).write.mode("append").partitionBy("day").parquet(path)
