@@ -2,8 +2,11 @@
 
 Sources in code point order, NULL last, weigh ``weights`` in turn and share all words. A target stops at
 ``most`` times its source's size and the excess goes to the others by weight until none is above. With
-rate = target / size, a document is emitted floor(rate) times, and once more if its coin, a hash of seed and
-doc_id, falls below the fraction.
+rate = target / size, a document is emitted floor(rate) times, and once more with a probability equal to the
+fraction: its coin, a hash of seed and doc_id, must fall below the limit of its stratum, the documents of a
+source whose sizes have equally many bits. The limit is the coin value below which lie n x fraction of the n
+coins there (rounded up or down by a coin of the stratum), so long documents do not carry a source far from
+its target as coins tossed without regard to each other would.
 
 NULL or empty texts have size 0 and are emitted like any other row; a table without words gives targets and
 rates 0. Rows with a NULL doc_id toss the coin of the empty id; repeated rows toss the same coin. Only the
@@ -21,6 +24,8 @@ from barflow.llm.registry import query
 WEIGHTS = (1, 2, 3)
 MOST = 3
 SEED = "mix-1"
+#: Slices of the coin in which a limit is looked for.
+SLICES = 1024
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -45,24 +50,56 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return per.select("source", "source_size", target.alias("target"))
 
 
-def coin(doc_id: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) from 52 bits of a hash of seed and id."""
-    text = F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("")))
+def coin(*parts: Column, seed: str = SEED) -> Column:
+    """A number in [0, 1) from 52 bits of a hash of seed and parts."""
+    text = F.concat_ws(":", F.lit(seed), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def copies(doc_id: Column, target: Column, source_size: Column, seed: str = SEED) -> Column:
-    rate = F.when(source_size > 0, target / source_size.cast("double")).otherwise(F.lit(0.0))
-    return (F.floor(rate) + (coin(doc_id, seed) < rate - F.floor(rate)).cast("long")).cast("long")
+def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
+    """doc_id, source, size, bits (of the size) and coin of every row."""
+    d = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    return d.select("*", F.length(F.bin("size")).alias("bits"), coin(F.col("doc_id"), seed=seed).alias("coin"))
+
+
+def limits(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
+    """Per stratum (of, of_bits): source_size, target, whole (copies of every document) and the limit of its coins.
+
+    The limit is a single order statistic: counts by slices of the coin tell the slice it is in, and only the
+    rows of that slice, a thousandth of a stratum, are ranked.
+    """
+    targets = source_targets(rows.select("source", "size"), weights, most).withColumnRenamed("source", "of")
+    slice_ = F.floor(F.col("coin") * SLICES)
+    per = rows.groupBy("source", "bits", slice_.alias("slice")).agg(F.count(F.lit(1)).alias("n"))
+    stratum = Window.partitionBy("source", "bits")
+    per = per.withColumn("all", F.sum("n").over(stratum)).withColumn("before", F.coalesce(
+        F.sum("n").over(stratum.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(F.lit(0.0))
+    per = per.join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("rate", rate).withColumn("whole", F.floor("rate"))
+    taken = F.floor(F.col("all") * (F.col("rate") - F.col("whole")) + coin(F.col("source"), F.col("bits"), seed=seed))
+    per = stage(per.withColumn("taken", taken))
+    cut = per.filter((F.col("before") <= F.col("taken")) & (F.col("taken") < F.col("before") + F.col("n")))
+    cut = cut.select(F.col("source").alias("of"), F.col("bits").alias("of_bits"), F.col("slice").alias("of_slice"), (F.col("taken") - F.col("before")).alias("skip"))
+    same = F.col("source").eqNullSafe(F.col("of")) & (F.col("bits") == F.col("of_bits"))
+    ranked = rows.select("source", "bits", "coin", slice_.alias("slice")).join(cut, same & (F.col("slice") == F.col("of_slice")))
+    ranked = ranked.withColumn("place", F.row_number().over(stratum.orderBy("coin")) - 1).filter(F.col("place") == F.col("skip"))
+    found = ranked.select("of", "of_bits", F.col("coin").alias("limit"))
+    strata = per.select("source", "bits", "source_size", "target", "whole").distinct()
+    return strata.join(found, same, "left").select(
+        F.col("source").alias("of"), F.col("bits").alias("of_bits"), "source_size", "target", "whole", F.coalesce("limit", F.lit(1.0)).alias("limit"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
     """The mixed table: the rows of ``docs`` (doc_id, source, text and whatever else), each as often as its copies say."""
-    sized = docs.select(F.struct("*").alias("row"), F.col("source").alias("source"), word_count(F.col("text")).alias("size"))
-    targets = stage(source_targets(sized.select("source", "size"), weights, most)).withColumnRenamed("source", "of")
-    taken = sized.join(targets, F.col("source").eqNullSafe(F.col("of")))
-    times = copies(F.col("row.doc_id"), F.col("target"), F.col("source_size"), seed)
-    return taken.select("row", F.explode(F.array_repeat(F.lit(True), times.cast("int"))).alias("one")).select("row.*")
+    plan = stage(limits(stage(sized(docs, seed)), weights, most, seed))
+    rows = docs.select(F.struct("*").alias("row"), F.col("source").alias("source"), word_count(F.col("text")).alias("size"))
+    rows = rows.select("row", "source", F.length(F.bin("size")).alias("bits"), coin(F.col("row.doc_id"), seed=seed).alias("coin"))
+    taken = rows.join(plan, F.col("source").eqNullSafe(F.col("of")) & (F.col("bits") == F.col("of_bits")))
+    return taken.select("row", F.explode(F.array_repeat(F.lit(True), copies().cast("int"))).alias("one")).select("row.*")
+
+
+def copies() -> Column:
+    return (F.col("whole") + (F.col("coin") < F.col("limit")).cast("long")).cast("long")
 
 
 @query("op8_mixing", """
@@ -74,16 +111,17 @@ level AS (SELECT *, 3 * source_size AS cap, row_number() OVER o AS place,
   FROM per WINDOW o AS (ORDER BY 3 * source_size / weight, source NULLS LAST)),
 share AS (SELECT arg_min(level, place) AS share FROM level WHERE cap / weight >= level),
 target AS (SELECT source, source_size, COALESCE(least(cap::DOUBLE, share * weight), cap::DOUBLE) AS target FROM level, share),
-rated AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0 END AS rate,
+rated AS (SELECT doc_id, size, t.source, length(bin(size)) AS bits, source_size, target, CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0 END AS rate,
   ('0x' || substr(md5('mix-1:' || COALESCE(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS coin
-  FROM sized JOIN target t ON sized.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN coin < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM rated
+  FROM sized JOIN target t ON sized.source IS NOT DISTINCT FROM t.source),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source, bits ORDER BY coin) - 1 AS place, floor(count(*) OVER (PARTITION BY source, bits) * (rate - floor(rate))
+  + ('0x' || substr(md5('mix-1:' || COALESCE(source, '') || ':' || bits), 1, 13))::BIGINT::DOUBLE / 4503599627370496) AS n_taken FROM rated),
+limited AS (SELECT *, COALESCE(max(CASE WHEN place = n_taken THEN coin END) OVER (PARTITION BY source, bits), 1) AS coin_limit FROM placed)
+SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN coin < coin_limit THEN 1 ELSE 0 END))::BIGINT AS taken FROM limited
 """)
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of each document."""
-    docs = table(spark, sf_dir)
-    sized = stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
-    targets = stage(source_targets(sized)).withColumnRenamed("source", "of")
-    return sized.join(targets, F.col("source").eqNullSafe(F.col("of"))).select(
-        "doc_id", "size", "source_size", "target",
-        (F.col("size") * copies(F.col("doc_id"), F.col("target"), F.col("source_size"))).cast("long").alias("taken"))
+    rows = stage(sized(table(spark, sf_dir)))
+    plan = stage(limits(rows))
+    taken = rows.join(plan, F.col("source").eqNullSafe(F.col("of")) & (F.col("bits") == F.col("of_bits")))
+    return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * copies()).cast("long").alias("taken"))
