@@ -23,13 +23,20 @@ BEAR_WEIGHTS = {
     "cdl_bear_kicker": 0.9, "cdl_hanging_man": 0.7,
 }
 
-SINGLE = ("doji long_legged_doji dragonfly_doji gravestone_doji hammer inv_hammer hanging_man shooting_star "
-          "bull_marubozu bear_marubozu spinning_top").split()
-DOUBLE = ("bull_engulfing bear_engulfing bull_harami bear_harami piercing dark_cloud tweezer_top tweezer_bottom "
-          "bull_kicker bear_kicker").split()
-TRIPLE = ("morning_star evening_star three_white_soldiers three_black_crows three_inside_up three_inside_down "
-          "abandoned_baby_bull abandoned_baby_bear").split()
-SCORES = "bull_score bear_score net_score reversal_signal indecision_score".split()
+SINGLE = [
+    "doji", "long_legged_doji", "dragonfly_doji", "gravestone_doji", "hammer",
+    "inv_hammer", "hanging_man", "shooting_star", "bull_marubozu", "bear_marubozu",
+    "spinning_top",
+]
+DOUBLE = [
+    "bull_engulfing", "bear_engulfing", "bull_harami", "bear_harami", "piercing",
+    "dark_cloud", "tweezer_top", "tweezer_bottom", "bull_kicker", "bear_kicker",
+]
+TRIPLE = [
+    "morning_star", "evening_star", "three_white_soldiers", "three_black_crows", "three_inside_up",
+    "three_inside_down", "abandoned_baby_bull", "abandoned_baby_bear",
+]
+SCORES = ["bull_score", "bear_score", "net_score", "reversal_signal", "indecision_score"]
 
 
 def geometry(d: DataFrame) -> DataFrame:

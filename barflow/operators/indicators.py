@@ -287,15 +287,18 @@ def regime_state(d: DataFrame, r: Roll) -> DataFrame:
 # the canonical set ------------------------------------------------------------------------------
 
 # The canonical feature names in their required order.
-CANONICAL = (
-    "sma_10 sma_20 sma_50 sma_100 sma_200 ema_12 ema_26 ema_50 close_sma_20_ratio close_sma_50_ratio "
-    "close_sma_200_ratio high_low_spread close_open_ratio body_size upper_shadow lower_shadow "
-    "rsi_14 rsi_7 stochastic_k_14 stochastic_d_14 williams_r_14 cci_20 roc_10 roc_20 momentum_10 momentum_20 "
-    "macd macd_signal macd_histogram adx_14 aroon_up aroon_down aroon_oscillator trend_strength "
-    "bb_upper bb_lower bb_width bb_position atr_14 atr_20 volatility_10 volatility_20 "
-    "volume_sma_20 volume_ratio obv volume_price_trend accumulation_distribution chaikin_oscillator "
-    "returns_1h returns_24h"
-).split()
+CANONICAL = [
+    "sma_10", "sma_20", "sma_50", "sma_100", "sma_200",
+    "ema_12", "ema_26", "ema_50", "close_sma_20_ratio", "close_sma_50_ratio",
+    "close_sma_200_ratio", "high_low_spread", "close_open_ratio", "body_size", "upper_shadow",
+    "lower_shadow", "rsi_14", "rsi_7", "stochastic_k_14", "stochastic_d_14",
+    "williams_r_14", "cci_20", "roc_10", "roc_20", "momentum_10",
+    "momentum_20", "macd", "macd_signal", "macd_histogram", "adx_14",
+    "aroon_up", "aroon_down", "aroon_oscillator", "trend_strength", "bb_upper",
+    "bb_lower", "bb_width", "bb_position", "atr_14", "atr_20",
+    "volatility_10", "volatility_20", "volume_sma_20", "volume_ratio", "obv",
+    "volume_price_trend", "accumulation_distribution", "chaikin_oscillator", "returns_1h", "returns_24h",
+]
 REACH = 200
 
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barflow.functions.columns import div, reasons
 
+# Error levels, what a message pattern leaves out (times, long hex words, digits, runs of blanks), slow words.
 ERRORS = ["ERROR", "CRITICAL"]
+NORMALISE = [(r"\d{4}-\d{2}-\d{2}[\st]\d{2}:\d{2}:\d{2}", ""), (r"\b[a-f0-9]{8,}\b", ""), (r"\d+", ""), (r"\s+", " ")]
+SLOW = ["timeout", "slow", "latency", "performance"]
 
 
 def is_error() -> Column:
@@ -34,7 +39,7 @@ def recent(logs: DataFrame, n: int, *tie: str) -> DataFrame:
 def pattern_key(message: Column) -> Column:
     """Message without times, long hex words and digits, spaces squeezed."""
     m = F.lower(message)
-    for p, r in ((r"\d{4}-\d{2}-\d{2}[\st]\d{2}:\d{2}:\d{2}", ""), (r"\b[a-f0-9]{8,}\b", ""), (r"\d+", ""), (r"\s+", " ")):
+    for p, r in NORMALISE:
         m = F.regexp_replace(m, p, r)
     return F.trim(m)
 
@@ -65,7 +70,7 @@ def unhandled() -> Column:
 def slices(logs: DataFrame) -> DataFrame:
     """Rows tagged with every slice they belong to."""
     m = F.lower("message")
-    slow = m.contains("timeout") | m.contains("slow") | m.contains("latency") | m.contains("performance")
+    slow = functools.reduce(Column.__or__, [m.contains(word) for word in SLOW])
     untyped = m.contains("exception") & (F.coalesce("error_type", F.lit("")) == "")
     tags = reasons((unhandled(), "unhandled"), (slow, "performance"), (untyped, "untyped_exception"))
     return logs.withColumn("slice", F.explode(tags))

@@ -108,7 +108,7 @@ cte("h_sr", """SELECT symbol, bar_ts, sd AS sr_support_dist_pct, rd AS sr_resist
   CASE WHEN sup IS NULL THEN 0 ELSE len(list_filter(ls, lambda v: abs(v.p - sup) < atr * .5)) END AS sr_support_strength,
   CASE WHEN res IS NULL THEN 0 ELSE len(list_filter(hs, lambda v: abs(v.p - res) < atr * .5)) END AS sr_resistance_strength,
   CASE WHEN sd + rd > 0 THEN rd / (sd + rd) ELSE .5 END AS sr_range_position FROM hl3""", ("hl3",))
-SR = "sr_support_dist_pct sr_resistance_dist_pct sr_at_support sr_at_resistance sr_support_strength sr_resistance_strength sr_range_position".split()
+SR = ["sr_support_dist_pct", "sr_resistance_dist_pct", "sr_at_support", "sr_at_resistance", "sr_support_strength", "sr_resistance_strength", "sr_range_position"]
 emit("pivots", lambda s, f: H.pivots(D.indexed(s, f)), {"pivot_high": "ph_", "pivot_low": "pl_"}, "hp")
 emit("support_resistance", lambda s, f: H.support_resistance(D.indexed(s, f)), {c: c for c in SR}, "h_sr")
 
