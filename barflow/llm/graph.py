@@ -27,9 +27,10 @@ def components(edges: DataFrame) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = tuple(state)
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Written, so that the joins stand on plain exchanges of both sides and a node with very many edges can be split.
+        least = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = stage(large)
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = stage(large.groupBy("u").agg(F.min("v").alias("m")))
         moved = large.join(small, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("a"), F.col("m").alias("b"))
         e = stage(_ordered(moved.union(small.select(F.col("u").alias("a"), F.col("m").alias("b")))))
