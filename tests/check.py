@@ -22,19 +22,20 @@ def duck(sf: str):
     return con
 
 
-def _plain(v):
+def _plain(v, nested=False):
+    """Comparable values, as results are hashed: a number's zero has no sign, zeros inside arrays keep theirs, NaN is no NULL."""
     if v is None:
         return None
     if isinstance(v, bool):
         return int(v)
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else v  # the sign of zero and NaN count, as they do where results are hashed
+        return "nan" if math.isnan(v) else 0.0 if v == 0 and not nested else v
     if isinstance(v, (list, tuple)):
-        return tuple(_plain(x) for x in v)
+        return tuple(_plain(x, True) for x in v)
     if hasattr(v, "asDict"):
-        return tuple(_plain(x) for x in v.asDict().values())
+        return tuple(_plain(x, True) for x in v.asDict().values())
     if isinstance(v, dict):
-        return tuple(_plain(x) for x in v.values())
+        return tuple(_plain(x, True) for x in v.values())
     if hasattr(v, "tzinfo") and v.tzinfo is not None:
         return v.replace(tzinfo=None)
     if type(v).__name__ == "Decimal":
@@ -66,9 +67,10 @@ def compare(spark_df, con, sql, tol: float = 0.0):
     bad = {}
     for a, b in zip(sorted(got, key=_key), sorted(exp, key=_key)):
         for c, x, y in zip(got_c, a, b):
-            same = x == y
             if isinstance(x, (int, float)) and isinstance(y, (int, float)):
-                same = abs(x - y) <= tol + 1e-12 * max(abs(x), abs(y)) and math.copysign(1, x) == math.copysign(1, y)
+                same = abs(x - y) <= tol + 1e-12 * max(abs(x), abs(y))
+            else:
+                same = repr(x) == repr(y)
             if not same:
                 bad.setdefault(c, []).append((x, y, a))
     if not bad:
