@@ -12,10 +12,8 @@ group. What meets under a key must satisfy all chains before all 64 bits are com
 found by a search that leaves out what it has reached, so a group of n fingerprints gives at most n - 1 links, not
 all pairs. Only distinct fingerprints take part: copies cost nothing.
 
-Wide fingerprints (``words`` above 1) add words made from the same hashes, mixed with a salt each. A pair is then
-a candidate if it meets under a key of any word, and linked if all words together differ in at most ``WIDE`` of
-their bits, which stands for a likeness of about 0.8. Here a pair may be missed; pairs within BITS bits in a word
-always meet.
+With ``words`` above 1 the likeness itself decides (see ``barflow.llm.near``): a row's words are then a sketch of
+min-hashes, and only the search under a key is shared.
 
 NULL, empty and blank texts have fingerprint zero and are linked like any other. Texts are read whole. Repeated
 rows come back as often as they came. A row with a NULL doc_id takes part under no id: it gets its fingerprint
@@ -44,22 +42,27 @@ BITS = 4
 SEGMENTS = (13, 13, 13, 13, 12)
 #: Bits of a segment that are left out together.
 GROUPS = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (9, 10), (11, 12))
-#: Part of the bits in which wide fingerprints of a link differ at most; a cosine of 0.86, 0.8 of shingles in common.
-WIDE = 0.17
+#: Part of the min-hashes in which the sketches of a candidate differ at most; 0.15 is expected at a likeness of 0.8.
+APART = 44 / 128
 
 
-def simhash(text: str | None, size: int = SHINGLE, words: int = 1) -> np.ndarray:
-    """The fingerprint of a text, ``words`` times 64 bits."""
+def shingles(text: str | None, size: int) -> np.ndarray:
+    """The XXH64 of each shingle in order; one of no words for a blank text, one of all words for a short one."""
     parts = (text or "").encode().lower().split()  # bytes: only A-Z change, and only the six blanks split
-    if not parts:
-        return np.zeros(words, np.uint64)
     n = max(1, len(parts) - size + 1)
     line = b" ".join(parts)
     starts = [0, *np.cumsum([len(w) + 1 for w in parts]).tolist()]
     last = min(size, len(parts))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[starts[i] : starts[i + last] - 1], SEED) for i in range(n)], np.uint64)
-    out = []
+    return np.array([digest(line[starts[i] : max(0, starts[i + last] - 1)], SEED) for i in range(n)], np.uint64)
+
+
+def simhash(text: str | None, size: int = SHINGLE, words: int = 1) -> np.ndarray:
+    """The fingerprint of a text, ``words`` times 64 bits."""
+    if not (text or "").encode().split():
+        return np.zeros(words, np.uint64)
+    hashes = shingles(text, size)
+    n, out = len(hashes), []
     for word in range(words):
         h = hashes if word == 0 else mix(hashes ^ np.uint64(word))
         counts = np.zeros(64, np.int64)
@@ -95,10 +98,11 @@ def chain_keys(fps: list[Column]) -> Column:
 
 
 def _near(fps: np.ndarray, one: np.ndarray, start: int) -> np.ndarray:
-    """Which fingerprints (a row each) are linked to ``one``: all chains from ``start``, or the sum over wide words."""
+    """Which fingerprints (a row each) are linked to ``one``: all chains from ``start``, or the min-hashes of wide ones."""
     apart = fps ^ one
     if fps.shape[1] > 1:
-        return np.bitwise_count(apart).sum(axis=1) <= WIDE * 64 * fps.shape[1]
+        half = fps.shape[1] // 2  # two planes of bits
+        return np.bitwise_count(apart[:, :half] | apart[:, half:]).sum(axis=1) <= APART * 64 * half
     apart, ok, mask = apart[:, 0], np.ones(len(fps), bool), np.uint64(0)
     for chain in range(1, len(SEGMENTS) + 1):
         i = (start + chain - 1) % len(SEGMENTS)
@@ -147,9 +151,9 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links(distinct: DataFrame, words: int = 1) -> DataFrame:
-    """From distinct fingerprints (fp0, ..., id): links (a, b) between ids, enough to connect all that are linked."""
+    """From distinct fingerprints (fp0, ..., id; keys if wide): links (a, b) between ids, enough to connect all that are linked."""
     names = [f"fp{w}" for w in range(words)]
-    keys = distinct.select(F.explode(chain_keys([F.col(n) for n in names])).alias("key"), "id", *names)
+    keys = distinct.select(F.explode(chain_keys([F.col("fp0")]) if words == 1 else F.col("keys")).alias("key"), "id", *names)
     n = max(1, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return keys.repartition(n, "key").sortWithinPartitions("key", "id").mapInArrow(_runs, "a long, b long")
 
@@ -157,6 +161,12 @@ def links(distinct: DataFrame, words: int = 1) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, words: int = 1) -> DataFrame:
     """doc_id, fp0, ..., component_id of every row of ``docs``."""
     names = [f"fp{w}" for w in range(words)]
+    if words > 1:
+        from barflow.llm import near
+
+        rows = near.grouped(docs, size, words)
+        least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+        return rows.join(least, "root").select("doc_id", *names, "component_id")
     prints = stage(fingerprints(docs, size, words))
     distinct = stage(prints.groupBy(*names).agg(F.min("doc_id").alias("id")).filter(F.col("id").isNotNull()))
     roots = components(links(distinct, words))

@@ -11,7 +11,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from barflow.llm import mixing, quality, sharding, simhash, substrings
+from barflow.llm import mixing, near, quality, sharding, simhash, substrings
 from barflow.llm.graph import components
 from tests.check import compare, duck
 from tests.llm.tables import ROWS, edge, given, plain
@@ -76,6 +76,47 @@ def test_wide_fingerprints_catch_near_copies_only(spark, sf):
     assert got[11] == 11 and got[15] == 15 and got[17] == 17
 
 
+def _shingles(text):
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
+
+
+def _alike(texts):
+    """texts: {id: text}; component by the likeness of all pairs, 0.8 or more."""
+    sets = {k: _shingles(t) for k, t in texts.items()}
+    by, common = {}, Counter()
+    for k in sorted(sets):
+        for s in sets[k]:
+            by.setdefault(s, []).append(k)
+    for ids in by.values():
+        common.update(itertools.combinations(ids, 2))
+    return _joined([p for p, n in common.items() if 5 * n >= 4 * (len(sets[p[0]]) + len(sets[p[1]]) - n)], sets)
+
+
+@pytest.mark.parametrize("block", [None, 300])
+def test_near_duplicates_equal_all_pairs(spark, monkeypatch, block):
+    """Pairs from a likeness of 0.7 to 0.9, chains and short texts; in whole clusters and in blocks."""
+    if block:
+        monkeypatch.setattr(near, "BLOCK", block)
+    g, texts = random.Random(3), {}
+    for i in range(70):
+        words = [f"w{g.randrange(4000)}" for _ in range(g.choice([3, 6, 9, 24, 60, 200]))]
+        for _ in range(3):
+            texts[len(texts)] = " ".join(words)
+            at = g.randrange(len(words))
+            cut = round(len(words) * g.uniform(0.04, 0.13))
+            words = words[: len(words) - cut] + [f"n{g.randrange(9999)}" for _ in range(cut)] if g.random() < 0.5 else [*words[:at], "x", *words[at + 1 :]]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(edge(spark, [(k, t, "en", "a") for k, t in texts.items()]), 5, 4).collect()}
+    want = _alike(texts)
+    assert got == want and 70 < len(set(want.values())) < 190
+
+
+def test_near_duplicates_equal_all_pairs_of_given_texts(spark):
+    texts = {k: t for k, t, _, _ in given("/root/testdata/sf0.01")}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, 5, 4).collect()} == _alike(texts)
+
+
 def test_components_of_paths_stars_and_loops(spark):
     g = random.Random(1)
     pairs = [(i, i + 1) for i in range(100, 160)] + [(7, x) for x in range(200, 260)] + [(5, 5)] + [(g.randrange(1000, 1100), g.randrange(1000, 1100)) for _ in range(90)]
