@@ -1,14 +1,16 @@
 """Quality rules: plain counts that fail a document outright, and a hashed n-gram log-likelihood ratio for the rest.
 
-Words and pairs of words are hashed into ``BUCKETS`` buckets. Two multinomials over the buckets are counted, one
+Words and pairs of words are hashed into buckets: the fewest, as a power of two and ``BUCKETS`` at least, that hold
+at most ``LOAD`` distinct n-grams each, which are counted (HyperLogLog) first. So the ratios grow with the corpus,
+and smoothing and threshold mean the same at every size. Two multinomials over the buckets are counted, one
 over the trusted target (the documents that ``labels`` marks with quality 1), one over all documents. A text's
 score is the sum of log(target / raw) over its words and pairs, divided by their number; a document is kept if it
 reaches ``LEAST``, the same for all and without chance.
 
 Within a text, five-word windows are compared by a 64-bit hash of their words. Everything is a DataFrame
 expression: windows are built by zipping hashed words with themselves, shifted; only texts with a repeated window
-look for its places. The table of ratios has at most ``BUCKETS`` rows and is broadcast; texts are joined with the
-trusted ids once.
+look for its places. Up to ``HELD`` buckets the ratios are broadcast, packed as arrays of ``PACK``; above, they are
+joined by a shuffle of each text's buckets. Texts are joined with the trusted ids once.
 
 NULL and empty texts have no words and fail. Without a trusted document every ratio is 0. Repeated rows come
 back as often as they came and count as often in the raw corpus. Only doc_id and text are read, and of labels
@@ -17,13 +19,20 @@ doc_id and quality.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barflow.llm.common import stage, table
 from barflow.llm.registry import query
 
+#: The fewest buckets, and the distinct n-grams that a bucket holds at most on average.
 BUCKETS = 1 << 16
+LOAD = 6
+#: Buckets whose ratios (8 bytes each) are broadcast at most, and how many lie in a row.
+HELD = 1 << 24
+PACK = 1 << 10
 SMOOTH = 1.0
 LEAST = -0.2
 WINDOW = 5
@@ -76,32 +85,72 @@ def counted(docs: DataFrame) -> DataFrame:
     return with_repeated_words(d).withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
-def bucket(h: Column) -> Column:
-    return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+def bucket(h: Column, buckets: int) -> Column:
+    return h.bitwiseAND(F.lit(buckets - 1).cast("long"))
+
+
+class Ratios(NamedTuple):
+    """(bucket, ratio) for the buckets that occur, and the number of buckets."""
+
+    table: DataFrame
+    buckets: int
+
+
+def _hashes(text: Column) -> Column:
+    return F.transform(words_of(text), lambda w: F.xxhash64(w))
 
 
-def ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bucket, ratio) for the buckets that occur, summed in the map tasks before they are shuffled."""
+def _grams(hashes: str) -> Column:
+    return F.concat(hashes, _zipped(F.col(hashes), F.col(hashes), 1))
+
+
+def buckets_for(docs: DataFrame) -> int:
+    """The number of buckets for the distinct words and pairs of ``docs``; one number comes to the driver."""
+    grams = docs.select(_hashes(F.col("text")).alias("hashes")).select(F.explode(_grams("hashes")).alias("h"))
+    distinct, buckets = grams.agg(F.approx_count_distinct("h", 0.01)).first()[0], BUCKETS
+    while distinct > LOAD * buckets:
+        buckets *= 2
+    return buckets
+
+
+def ratios(docs: DataFrame, labels: DataFrame) -> Ratios:
+    """The log-likelihood ratios, summed in the map tasks before they are shuffled."""
+    buckets = buckets_for(docs)
     trusted = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("of")).distinct()
     # Labels may be as many as documents: a sort-merge join at every size, so cost and disk grow in proportion.
     flagged = docs.select("doc_id", "text").join(trusted.hint("merge"), F.col("doc_id") == F.col("of"), "left")
-    hashed = flagged.select(F.col("of").isNotNull().cast("long").alias("good"), F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
-    grams = hashed.select("good", F.explode(F.concat("hashes", _zipped(F.col("hashes"), F.col("hashes"), 1))).alias("h"))
-    counts = stage(grams.groupBy(bucket(F.col("h")).alias("bucket")).agg(F.sum("good").alias("good"), F.count(F.lit(1)).alias("raw")))
+    hashed = flagged.select(F.col("of").isNotNull().cast("long").alias("good"), _hashes(F.col("text")).alias("hashes"))
+    grams = hashed.select("good", F.explode(_grams("hashes")).alias("h"))
+    counts = stage(grams.groupBy(bucket(F.col("h"), buckets).alias("bucket")).agg(F.sum("good").alias("good"), F.count(F.lit(1)).alias("raw")))
     sums = counts.agg(F.sum("good").alias("good"), F.sum("raw").alias("raw")).first()  # two numbers
     good, raw = (sums["good"] or 0), (sums["raw"] or 0)
-    ratio = F.log((F.col("good") + SMOOTH) / (good + SMOOTH * BUCKETS)) - F.log((F.col("raw") + SMOOTH) / (raw + SMOOTH * BUCKETS))
-    return counts.select("bucket", (ratio if good else F.lit(0.0)).alias("ratio"))
+    ratio = F.log((F.col("good") + SMOOTH) / (good + SMOOTH * buckets)) - F.log((F.col("raw") + SMOOTH) / (raw + SMOOTH * buckets))
+    return Ratios(counts.select("bucket", (ratio if good else F.lit(0.0)).alias("ratio")), buckets)
+
+
+def packed(model: Ratios) -> DataFrame:
+    """(pack, ratios): the ratios of ``PACK`` buckets in order, NULL for one that does not occur."""
+    every = model.table.sparkSession.range(model.buckets).withColumnRenamed("id", "bucket").join(model.table, "bucket", "left")
+    at = F.struct(F.col("bucket").alias("b"), F.col("ratio").alias("r"))
+    rows = every.groupBy(F.shiftright("bucket", PACK.bit_length() - 1).alias("pack")).agg(F.array_sort(F.collect_list(at)).alias("all"))
+    return stage(rows.select("pack", F.transform("all", lambda x: x["r"]).alias("ratios")))
 
 
-def judge(docs: DataFrame, table_of_ratios: DataFrame, least: float = LEAST) -> DataFrame:
+def judge(docs: DataFrame, model: Ratios, least: float = LEAST) -> DataFrame:
     """Per row of ``docs``: doc_id, the counts, base_failed, score and kept."""
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     rows = counted(docs).withColumn("row", F.monotonically_increasing_id())
-    # A row's n-grams stay in its task, so summing them again by row shuffles one line per document.
-    grams = rows.select("row", *names, F.explode_outer(F.concat("hashes", "pairs")).alias("h")).withColumn("bucket", bucket(F.col("h")))
-    rated = grams.join(F.broadcast(table_of_ratios), "bucket", "left")
-    one = rated.groupBy("row").agg(*[F.first(n).alias(n) for n in names], F.sum("ratio").alias("total"), F.count("h").alias("n"))
+    grams = rows.select("row", *names, F.posexplode_outer(F.concat("hashes", "pairs")).alias("at", "h"))
+    grams = grams.withColumn("bucket", bucket(F.col("h"), model.buckets))
+    if model.buckets <= HELD:
+        # A row's n-grams stay in its task, so summing them again by row shuffles one line per document.
+        rated = grams.withColumn("pack", F.shiftright("bucket", PACK.bit_length() - 1)).join(F.broadcast(packed(model)), "pack", "left")
+        rated = rated.withColumn("ratio", F.get("ratios", F.col("bucket").bitwiseAND(F.lit(PACK - 1).cast("long")).cast("int")))
+    else:
+        # Only a row's first n-gram carries its counts through the shuffle.
+        grams = grams.withColumns({n: F.when(F.coalesce("at", F.lit(0)) == 0, F.col(n)) for n in names})
+        rated = grams.join(model.table.hint("merge"), "bucket", "left")
+    one = rated.groupBy("row").agg(*[F.first(n, ignorenulls=True).alias(n) for n in names], F.sum("ratio").alias("total"), F.count("h").alias("n"))
     score = F.when(F.col("n") > 0, F.coalesce("total", F.lit(0.0)) / F.col("n")).otherwise(F.lit(0.0))
     return one.select(*names, score.alias("score")).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= least))
 

@@ -128,6 +128,11 @@ def _xx(*values):
     return seed - (1 << 64) if seed >= 1 << 63 else seed
 
 
+def _hashes(text):
+    hashes = [_xx(w) for w in WORD.findall(text or "")]
+    return hashes + [_xx(a, b) for a, b in zip(hashes, hashes[1:])]
+
+
 def _grams(text):
     hashes = [_xx(w) for w in WORD.findall(text or "")]
     return [h & (rules.BUCKETS - 1) for h in hashes + [_xx(a, b) for a, b in zip(hashes, hashes[1:])]]
@@ -165,6 +170,21 @@ def test_rules_edges(spark):
     assert rules.judge(empty, rules.ratios(empty, none)).collect() == []
 
 
+def test_rules_buckets_follow_the_distinct_grams(spark, monkeypatch):
+    monkeypatch.setattr(rules, "BUCKETS", 4)
+    docs, labels = edge(spark), spark.createDataFrame([(3, 1), (8, 1)], "doc_id long, quality int")
+    model = rules.ratios(docs, labels)
+    grams = [[h & (model.buckets - 1) for h in _hashes(r[1])] for r in ROWS]
+    distinct = len({h for r in ROWS for h in _hashes(r[1])})
+    assert model.buckets / 2 < 1.05 * distinct / rules.LOAD and 0.95 * distinct / rules.LOAD < model.buckets
+    raw, target = Counter(g for r in grams for g in r), Counter(g for r, row in zip(grams, ROWS) if row[0] in (3, 8) for g in r)
+    n_raw, n_target = sum(raw.values()) + model.buckets, sum(target.values()) + model.buckets
+    want = sorted(sum(np.log((target[g] + 1) / n_target) - np.log((raw[g] + 1) / n_raw) for g in r) / max(1, len(r)) for r in grams)
+    assert sorted(r.score for r in rules.judge(docs, model).collect()) == pytest.approx(want, abs=1e-9)
+    monkeypatch.setattr(rules, "HELD", 1)  # the ratios by a shuffle
+    assert sorted(r.score for r in rules.judge(docs, model).collect()) == pytest.approx(want, abs=1e-9)
+
+
 def test_language_query_on_held_out_rows(spark, sf):
     langs = {r[0]: r[2] for r in given(sf)}
     got = entry.queries()["op10_language"](spark, sf).collect()
