@@ -321,6 +321,16 @@ def test_pipeline_on_given_tables(spark, sf):
     assert all(r.n_tokens == len(r.ids) for r in rows[5])
 
 
+def test_near_stage_decides_by_text_not_by_id(spark, sf):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(50)) for c in "abc")
+    rows = [(1, one), (1, two), (1, two), (2, two + " tail"), (3, one + " tail"), (None, two), (None, three), (None, three + " tail"), (None, three), (4, "z " + three[:40])]
+    got = corpus_pipeline.keep_one_of_near(spark, edge(spark, [(*r, "en", "a") for r in rows]), sf).collect()
+    kept = Counter((r.doc_id, r.text) for r in got)
+    last = [k for k in kept if k[0] is None]
+    assert len(last) == 1 and last[0][1].startswith(three)
+    assert kept == Counter([(1, one), (1, two), (4, "z " + three[:40]), last[0]])
+
+
 def test_pipeline_with_edges(spark, tmp_path):
     docs, labels = edge(spark), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     labels.write.parquet(str(tmp_path / "labels.parquet"))
