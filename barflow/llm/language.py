@@ -5,7 +5,8 @@ A language contains a trigram if its relative frequency there is at least ``shar
 languages. The filters of all languages lie in one array: entry i holds bit l if language l has set place i, so
 the AND of the entries at a trigram's places is the set of all languages that contain it. A text's popcount per
 language, corrected for the filter's false positives, decides; the score is the winner's part of all corrected
-counts. The array has ``slots`` entries whatever the corpus, which bounds what is collected and sent to tasks.
+counts. The array has ``slots`` entries, doubled until the language with the most trigrams has a rate of false
+positives of at most ``RATE``.
 
 NULL texts, texts without a letter and an untrained model give ``und`` and score 0; NULL languages are not
 learned. A text too short for a trigram that is known takes the first language in order with score 0. Ties go to
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 from barflow.llm.common import doc_crc, mix, stage, table
 from barflow.llm.registry import query
 
+#: Entries at least, and the rate of false positives that the fullest language may have.
 SLOTS = 1 << 19
+RATE = 0.05
 HASHES = 3
 SHARE = 0.25
 
@@ -73,7 +76,10 @@ def learn(train: DataFrame, slots: int = SLOTS, hashes: int = HASHES, share: flo
     """The languages in order and the bit-sliced array (one column of 64 bits for every 64 languages)."""
     counts = stage(train.filter(F.col("lang").isNotNull()).select("lang", "text").mapInArrow(count_grams, "lang string, gram long, n long")
                    .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    langs = [r["lang"] for r in counts.groupBy("lang").count().orderBy("lang").collect()]  # one row per language
+    sizes = counts.groupBy("lang").agg(F.count(F.lit(1)).alias("grams")).orderBy("lang").collect()  # one row per language
+    langs = [r["lang"] for r in sizes]
+    while langs and (1 - np.exp(-hashes * max(r["grams"] for r in sizes) / slots)) ** hashes > RATE:
+        slots *= 2
     planes = max(1, -(-len(langs) // 64))
     bits = np.zeros((slots, planes), np.uint64)
     if not langs:

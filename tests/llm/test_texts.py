@@ -205,6 +205,15 @@ def test_bit_sliced_filter_has_no_false_negatives(spark):
         assert language.decide(text, langs, bits, np.zeros(3))[0] == lang
 
 
+def test_filter_grows_with_the_trigrams(spark):
+    g = np.random.default_rng(2)
+    text = "".join(map(chr, g.integers(0x4E00, 0x9F00, 3000)))
+    docs = edge(spark, [(1, text, "zh", "a"), (2, "the thin thing", "en", "a")])
+    langs, bits = language.learn(docs, slots=1 << 10)
+    fill = np.count_nonzero(bits[:, 0] & np.uint64(1 << langs.index("zh"))) / len(bits)
+    assert fill**language.HASHES <= 1.1 * language.RATE and len(bits) == 1 << 15
+
+
 def test_language_edges(spark):
     docs = edge(spark, clashing=True)
     model = language.learn(docs)
