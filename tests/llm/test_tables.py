@@ -260,6 +260,13 @@ def test_mixing_edges(spark):
     assert mixing.mix(edge(spark, [])).collect() == []
 
 
+def test_mixed_rows_equal_the_query_on_every_document(spark, sf):
+    rows = Counter(r.doc_id for r in mixing.mix(spark.read.parquet(f"{sf}/documents.parquet")).select("doc_id").collect())
+    got = entry.queries()["op8_mixing"](spark, sf).collect()
+    assert {r.doc_id: rows[r.doc_id] * r["size"] for r in got} == {r.doc_id: r.taken for r in got}
+    assert set(rows) <= {r.doc_id for r in got}
+
+
 def test_quality_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     labels = dict(duckdb.sql(f"SELECT doc_id, quality FROM '{sf}/labels.parquet'").fetchall())
