@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-MODULES = ("fingerprints", "secrets", "bpe", "simhash", "sharding", "quality", "rules", "mixing", "substrings", "language", "records", "manifest")
+MODULES = ("fingerprints", "secrets", "bpe", "simhash", "sharding", "quality", "rules", "mixing", "substrings", "language", "records", "manifest", "phrases")
 
 
 def query(name: str, sql: str | None = None):
