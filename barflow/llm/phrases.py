@@ -5,15 +5,15 @@ occurrences within pieces. Phrases of 2 to 5 words with f of ``LEAST`` or more a
 floor(1000 a n / (l r)); the lowest counts, the shortest first part if equal. A candidate inside a longer one that occurs as
 often is dropped; between the two lies a phrase one word longer that occurs as often as well, so only those are looked at.
 
-Counting. A task numbers words as they come and keeps a trie over word numbers for each lang. Its leaves are hash
-containers from the rest of a phrase to its count; one that grows beyond ``BURST`` bursts into a trie node with a container for
-each next word, so the trie stays shallow. When a task holds ``HELD`` counts, the largest subtrees are spilled whole, until
-half is left: each is a sorted run under its first word, cut by its second word into ``PIECES`` so that a very frequent first word
-does not meet in one place. Runs go to the partition of their prefix, where Spark's aggregation merges them.
+Counting. A task numbers words as they come and keeps a trie over word numbers for each lang. It begins as one hash container
+from phrases to counts; a container that grows beyond ``BURST`` bursts into a trie node with a container for each next word, so the trie
+stays shallow. When a task holds ``HELD`` counts, the largest subtrees are spilled whole, until half is left: their phrases
+form a sorted run for each of ``BUCKETS`` prefixes (a hash of the first two words, so that a very frequent first word does
+not meet in one place). Runs go to the partition of their prefix, where Spark's aggregation merges them.
 
-A phrase can only reach ``LEAST`` if the two phrases one word shorter in it do. So lengths are counted in
-turn (words and pairs together), and a Bloom filter of the shorter ones decides what enters a trie. The filter has ``FILTER``
-bits whatever the input (16 MB, broadcast); where it is full, more is counted and dropped afterwards, never less.
+A phrase can only reach ``LEAST`` if the two phrases one word shorter in it do. So lengths are counted in turn, and a
+Bloom filter of the shorter ones decides what enters a trie. The filter has ``FILTER`` bits whatever the input (16 MB,
+broadcast); where it is full, more is counted and dropped afterwards, never less.
 
 The first ``MOST`` of a lang are found in salted parts, then among the best of each. Products are decimals of 38 digits.
 
@@ -23,13 +23,13 @@ NULL or repeated ids change nothing. An empty table has no phrases. Only text an
 
 from __future__ import annotations
 
-import itertools
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barflow.llm.common import mix, rolling, slices, stage, strings, table, word_hashes, words
@@ -41,7 +41,7 @@ MOST = 2000
 NONE = "und"
 BURST = 4096
 HELD = 1_000_000
-PIECES = 32
+BUCKETS = 1024
 FILTER = 1 << 27
 SALTS = 64
 
@@ -55,57 +55,46 @@ _LOWER[65:91] += 32
 
 
 class Trie:
-    """Counts of phrases (numbers of words, four bytes each, big-endian); a child is a container or a further trie."""
+    """A node that has burst. A child holds the rest of its phrases (word numbers, four bytes each), in a container or a node."""
 
-    def __init__(self, burst: int = BURST):
-        self.burst, self.size, self.here = burst, 0, 0
+    def __init__(self, burst: int):
+        self.burst, self.size = burst, 0
         self.children: dict[bytes, dict[bytes, int] | Trie] = {}
 
-    def add(self, phrase: bytes, count: int) -> None:
-        head, rest = phrase[:4], phrase[4:]
-        child = self.children.get(head)
-        if child is None:
-            child = self.children[head] = {}
-        if type(child) is dict:
-            before = len(child)
-            child[rest] = child.get(rest, 0) + count
-            self.size += len(child) - before
-            if len(child) > self.burst and len(rest) > 4:
-                self.children[head] = burst = Trie(self.burst)
-                for key, value in child.items():
-                    burst.put(key, value)
-        else:
-            before = child.size
-            child.put(rest, count)
-            self.size += child.size - before
-
-    def put(self, phrase: bytes, count: int) -> None:
-        """As ``add``; the empty phrase ends here."""
-        if phrase:
-            self.add(phrase, count)
-        else:
-            self.size += not self.here
-            self.here += count
-
-    def items(self, prefix: bytes = b"") -> Iterator[tuple[bytes, int]]:
-        if self.here:
-            yield prefix, self.here
-        for head, child in self.children.items():
-            if type(child) is dict:
-                for rest, count in child.items():
-                    yield prefix + head + rest, count
-            else:
-                yield from child.items(prefix + head)
+    def add(self, phrase: bytes, count: int) -> int:
+        head = phrase[:4]
+        self.children[head], grown = put(self.children.get(head), phrase[4:], count, self.burst)
+        self.size += grown
+        return grown
+
+
+def put(child: dict | Trie | None, phrase: bytes, count: int, burst: int) -> tuple[dict | Trie, int]:
+    """Count a phrase under ``child``: the child, as a node if it has burst, and by how many phrases it has grown."""
+    if type(child) is Trie:
+        return child, child.add(phrase, count)
+    child = {} if child is None else child
+    before = len(child)
+    child[phrase] = child.get(phrase, 0) + count
+    grown = len(child) - before
+    if grown and before >= burst and len(phrase) > 4:
+        node = Trie(burst)
+        for key, value in child.items():
+            node.add(key, value)
+        return node, grown
+    return child, grown
 
-    def sizes(self) -> dict[bytes, int]:
-        return {head: len(child) if type(child) is dict else child.size for head, child in self.children.items()}
 
-    def take(self, head: bytes) -> list[tuple[bytes, int]]:
-        """Remove the subtree under ``head``; its phrases without the first word."""
-        child = self.children.pop(head)
-        found = list(child.items())
-        self.size -= len(found)
-        return found
+def size_of(child: dict | Trie) -> int:
+    return len(child) if type(child) is dict else child.size
+
+
+def listed(child: dict | Trie, prefix: bytes = b"") -> Iterator[tuple[bytes, int]]:
+    if type(child) is dict:
+        for rest, count in child.items():
+            yield prefix + rest, count
+    else:
+        for head, below in child.children.items():
+            yield from listed(below, prefix + head)
 
 
 class Words:
@@ -166,23 +155,19 @@ def _distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Counter:
-    """Tries of a task, one per lang, over words numbered as they come."""
+    """Tries of a task, one per lang, for phrases of one length over words numbered as they come."""
 
     def __init__(self, held: int, burst: int):
         self.held, self.burst = held, burst
+        self._clear()
+
+    def _clear(self) -> None:
         self.numbers: dict[str, int] = {}
-        self.names: list[str] = []
-        self.tries: dict[str, Trie] = {}
+        self.tries: dict[str, dict | Trie] = {}
 
     def numbered(self, found: pa.Array) -> np.ndarray:
         coded = found.dictionary_encode()
-        numbers = []
-        for name in coded.dictionary.to_pylist():
-            n = self.numbers.get(name)
-            if n is None:
-                n = self.numbers[name] = len(self.names)
-                self.names.append(name)
-            numbers.append(n)
+        numbers = [self.numbers.setdefault(name, len(self.numbers)) for name in coded.dictionary.to_pylist()]
         return np.array(numbers, np.int64)[coded.indices.to_numpy()] if numbers else np.zeros(0, np.int64)
 
     def add(self, lang: str, columns: list[np.ndarray]) -> None:
@@ -191,64 +176,69 @@ class _Counter:
             return
         place, counts = _distinct(columns)
         rows = np.stack([c[place] for c in columns], axis=1).astype(">u4")
-        keys, width = rows.tobytes(), 4 * len(columns)
-        trie = self.tries.setdefault(lang, Trie(self.burst))
+        keys, width, trie = rows.tobytes(), 4 * len(columns), self.tries.get(lang)
         for i, count in enumerate(counts.tolist()):
-            trie.add(keys[i * width : (i + 1) * width], count)
+            trie, _ = put(trie, keys[i * width : (i + 1) * width], count, self.burst)
+        self.tries[lang] = trie
 
-    def spill(self, everything: bool) -> Iterator[pa.RecordBatch]:
-        """Sorted runs of the largest subtrees, until half of what may be held is left, or of all."""
-        size = sum(t.size for t in self.tries.values())
+    def spill(self, everything: bool = False) -> Iterator[pa.RecordBatch]:
+        """Sorted runs of the largest subtrees, until half of what may be held is left; of all at the end, or when numbers take too much."""
+        size = sum(map(size_of, self.tries.values()))
+        everything = everything or len(self.numbers) > 2 * self.held
         if not everything and size <= self.held:
             return
-        order = sorted(((n, lang, head) for lang, t in self.tries.items() for head, n in t.sizes().items()), key=lambda x: (-x[0], x[1], x[2]))
-        rows, held = [], 0
-        for n, lang, head in order:
-            if not everything and size <= self.held // 2:
-                break
-            size -= n
-            held += n
-            rows += self._runs(lang, head)
-            if held > 1 << 17:
-                yield _runs_batch(rows)
-                rows, held = [], 0
-        if rows:
-            yield _runs_batch(rows)
-        if not sum(t.size for t in self.tries.values()):
-            self.numbers, self.names, self.tries = {}, [], {}
-
-    def _runs(self, lang: str, head: bytes) -> list[tuple]:
-        names, pieces = self.names, {}
-        for rest, count in self.tries[lang].take(head):
-            numbers = [int.from_bytes(rest[i : i + 4]) for i in range(0, len(rest), 4)]
-            second = names[numbers[0]] if numbers else ""
-            pieces.setdefault(hash_of(second) % PIECES, []).append((" ".join([names[n] for n in numbers]), count))
-        first = names[int.from_bytes(head)]
-        return [(lang, first, piece, sorted(run)) for piece, run in sorted(pieces.items())]
-
-
-def hash_of(word: str) -> int:
-    """A number of a word that is the same in every process."""
-    return zlib.crc32(word.encode())
-
-
-RUNS = "lang string, head string, piece int, rests array<string>, counts array<long>"
-
-
-def _runs_batch(rows: list[tuple]) -> pa.RecordBatch:
-    langs, heads, pieces, runs = zip(*rows)
-    offsets = pa.array(np.cumsum([0, *map(len, runs)]).astype(np.int32))
-    rests, counts = zip(*itertools.chain.from_iterable(runs))
+        names = pa.array(list(self.numbers), pa.string())
+        marks = mix(np.array([zlib.crc32(x.encode()) for x in self.numbers], np.uint64))
+        for lang, trie in self.tries.items():
+            if everything:
+                taken = [(trie, b"")]
+                self.tries[lang] = {}
+            elif type(trie) is dict:
+                taken = [(trie, b"")] if len(trie) > self.held // 2 else []
+                self.tries[lang] = {} if taken else trie
+            else:
+                taken, most = [], self.held * trie.size // (2 * size)
+                for head in sorted(trie.children, key=lambda h: (-size_of(trie.children[h]), h)):
+                    if trie.size <= most:
+                        break
+                    child = trie.children.pop(head)
+                    trie.size -= size_of(child)
+                    taken.append((child, head))
+            phrases = [x for child, head in taken for x in listed(child, head)]
+            if phrases:
+                yield _runs(lang, phrases, names, marks)
+        if everything:
+            self._clear()
+
+
+RUNS = "lang string, bucket int, phrases array<string>, counts array<long>"
+
+
+def _runs(lang: str, phrases: list[tuple[bytes, int]], names: pa.Array, marks: np.ndarray) -> pa.RecordBatch:
+    """A sorted run for each prefix."""
+    keys, counts = zip(*phrases)
+    numbers = np.frombuffer(b"".join(keys), ">u4").reshape(len(keys), -1).astype(np.int64)
+    bucket = marks[numbers[:, 0]]
+    if numbers.shape[1] > 1:
+        bucket = mix(bucket + marks[numbers[:, 1]] * np.uint64(3))
+    bucket = (bucket % np.uint64(BUCKETS)).astype(np.int32)
+    text = names.take(pa.array(numbers[:, 0]))
+    for column in numbers.T[1:]:
+        text = pc.binary_join_element_wise(text, names.take(pa.array(column)), " ")
+    rows = pa.table({"bucket": bucket, "phrase": text, "count": pa.array(counts, pa.int64())}).sort_by([("bucket", "ascending"), ("phrase", "ascending")]).combine_chunks()
+    bucket = rows.column("bucket").to_numpy()
+    first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    offsets = pa.array(np.r_[first, len(bucket)].astype(np.int32))
+    phrase, count = (rows.column(c).combine_chunks() for c in ("phrase", "count"))
     return pa.RecordBatch.from_arrays(
-        [pa.array(langs, pa.string()), pa.array(heads, pa.string()), pa.array(pieces, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(rests, pa.string())),
-         pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int64()))],
-        names=["lang", "head", "piece", "rests", "counts"])
+        [pa.array([lang] * len(first), pa.string()), pa.array(bucket[first], pa.int32()), pa.ListArray.from_arrays(offsets, phrase), pa.ListArray.from_arrays(offsets, count)],
+        names=["lang", "bucket", "phrases", "counts"])
 
 
-def runs_of(docs: DataFrame, lengths: tuple[int, ...], bits=None, held: int = HELD, burst: int = BURST) -> DataFrame:
-    """Sorted runs of the phrases of the given lengths; above two words only those whose two shorter ones the filter holds.
+def runs_of(docs: DataFrame, length: int, bits=None, held: int = HELD, burst: int = BURST) -> DataFrame:
+    """Sorted runs of the phrases of a length; above one word only those whose two shorter ones the filter holds.
 
-    With length 1 the words of each lang come as a run without a head.
+    With the words goes a run in bucket -1: the empty phrase, counted once for each word of the lang.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,42 +246,43 @@ def runs_of(docs: DataFrame, lengths: tuple[int, ...], bits=None, held: int = HE
         for batch in batches:
             for lo, hi in slices(batch.column(1)):
                 chunk = Words(batch.column(1)[lo:hi])
-                langs = batch.column(0)[lo:hi].to_pylist()
-                names = sorted(set(langs))
-                number = np.array([names.index(x) for x in langs])[chunk.text] if len(chunk) else np.zeros(0, np.int64)
-                word_numbers = None if lengths[-1] > 2 else counter.numbered(chunk.strings(np.arange(len(chunk))))
-                for length in lengths:
-                    at = np.arange(max(0, len(chunk) - length + 1))
-                    at = at[chunk.piece[at] == chunk.piece[at + length - 1]]
-                    if length > 2:
-                        salts = np.array([_salt(x) for x in names], np.uint64)
-                        shorter = rolling(chunk.hashes, length - 1)
-                        ok = _held(bits.value, mix(shorter ^ salts[number[: len(shorter)]]))
-                        at = at[ok[at] & ok[at + 1]]
-                    for i, lang in enumerate(names):
-                        mine = at[number[at] == i]
-                        if length == 1:
-                            totals[lang] = totals.get(lang, 0) + len(mine)
-                        if word_numbers is not None:
-                            counter.add(lang, [word_numbers[mine + j] for j in range(length)])
-                        elif len(mine):
-                            counter.add(lang, list(counter.numbered(chunk.strings((mine[:, None] + np.arange(length)).ravel())).reshape(-1, length).T))
-                yield from counter.spill(False)
+                at = np.arange(max(0, len(chunk) - length + 1))
+                at = at[chunk.piece[at] == chunk.piece[at + length - 1]]
+                langs, number = np.unique(np.array(batch.column(0)[lo:hi].to_pylist(), object), return_inverse=True)
+                number = number[chunk.text]
+                if length > 1:
+                    salts = np.array([_salt(x) for x in langs], np.uint64)
+                    shorter, same = rolling(chunk.hashes, length - 1), salts[number]
+                    n = len(shorter)
+                    held_here = _held(bits.value, mix(shorter ^ same[:n]))
+                    at = at[held_here[at] & held_here[at + 1]]
+                if not len(at):
+                    continue
+                rows = counter.numbered(chunk.strings((at[:, None] + np.arange(length)).ravel())).reshape(-1, length)
+                for i, lang in enumerate(langs):
+                    mine = rows[number[at] == i]
+                    if length == 1:
+                        totals[lang] = totals.get(lang, 0) + len(mine)
+                    counter.add(lang, list(mine.T))
+                yield from counter.spill()
         yield from counter.spill(True)
         if totals:
-            yield _runs_batch([(lang, "", 0, [("", n)]) for lang, n in totals.items()])
+            yield pa.RecordBatch.from_pylist([{"lang": x, "bucket": -1, "phrases": [""], "counts": [n]} for x, n in totals.items()], schema=_schema())
 
     texts = docs.select(F.coalesce("lang", F.lit(NONE)).alias("lang"), "text")
     return texts.mapInArrow(run, RUNS)
 
 
+def _schema() -> pa.Schema:
+    return pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("phrases", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+
+
 def merged(runs: DataFrame) -> DataFrame:
     """(lang, phrase, f) of all runs, merged in the partition of their prefix."""
     parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = runs.repartition(parts, "lang", "head", "piece")
-    rows = dealt.select("lang", "head", "piece", F.explode(F.arrays_zip("rests", "counts")).alias("x"))
-    counts = rows.groupBy("lang", "head", "piece", F.col("x.rests").alias("rest")).agg(F.sum("x.counts").alias("f"))
-    return counts.select("lang", F.when(F.col("rest") == "", F.col("head")).otherwise(F.concat_ws(" ", "head", "rest")).alias("phrase"), "f")
+    dealt = runs.repartition(parts, "lang", "bucket")
+    rows = dealt.select("lang", "bucket", F.explode(F.arrays_zip("phrases", "counts")).alias("x"))
+    return rows.groupBy("lang", "bucket", F.col("x.phrases").alias("phrase")).agg(F.sum("x.counts").alias("f")).drop("bucket")
 
 
 def filter_of(phrases: DataFrame, length: int) -> np.ndarray:
@@ -317,24 +308,23 @@ def filter_of(phrases: DataFrame, length: int) -> np.ndarray:
 def counts(docs: DataFrame, least: int = LEAST, longest: int = WORDS, held: int = HELD, burst: int = BURST) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, f) for all phrases of ``longest`` words at most with f >= ``least``, and (lang, n)."""
     spark = docs.sparkSession
-    found = stage(merged(runs_of(docs, (1, 2), None, held, burst)).filter((F.col("f") >= least) | (F.col("phrase") == "")))
+    found = stage(merged(runs_of(docs, 1, None, held, burst)).filter((F.col("f") >= least) | (F.col("phrase") == "")))
     totals = found.filter(F.col("phrase") == "").select("lang", F.col("f").alias("n"))
-    size = (F.length("phrase") - F.length(F.translate("phrase", " ", "")) + 1).alias("words")
-    levels = [found.filter(F.col("phrase") != "").select("lang", "phrase", size, "f")]
-    last = levels[0].filter(F.col("words") == 2)
-    for length in range(3, longest + 1):
+    every = last = found.filter(F.col("phrase") != "").withColumn("words", F.lit(1))
+    for length in range(2, longest + 1):
         bits = spark.sparkContext.broadcast(filter_of(last, length - 1))
-        last = stage(merged(runs_of(docs, (length,), bits, held, burst)).filter(F.col("f") >= least).select("lang", "phrase", F.lit(length).alias("words"), "f"))
-        bits.unpersist()
-        levels.append(last)
+        last = stage(merged(runs_of(docs, length, bits, held, burst)).filter(F.col("f") >= least).withColumn("words", F.lit(length)))
+        every = every.unionByName(last)
         if last.isEmpty():
             break
-    every = levels[0]
-    for level in levels[1:]:
-        every = every.unionByName(level)
     return every, totals
 
 
+#: Exact: the numerator and the denominator have 38 digits at most, the quotient is below 1000 n.
+SCORE = """CAST(CAST(1000 AS DECIMAL(4,0)) * CAST(a AS DECIMAL(15,0)) * CAST(n AS DECIMAL(17,0))
+           div (CAST(l AS DECIMAL(18,0)) * CAST(r AS DECIMAL(18,0))) AS BIGINT)"""
+
+
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = WORDS, most: int = MOST, held: int = HELD, burst: int = BURST) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each lang's ``most`` best candidates."""
     every, totals = counts(docs, least, longest, held, burst)
@@ -353,8 +343,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = WORDS, most
     for side, name in (("left", "l"), ("right", "r")):
         cuts = cuts.join(known.withColumnRenamed("f", name), (F.col("lang") == F.col("of")) & (F.col(side) == F.col("part"))).drop("of", "part", side)
     cuts = cuts.join(totals, "lang")
-    score = F.expr("CAST(CAST(1000 AS DECIMAL(4,0)) * CAST(a AS DECIMAL(15,0)) * CAST(n AS DECIMAL(18,0)) div (CAST(l AS DECIMAL(19,0)) * CAST(r AS DECIMAL(18,0))) AS BIGINT)")
-    best = cuts.withColumn("score", score).groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r", "n")).alias("x")).select("lang", "phrase", "x.*")
+    best = cuts.withColumn("score", F.expr(SCORE)).groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r", "n")).alias("x")).select("lang", "phrase", "x.*")
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc()]
     # A lang may hold any number of candidates: the best of each salted part, then of these.
     salted = best.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))

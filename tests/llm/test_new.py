@@ -1,18 +1,21 @@
-"""Records and the manifest against plain versions; ties, missing ids, damage, small blocks."""
+"""Records, the manifest and phrases against plain versions; ties, missing ids, damage, small blocks."""
 
 import hashlib
+import random
+import re
 import struct
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.errors import PythonException
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
-from barflow.llm import manifest, records
+from barflow.llm import manifest, phrases, records
 from tests.llm.tables import ROWS, edge, given
 
 
@@ -130,3 +133,61 @@ def test_manifest_tampering_is_found(spark, sf):
     got = entry.queries()["op12_manifest"](spark, sf).collect()
     for r in got:
         assert r.verified == (zlib.crc32(str(r.doc_id).encode()) % 7 != 0)
+
+
+def _collocations(rows, least, longest, most):
+    f, n = defaultdict(Counter), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        lowered = re.sub("[A-Z]", lambda m: m.group().lower(), text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lowered):
+            w = tuple(re.findall(r"[^\x20\x09]+", piece))
+            n[lang] += len(w)
+            f[lang].update(w[i : i + k] for k in range(1, longest + 1) for i in range(len(w) - k + 1))
+    out = []
+    for lang, counts in f.items():
+        often = {p: a for p, a in counts.items() if a >= least and len(p) > 1}
+        inside = {(p[i : i + k], a) for p, a in often.items() for k in range(2, len(p)) for i in range(len(p) - k + 1)}
+        best = []
+        for p, a in often.items():
+            if not any((p, b) in inside for b in [a]):
+                score, k = min((1000 * a * n[lang] // (counts[p[:k]] * counts[p[k:]]), k) for k in range(1, len(p)))
+                best.append((-score, -a, " ".join(p).encode(), counts[p[:k]], counts[p[k:]]))
+        out += [(lang, i, p.decode(), -a, left, right, n[lang], -score) for i, (score, a, p, left, right) in enumerate(sorted(best)[:most], 1)]
+    return Counter(out)
+
+
+def test_phrases_equal_plain_counting(spark):
+    """Small tries burst and spill all the time; a full filter, stops, ties, NULLs and repeated rows."""
+    g = random.Random(4)
+    words = ["Ring", "the", "of", "É", "é", "Zö", "a\x0bb", "x y", "z\x1cq", "...", "of,", "the\n", "end.", "\t"]
+    texts = [(g.choice([None, "und", "en", "de", ""]), " ".join(g.choices(words, [9, 9, 9, 3, 3, 1, 1, 1, 1, 1, 2, 1, 2, 1], k=g.randint(0, 60)))) for _ in range(300)]
+    texts += [("en", "one two three four five six seven " * 30), ("en", None), (None, ""), ("de", ". , !")] + [("fr", "much the same. Much the same")] * 40
+    docs = spark.createDataFrame([(i if i % 3 else None, t, lang) for i, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string").repartition(4)
+    docs = docs.withColumn("phrase", docs["lang"]).withColumn("f", docs["lang"]).withColumn("rank", docs["lang"])
+    for least, most, held, burst in ((20, 2000, 40, 4), (7, 9, 10**6, 4096)):
+        got = phrases.collocations(docs, least, 5, most, held, burst).collect()
+        assert Counter(map(tuple, got)) == _collocations(texts, least, 5, most)
+    assert phrases.collocations(docs.limit(0)).collect() == []
+    few = docs.filter("lang = 'fr'")
+    assert Counter(map(tuple, phrases.collocations(few, 41).collect())) == _collocations([x for x in texts if x[0] == "fr"], 41, 5, 2000)
+
+
+def test_trie_bursts_and_spills_whole_subtrees():
+    counter = phrases._Counter(60, 8)
+    rows = np.array([[a, b, c] for a in range(5) for b in range(6) for c in range(3)] * 2)
+    counter.numbered(pa.array([f"w{i}" for i in range(6)]))
+    counter.add("en", list(rows.T))
+    trie = counter.tries["en"]
+    assert type(trie) is phrases.Trie and trie.size == 90 and len(trie.children) == 5
+    runs = [(p, c) for batch in counter.spill() for ps, cs in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()) for p, c in zip(ps, cs)]
+    assert trie.size <= 30 and len(runs) + trie.size == 90 and {c for _, c in runs} == {2}
+    heads = Counter(p.split()[0] for p, _ in runs)
+    assert set(heads.values()) == {18}
+    rest = [x for batch in counter.spill(True) for x in batch.column(2).to_pylist()]
+    assert sum(map(len, rest)) == 90 - len(runs) and all(x == sorted(x) for x in rest)
+
+
+def test_products_beyond_64_bits(spark):
+    score = spark.sql(f"SELECT {phrases.SCORE} AS s FROM VALUES (7000000000000L, 9000000000000000L, 70000000000000L, 80000000000001L) AS t(a, n, l, r)").first().s
+    assert score == 1000 * 7000000000000 * 9000000000000000 // (70000000000000 * 80000000000001)
