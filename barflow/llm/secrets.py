@@ -4,10 +4,11 @@ Base spans come from three patterns (kinds assign, access, hex; fixed values). T
 ``entropy``: candidates are runs of token characters of at least ``window`` characters. A window of that
 length slides over a run; the counts of its characters, kept per class (hex digits, base 64), change by one
 character in and one out, and with them the sum of c log2 c, so each step costs the same. A window counts if
-its characters all belong to a class, at least two of its digits, lower and upper letters occur, and its
-entropy reaches the class's threshold. Touching windows unite to one span. A span is suppressed if an
-allow-list pattern (identifiers, checksums named as such, examples, addresses) covers it. Base spans are never
-suppressed.
+its characters all belong to a class, it has two digits or more (so a token of letters only is never found), at least
+two of digits, lower and upper letters occur, and its entropy reaches the class's threshold. Touching windows unite to
+one span. A span is suppressed if a match of an allow-list pattern (identifiers, checksums named as such, addresses) covers it,
+wherever in the text the match begins, or if its run holds a word of an example. Patterns are matched over the whole text, once, and
+only where a window was found; they must be linear. Base spans are never suppressed.
 
 NULL and empty texts have no spans. Texts are scanned whole. Spans count code points, end exclusive, and are
 listed by start, then kind in the order of KINDS. Repeated rows give repeated rows; only doc_id and text are
@@ -19,7 +20,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,9 +46,10 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/=_-]{%d,}" % WINDOW)
 ALLOW = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
     r"(?i:sha-?(?:1|256|512)|md5)[:=-][0-9a-zA-Z+/=]+",
-    r"(?i:[a-z0-9+/=_-]*(?:example|placeholder|changeme|dummy)[a-z0-9+/=_-]*)",
     r"(?:https?://|www\.)[^\s\"'<>]+",
 )
+#: Words, in either case, that make the whole run of token characters around them an example.
+EXAMPLES = ("example", "placeholder", "changeme", "dummy")
 
 #: Keywords start with one of these letters; assign needs : or = somewhere.
 _HEX_RUN = re.compile(r"[0-9a-f]{%d,}" % LEAST["hex"])
@@ -100,21 +104,29 @@ def entropy_windows(run: str, window: int = WINDOW, thresholds: dict[str, float]
     return merged
 
 
+class Allowed:
+    """Whether a match of one of the patterns covers a span of the text."""
+
+    def __init__(self, text: str, allow: tuple[re.Pattern, ...]):
+        spans = sorted(m.span() for p in allow for m in p.finditer(text))
+        self.starts = [s for s, _ in spans]
+        self.reach = list(accumulate((e for _, e in spans), max))  # how far matches up to here go
+
+    def covers(self, start: int, end: int) -> bool:
+        i = bisect_right(self.starts, start)
+        return i > 0 and self.reach[i - 1] >= end
+
+
 def scan(text: str, allow: tuple[re.Pattern, ...]) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans and all spans, each sorted by start, then kind."""
     base = sorted(base_spans(text))
-    added = []
+    added, allowed = [], None
     for run in CANDIDATE.finditer(text):
         windows = entropy_windows(run.group())
-        if windows:
-            # Allow-listed strings may reach beyond the run; look at its surroundings of bounded length.
-            at = max(0, run.start() - 64)
-            safe = [(at + m.start(), at + m.end()) for p in allow for m in p.finditer(text, at, min(len(text), run.end() + 64))]
-            safe = [(s - at, e - at) for s, e in safe]
-            for start, end in windows:
-                start, end = start + run.start(), end + run.start()
-                if not any(s <= start and end <= e for s, e in safe):
-                    added.append((start, 3, end))
+        if windows and not any(word in run.group().lower() for word in EXAMPLES):
+            allowed = allowed or Allowed(text, allow)
+            spans = [(run.start() + start, run.start() + end) for start, end in windows]
+            added += [(start, 3, end) for start, end in spans if not allowed.covers(start, end)]
     return base, sorted(base + added)
 
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 from collections import Counter
 
 import numpy as np
@@ -73,6 +74,28 @@ def test_secrets_query(spark, sf):
         assert set(joined.split(",")) - {""} <= set(got[doc_id].spans.split(","))
 
 
+def test_allowed_strings_cover_at_any_distance():
+    """An address or an example may begin far before the span; what only stands near does not cover."""
+    allow, token = tuple(map(re.compile, secrets.ALLOW)), "Zx8Kq2LmP9vTn4Rw7Yb3hG5d"
+    for gap in (1, 57, 67, 500, 9000):
+        path = "a/.b" * gap
+        assert not secrets.scan(f"https://host.org/{path}?{token}", allow)[1]
+        assert secrets.scan(f"https://host.org/{path} {token}", allow)[1]
+        assert not secrets.scan(f"x_example_{'-' * gap}{token}", allow)[1]
+    assert not secrets.scan(f"sha256:{token} SHA-512={token} 123e4567-e89b-12d3-a456-426614174000", allow)[1]
+    assert secrets.scan(f"sha256: {token}", allow)[1]
+
+
+def test_long_runs_take_linear_time():
+    g, letters = random.Random(2), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    allow, run = tuple(map(re.compile, secrets.ALLOW)), "".join(g.choices(letters, k=1 << 20))
+    before = time.process_time()
+    assert secrets.scan("data:" + run, allow)[1] and not secrets.scan("https://x?" + run, allow)[1]
+    many = " ".join(f"https://a.b/{run[i : i + 40]} {run[i : i + 40]}" for i in range(0, 200_000, 40))
+    assert len(secrets.scan(many, allow)[1]) > 4000
+    assert time.process_time() - before < 60
+
+
 def test_entropy_windows_equal_counting_anew():
     g = random.Random(3)
     for _ in range(200):
