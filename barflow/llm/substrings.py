@@ -16,9 +16,10 @@ Equality is that of two independent 64-bit hashes (seed and run, or two of the w
 equal runs of one batch are reduced to the first; the others are known to repeat and are dealt out by their own
 coordinate, so a passage that a third of all documents share does not meet in one task.
 
-NULL and empty texts have no words and no removals. Rows with the same doc_id and text count as one document and
-are all treated as it; rows with the same doc_id and different texts are ordered by start. Texts are read whole;
-only doc_id and text are read.
+NULL and empty texts have no words and no removals. Documents are told apart by doc_id and a 64-bit hash of the text, and
+are in order of both, NULL ids last: rows with the same doc_id and text count as one document and are all treated as
+it; rows with the same doc_id (or none) and different texts are documents of their own, the one with the smaller hash first. Texts
+are read whole; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -109,15 +110,16 @@ def _emit_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not parts:
             continue
         text, pos, size, seed, run = (np.concatenate(p) for p in zip(*parts))
-        order = np.lexsort((pos, ids[text], run, seed))
+        order = np.lexsort((pos, marks[text], ids[text], null[text], run, seed))
         text, pos, size, seed, run = text[order], pos[order], size[order], seed[order], run[order]
         head = np.r_[True, (seed[1:] != seed[:-1]) | (run[1:] != run[:-1])] if len(seed) else np.zeros(0, bool)
         lead = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0)) if len(head) else np.zeros(0, int)
-        doc = ids[text]
-        repeated = (doc != doc[lead]) | (pos != pos[lead])
-        key = np.where(repeated, mix(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + pos.astype(np.uint64)), seed)
+        doc, mark, none = ids[text], marks[text], null[text]
+        repeated = (doc != doc[lead]) | (mark != mark[lead]) | (none != none[lead]) | (pos != pos[lead])
+        own = mix(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mark.view(np.uint64)) + pos.astype(np.uint64)
+        key = np.where(repeated, mix(own), seed)
         yield pa.RecordBatch.from_arrays([
-            pa.array(key.view(np.int64)), pa.array(run.view(np.int64)), pa.array(doc, pa.int64(), mask=null[text]), pa.array(marks[text], pa.int32()),
+            pa.array(key.view(np.int64)), pa.array(run.view(np.int64)), pa.array(doc, pa.int64(), mask=none), pa.array(mark, pa.int64()),
             pa.array(pos.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(repeated)],
             names=["key", "run", "doc_id", "mark", "pos", "size", "repeated"])
 
@@ -164,16 +166,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _documents(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and a short mark of the text for rows that share a doc_id."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.pmod(F.hash("text"), F.lit(1 << 15)).cast("int").alias("mark"), "text")
+    """doc_id, text, and a mark of the text, by which rows that share a doc_id are told apart and ordered."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
 
 
 def paths_of(docs: DataFrame) -> DataFrame:
     """The first grouping: (doc_id, mark, pos, size, repeated) of runs that repeat an earlier one, or (not repeated) branch."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = docs.select("doc_id", "mark", "text").mapInArrow(
-        _emit_runs, "key long, run long, doc_id long, mark int, pos int, size int, repeated boolean").repartition(n, "key")
-    same = Window.partitionBy("key", "run").orderBy(F.col("doc_id").asc_nulls_last(), "pos")
+        _emit_runs, "key long, run long, doc_id long, mark long, pos int, size int, repeated boolean").repartition(n, "key")
+    same = Window.partitionBy("key", "run").orderBy(F.col("doc_id").asc_nulls_last(), "mark", "pos")
     seed = Window.partitionBy("key")
     told = runs.withColumn("place", F.rank().over(same)).withColumn("branches", F.min("run").over(seed) != F.max("run").over(seed))
     later = F.col("repeated") | (F.col("place") > 1)
@@ -191,8 +193,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark"))
     opened = docs.join(by_text(found.filter(~F.col("repeated"))), same).select("doc_id", "mark", "text", "paths")
-    edges = opened.mapInArrow(_emit_edges, "h1 long, h2 long, doc_id long, mark int, pos int")
-    place = F.rank().over(Window.partitionBy("h1", "h2").orderBy(F.col("doc_id").asc_nulls_last(), "pos"))
+    edges = opened.mapInArrow(_emit_edges, "h1 long, h2 long, doc_id long, mark long, pos int")
+    place = F.rank().over(Window.partitionBy("h1", "h2").orderBy(F.col("doc_id").asc_nulls_last(), "mark", "pos"))
     later = edges.withColumn("place", place).filter(F.col("place") > 1).select("doc_id", "mark", "pos", F.lit(1).alias("size"))
     paths = by_text(found.filter("repeated").select("doc_id", "mark", "pos", "size").union(later))
     return docs.join(paths, same, "left").select("doc_id", "text", "paths").mapInArrow(

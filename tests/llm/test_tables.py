@@ -8,6 +8,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -168,6 +169,20 @@ def test_substrings_edges(spark):
     assert substrings.remove_repeats(edge(spark, [])).collect() == []
 
 
+def test_substrings_of_rows_that_share_an_id(spark):
+    """Thousands of rows without an id, others that share one: documents of their own, in order of id and hash of the text."""
+    g = random.Random(8)
+    opening = " ".join(f"o{i}" for i in range(30))
+    passages = [" ".join(f"p{g.randrange(50)}" for _ in range(25)) for _ in range(40)]
+    rows = [(None if i < 4060 else i % 7, f"{opening} t{i} {g.choice(passages)} " + " ".join(f"u{g.randrange(10**6)}" for _ in range(g.randint(0, 120)))) for i in range(4200)]
+    docs = edge(spark, [(*r, "en", "a") for r in rows])
+    got = {r.kept: r for r in substrings.remove_repeats(docs).collect()}
+    order = [r.text for r in docs.select("text", "doc_id", F.xxhash64("text").alias("mark")).orderBy(F.col("doc_id").asc_nulls_last(), "mark").collect()]
+    left = _left(list(enumerate(order)))
+    assert Counter((r.n_words, r.n_removed, hashlib.sha256(k.encode()).hexdigest()) for k, r in got.items()) == Counter(left.values())
+    assert sum(k.startswith(opening) for k in got) == 1
+
+
 def _plain_ring(spark, sizes, shards, vnodes, places, slack):
     """Bounded loads round by round on a list of (place, bytes)."""
     prefs = {r.place: r.prefs for r in sharding.ring(spark, shards, vnodes, places).collect()}
