@@ -1,15 +1,44 @@
-"""Cosine top-k of query vectors over a vector table."""
+"""Cosine top-k of query vectors over a vector table.
+
+Both sides are cut into blocks, and a pair of blocks is one matrix product in one task. Which pairs are needed is decided
+by a metric index with exact bounds. Angles obey the triangle inequality, so from the angle between two pivots, and the
+least and the largest angle of a block's vectors to their pivot, follows an angle below which no vector of one block can lie to
+one of the other.
+
+1. Pivots are ``PIVOTS`` vectors for each length, those with the smallest hash; each vector goes to its nearest pivot.
+2. The vectors of a pivot are counted by cells of their angle to it; cells are joined to blocks of about ``block``
+   vectors in order of angle (rings), and a cell that is larger is dealt by hash.
+3. Each query block is scored against the block of vectors nearest to it, which gives each query its k-th best so far.
+4. Of the other pairs only those are scored whose bound reaches the floor and the lowest k-th best of the query block.
+
+A pair left out holds nothing that could enter a result, so results are those of all pairs. On few blocks all pairs
+are scored at once. A block pair's bound is a row of numbers; vectors are copied for the pairs that are scored only.
+
+NULL, empty and zero vectors and those with gaps match nothing; vectors of another length never match. Cosines are rounded to 12
+digits, ties go to the smaller vec_id.
+"""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from barflow.session import stage
+
 #: Vectors, or queries, in a block; a task scores one block of each.
 BLOCK = 4096
+PIVOTS = 128
+#: Cells of the angle to a pivot, from 0 to pi.
+CELLS = 512
+#: Pairs of blocks up to which all are scored without an index.
+DIRECT = 64
+#: Allowed for rounding of angles and products.
+SLACK = 1e-6
 
 
 def _ranked(d: DataFrame, k: int) -> DataFrame:
@@ -17,13 +46,6 @@ def _ranked(d: DataFrame, k: int) -> DataFrame:
     return d.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= k).drop("_rk")
 
 
-def _blocks(df: DataFrame, id_: str, own: str, other: str, others: DataFrame, block: int) -> DataFrame:
-    """Deal rows into blocks and repeat them for each block of the other side; the numbers of blocks follow the tables."""
-    n = lambda d: F.greatest(F.lit(1), F.ceil(d.agg(F.count(F.lit(1))).scalar() / block)).cast("int")
-    mine = df.withColumn(own, F.pmod(F.xxhash64(id_), n(df)).cast("int"))
-    return mine.withColumn(other, F.explode(F.sequence(F.lit(0), n(others) - 1)))
-
-
 def _unit(vectors: pd.Series) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """By length: row numbers and rows of length 1; zero vectors and vectors with gaps are left out."""
     out = {}
@@ -37,17 +59,72 @@ def _unit(vectors: pd.Series) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def similar_topk(queries: DataFrame, vectors: DataFrame, k: int, floor: float, block: int = BLOCK) -> DataFrame:
-    """Exact top-k by cosine at or above ``floor``; vectors of another length never match.
-
-    Both sides are dealt into blocks, and each pair of blocks is scored by one matrix product in its own task,
-    which keeps the best k of each query; the best of all blocks are ranked at the end. Nothing is broadcast and
-    no task holds more than two blocks, however many queries there are.
-    """
-    schema = ", ".join(f"`{n}` {t}" for n, t in vectors.dtypes)
-    own = queries.select("query_id", "query")
-    q = _blocks(own, "query_id", "_qb", "_vb", vectors, block)
-    v = _blocks(vectors, "vec_id", "_vb", "_qb", own, block)
+def pivots_of(vectors: DataFrame, most: int = PIVOTS) -> dict[int, np.ndarray]:
+    """By length, at most ``most`` unit vectors: those with the smallest hash of vec_id. No more than that reaches the driver."""
+    sized = vectors.select("embedding", F.size("embedding").alias("size"), F.xxhash64("vec_id").alias("h")).filter("size > 0")
+    # Two steps, so that the vectors of one length never meet in one window.
+    salted = sized.withColumn("rk", F.row_number().over(Window.partitionBy("size", F.pmod("h", F.lit(64))).orderBy("h"))).filter(F.col("rk") <= most)
+    few = salted.withColumn("rk", F.row_number().over(Window.partitionBy("size").orderBy("h"))).filter(F.col("rk") <= most).select("embedding").toPandas()
+    return {size: rows for size, (_, rows) in _unit(few["embedding"]).items() if len(rows)} if len(few) else {}
+
+
+def assigned(df: DataFrame, vector: str, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """Add the vector's length, its nearest pivot and the angle to it; rows that match nothing are dropped."""
+
+    def run(batches):
+        for pdf in batches:
+            parts = []
+            for size, (rows, m) in _unit(pdf[vector]).items():
+                part = pdf.iloc[rows]
+                if size in pivots and len(rows):
+                    cosine = m @ pivots[size].T
+                    near = cosine.argmax(axis=1)
+                    angle = np.arccos(np.clip(cosine[np.arange(len(m)), near], -1, 1))
+                else:
+                    near, angle = np.full(len(rows), -1), np.zeros(len(rows))
+                parts.append(part.assign(_size=size, _pivot=near.astype("int32"), _angle=angle))
+            if parts:
+                yield pd.concat(parts)
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
+    return df.mapInPandas(run, f"{schema}, _size int, _pivot int, _angle double")
+
+
+def blocked(df: DataFrame, id_: str, block: int) -> DataFrame:
+    """Add ``_block`` (a struct) to assigned rows: rings of about ``block`` vectors around each pivot."""
+    cell = F.least(F.floor(F.col("_angle") / math.pi * CELLS), F.lit(CELLS - 1)).cast("int")
+    df = df.withColumn("_cell", cell)
+    cells = df.groupBy("_size", "_pivot", "_cell").agg(F.count(F.lit(1)).alias("_n"))  # CELLS rows a pivot at most
+    before = Window.partitionBy("_size", "_pivot").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("_ring", F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / block)).withColumn("_parts", F.ceil(F.col("_n") / block))
+    dealt = df.join(cells, ["_size", "_pivot", "_cell"])
+    part = F.pmod(F.xxhash64(id_), F.col("_parts"))
+    return dealt.withColumn("_block", F.struct(F.col("_size").alias("size"), F.col("_pivot").alias("pivot"), F.col("_ring").alias("ring"), part.alias("part"))).drop("_cell", "_n", "_ring", "_parts")
+
+
+def _stats(d: DataFrame, side: str) -> DataFrame:
+    return d.groupBy(F.col("_block").alias(side)).agg(F.min("_angle").alias(f"lo_{side}"), F.max("_angle").alias(f"hi_{side}"), F.count(F.lit(1)).alias(f"n_{side}"))
+
+
+def bounds(q: DataFrame, v: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """(q, v, least): for each pair of blocks of one length, the least angle that two of their vectors can have."""
+    spark = q.sparkSession
+    angles = [(int(size), i, j, float(x)) for size, p in pivots.items() for i, row in enumerate(np.arccos(np.clip(p @ p.T, -1, 1))) for j, x in enumerate(row)]
+    between = spark.createDataFrame(angles, "size int, i int, j int, apart double")
+    pairs = _stats(q, "q").join(_stats(v, "v"), F.col("q.size") == F.col("v.size"))
+    pairs = pairs.join(between, (F.col("q.size") == F.col("size")) & (F.col("q.pivot") == F.col("i")) & (F.col("v.pivot") == F.col("j")), "left")
+    apart = F.col("apart")
+    least = F.greatest(F.lit(0.0), apart - F.col("hi_q") - F.col("hi_v"), F.col("lo_v") - apart - F.col("hi_q"), F.col("lo_q") - apart - F.col("hi_v"))
+    return pairs.select("q", "v", "n_q", "n_v", F.coalesce(F.when(apart.isNotNull(), least), F.lit(0.0)).alias("least"))
+
+
+def _score(q: DataFrame, v: DataFrame, pairs: DataFrame, k: int, floor: float, kind: str, schema: str) -> DataFrame:
+    """The best k of each query in each of the given pairs of blocks (columns q, v)."""
+    left = q.select("query_id", "query", F.col("_block").alias("q")).join(pairs.select("q", "v"), "q")
+    columns = [c for c in v.columns if c not in ("_size", "_pivot", "_angle", "_block")]
+    right = v.select(*columns, F.col("_block").alias("v")).join(pairs.select("q", "v"), "v")
+    keys = [F.to_json("q").alias("_q"), F.to_json("v").alias("_v")]
+    left, right = left.select("query_id", "query", *keys), right.select(*columns, *keys)
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -55,17 +132,54 @@ def similar_topk(queries: DataFrame, vectors: DataFrame, k: int, floor: float, b
         ids, query_ids = right["vec_id"].to_numpy(), left["query_id"].to_numpy()
         for size in mine.keys() & theirs.keys():
             (at, a), (of, b) = mine[size], theirs[size]
-            cosine = a @ b.T
+            cosine = np.round(a @ b.T, 12)  # equal vectors tie, whatever the order of summing
             for i, row in enumerate(cosine):
                 hit = np.flatnonzero((row >= floor) & (ids[of] != query_ids[at[i]]))
                 best = hit[np.lexsort((ids[of[hit]], -row[hit]))[:k]]
                 found += [(of[j], query_ids[at[i]], row[j]) for j in best]
-        rows = right.iloc[[f[0] for f in found]].drop(columns=["_vb", "_qb"]).reset_index(drop=True)
+        rows = right.iloc[[f[0] for f in found]].drop(columns=["_q", "_v"]).reset_index(drop=True)
         return rows.assign(query_id=[f[1] for f in found], similarity=[f[2] for f in found])
 
+    return left.groupBy("_q", "_v").cogroup(right.groupBy("_q", "_v")).applyInPandas(score, f"{schema}, query_id {kind}, similarity double")
+
+
+def _hashed(df: DataFrame, id_: str, n: int) -> DataFrame:
+    """Blocks by hash alone, as one ring."""
+    zero = F.lit(0)
+    return df.withColumn("_block", F.struct(zero.alias("size"), zero.alias("pivot"), zero.cast("long").alias("ring"), F.pmod(F.xxhash64(id_), F.lit(n)).alias("part")))
+
+
+def plan(queries: DataFrame, vectors: DataFrame, k: int, floor: float, block: int, pivots: int = PIVOTS) -> dict:
+    """The index and what it leaves to do: assigned sides, first results, and the pairs still to be scored."""
     kind = dict(queries.dtypes)["query_id"]
-    scored = q.groupBy("_qb", "_vb").cogroup(v.groupBy("_qb", "_vb")).applyInPandas(score, f"{schema}, query_id {kind}, similarity double")
-    return _ranked(scored, k)
+    schema = ", ".join(f"`{n}` {t}" for n, t in vectors.dtypes)
+    found = pivots_of(vectors, pivots)
+    v = stage(blocked(assigned(vectors, "embedding", found), "vec_id", block))
+    q = stage(blocked(assigned(queries.select("query_id", "query"), "query", found), "query_id", block))
+    every = stage(bounds(q, v, found).filter(F.col("least") <= math.acos(max(-1.0, min(1.0, floor))) + SLACK))
+    nearest = every.groupBy("q").agg(F.min_by("v", F.struct("least", "v")).alias("v"))
+    first = stage(_score(q, v, nearest, k, floor, kind, schema))
+    kth = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("similarity").alias("kth"))
+    reached = q.join(kth, "query_id", "left").groupBy(F.col("_block").alias("q")).agg(F.min(F.when(F.col("n") >= k, F.col("kth")).otherwise(F.lit(floor))).alias("reached"))
+    rest = every.join(nearest, ["q", "v"], "left_anti").join(reached, "q")
+    rest = stage(rest.filter(F.col("least") <= F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "reached"))) + SLACK).select("q", "v", "n_q", "n_v"))
+    return {"q": q, "v": v, "first": first, "rest": rest, "every": every, "kind": kind, "schema": schema}
+
+
+def similar_topk(queries: DataFrame, vectors: DataFrame, k: int, floor: float, block: int = BLOCK, pivots: int = PIVOTS, direct: int = DIRECT) -> DataFrame:
+    """Exact top-k by cosine at or above ``floor``; vectors of another length never match."""
+    n_q, n_v = (max(1, -(-d.count() // block)) for d in (queries, vectors))
+    if n_q * n_v <= direct:
+        kind, schema = dict(queries.dtypes)["query_id"], ", ".join(f"`{n}` {t}" for n, t in vectors.dtypes)
+        q, v = _hashed(queries.select("query_id", "query"), "query_id", n_q), _hashed(vectors, "vec_id", n_v)
+        parts = queries.sparkSession.range(n_q * n_v)
+        zero = F.lit(0)
+        at = lambda part: F.struct(zero.alias("size"), zero.alias("pivot"), zero.cast("long").alias("ring"), part.alias("part"))
+        pairs = parts.select(at(F.expr(f"id div {n_v}")).alias("q"), at(F.pmod("id", F.lit(n_v))).alias("v"))
+        return _ranked(_score(q, v, pairs, k, floor, kind, schema), k)
+    made = plan(queries, vectors, k, floor, block, pivots)
+    rest = _score(made["q"], made["v"], made["rest"], k, floor, made["kind"], made["schema"])
+    return _ranked(made["first"].unionByName(rest), k)
 
 
 def similar_with_outcome(queries: DataFrame, vectors: DataFrame, k: int, floor: float, has_outcome: Column) -> DataFrame:
