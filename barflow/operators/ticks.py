@@ -43,6 +43,18 @@ def deduplicate(events: DataFrame, seconds: int, key: Column, order=ORDER) -> Da
     return d.filter("accepted").drop("accepted", "_key")
 
 
+def event_key(*ids: str) -> Column:
+    """The first id that is there; an empty one counts as none. NULL where an event has no id at all."""
+    return F.coalesce(*[F.when(F.col(i) != "", F.col(i)) for i in ids])
+
+
+def deduplicate_events(events: DataFrame, ids=("event_id", "correlation_id"), seconds: int = 300, order=("ts",)) -> DataFrame:
+    """Suppress repeats of an event's key while its time to live runs; an event without any id always passes."""
+    keyed = events.withColumn("_key", event_key(*ids))
+    rest = keyed.filter(F.col("_key").isNull()).drop("_key")
+    return deduplicate(keyed.filter(F.col("_key").isNotNull()).drop("_key"), seconds, event_key(*ids), order).unionByName(rest)
+
+
 def hourly_cap(signals: DataFrame, n: int, keys=("symbol",), order=ORDER, breakout: str | None = None, floor: float = 0.0) -> DataFrame:
     """At most n accepted per rolling hour; a BUY needs the breakout score where one is known."""
     if breakout and floor > 0:

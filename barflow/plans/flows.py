@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from barflow.functions.columns import micros, rounded
@@ -10,6 +12,8 @@ from barflow.operators import folds
 from barflow.operators import ticks as T
 from barflow.plans import domain as D
 from barflow.plans.registry import cte, query
+from barflow.session import shared_folder
+from barflow.sources.commits import KeyedTable
 from barflow.streaming import windows as W
 
 cte("tk", "SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, event_id) - 1 AS i FROM ticks", ("ticks",))
@@ -64,6 +68,29 @@ def event_dedup(spark, sf):
     return T.deduplicate(signals(spark, sf), 21600, F.col("user_id")).select("user_id", "ts")
 
 
+# Events of all days on one day's clock, so that keys come again within minutes; some ids are missing or empty.
+cte("evk", """SELECT n, TIMESTAMP '2024-01-01' + to_microseconds(epoch_us(ts) % 86400000000) AS ts, CASE WHEN eid <> '' THEN eid WHEN cid <> '' THEN cid WHEN pid <> '' THEN pid END AS key FROM (SELECT event_id AS n, ts, CASE WHEN k % 3 = 0 THEN NULL WHEN k % 7 = 0 THEN '' ELSE 'e' || (event_id % 90) END AS eid,
+  CASE WHEN k % 4 <> 0 THEN 'c' || user_id END AS cid, CASE WHEN k % 8 = 0 THEN 'p' || (k % 5) ELSE '' END AS pid FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events))""")
+spaced("evd", "key", 300, "evk")
+
+
+@query("event_dedup_id", "SELECT key, ts FROM evd WHERE ts IS NOT NULL AND key IS NOT NULL UNION ALL SELECT key, ts FROM evk WHERE key IS NULL", ("evd", "evk"))
+def event_dedup_id(spark, sf):
+    return T.deduplicate_events(identified(spark, sf), IDS, order=("ts", "n")).select(T.event_key(*IDS).alias("key"), "ts")
+
+
+IDS = ("event_id", "correlation_id", "payload_id")
+
+
+def identified(spark, sf):
+    """Events with an id of their own, of their flow or in their payload, or none."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    clock = F.timestamp_micros(F.lit(1704067200000000) + F.pmod(micros("ts"), F.lit(86400000000))).cast("timestamp_ntz")
+    return D.table(spark, sf, "events").select(
+        F.col("event_id").alias("n"), clock.alias("ts"), F.when(k % 3 == 0, None).when(k % 7 == 0, "").otherwise(F.concat(F.lit("e"), F.col("event_id") % 90)).alias("event_id"),
+        F.when(k % 4 != 0, F.concat(F.lit("c"), "user_id")).alias("correlation_id"), F.when(k % 8 == 0, F.concat(F.lit("p"), k % 5)).otherwise("").alias("payload_id"))
+
+
 cte("sgi", "SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, event_id) - 1 AS i FROM sg WHERE NOT (side = 'BUY' AND price < 5)", ("sg",))
 cte("cap", """(SELECT symbol, i, event_id, ts, true AS ok, [ts] AS acc FROM sgi WHERE i = 0 UNION ALL SELECT s.symbol, s.i, s.event_id, s.ts, len(list_filter(c.acc, lambda v: v > s.ts - INTERVAL '1 hour')) < 2,
   CASE WHEN len(list_filter(c.acc, lambda v: v > s.ts - INTERVAL '1 hour')) < 2 THEN list_append(list_filter(c.acc, lambda v: v > s.ts - INTERVAL '1 hour'), s.ts) ELSE list_filter(c.acc, lambda v: v > s.ts - INTERVAL '1 hour') END FROM cap c JOIN sgi s ON s.symbol = c.symbol AND s.i = c.i + 1)""", ("sgi",))
@@ -113,6 +140,17 @@ def latest_tick(spark, sf):
     return T.latest(D.ticks(spark, sf)).select("symbol", "ts", "price", "volume")
 
 
+@query("latest_tick_table", "SELECT symbol, max(ts) AS ts, arg_max(price, (ts, event_id)) AS price, arg_max(volume, (ts, event_id)) AS volume FROM ticks GROUP BY 1", ("ticks",))
+def latest_tick_table(spark, sf):
+    """The newest tick of each symbol in a keyed table, batch by batch; the last one comes twice."""
+    t = D.ticks(spark, sf).select("symbol", "ts", "event_id", "price", "volume")
+    schema = ", ".join(f"{c} {kind}" for c, kind in t.dtypes)
+    kept = KeyedTable(spark, f"{shared_folder(spark)}/latest-{uuid.uuid4().hex}", schema, ["symbol"], T.latest, 16)
+    for epoch in (0, 1, 2, 2):
+        kept.upsert(t.filter(F.pmod(F.col("event_id"), F.lit(3)) == epoch), epoch)
+    return kept.read().select("symbol", "ts", "price", "volume")
+
+
 @query("mark_positions", """SELECT account, marked_at, round((CASE WHEN s = 'BUY' THEN 1 ELSE -1 END) * (price - e) * q * .001::DOUBLE, 8) AS unrealized FROM (SELECT symbol, max(ts) AS marked_at, arg_max(price, (ts, event_id)) AS price FROM ticks GROUP BY 1) JOIN
   (SELECT c_custkey AS account, CASE c_nationkey % 5 WHEN 0 THEN 'view' WHEN 1 THEN 'click' WHEN 2 THEN 'error' WHEN 3 THEN 'signup' ELSE 'purchase' END AS symbol, CASE WHEN c_acctbal > 0 THEN 'BUY' ELSE 'SELL' END AS s, abs(c_acctbal) / 100 AS e, c_nationkey + 1 AS q FROM customer) USING (symbol)""", ("ticks",))
 def mark_positions(spark, sf):

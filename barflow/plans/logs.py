@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from barflow.functions.columns import micros, rounded
 from barflow.operators import logs as L
 from barflow.plans import domain as D
 from barflow.plans.registry import cte, query
+from barflow.session import shared_folder
 from barflow.sources import events as E
 from barflow.sources import ledger as G
 from barflow.sources import logs as SL
@@ -143,6 +146,22 @@ def audit_sink(spark, sf):
                                      (F.floor(F.col("quantity") * 700 / 3) / 100).alias("latency_ms"), F.concat(F.lit("T"), "order_id").alias("outcome_reference")))
 
 
+@query("trade_outcomes", """SELECT trade_id, symbol, side, CAST(entry_price AS DECIMAL(24, 8)) AS entry_price, CAST(exit_price AS DECIMAL(24, 8)) AS exit_price, CAST(pnl AS DECIMAL(24, 8)) AS pnl, CAST(prediction AS DECIMAL(12, 6)) AS pnl_pct,
+  CASE WHEN quantity > 25 THEN 'take_profit' ELSE 'stop_loss' END AS close_reason, CAST(ts AS TIMESTAMP) - INTERVAL '1 day' AS opened_at, CAST(ts AS TIMESTAMP) AS closed_at, CAST(order_id % 3 AS BIGINT) AS epoch FROM fills""", ("fills",))
+def trade_outcomes(spark, sf):
+    """Closed trades in an append table, one epoch after the other; the second one is replayed."""
+    from barflow.sources.commits import AppendTable
+    from barflow.sources.sinks import trade_outcomes as outcomes
+    at = F.col("ts").cast("timestamp_ntz")
+    f = D.fills(spark, sf).withColumns({"pnl_pct": F.col("prediction"), "close_reason": F.when(F.col("quantity") > 25, "take_profit").otherwise("stop_loss"),
+                                        "opened_at": at - F.expr("INTERVAL 1 DAY"), "closed_at": at})
+    schema = ", ".join(f"{c} {kind}" for c, kind in outcomes(f).dtypes)
+    table = AppendTable(spark, f"{shared_folder(spark)}/outcomes-{uuid.uuid4().hex}", schema, "closed_at", 1, "month")
+    for epoch in (0, 1, 2, 1):
+        table.append(outcomes(f.filter(F.col("order_id") % 3 == epoch)), epoch)
+    return table.read().drop("month")
+
+
 @query("trade_insert", """SELECT trade_id, symbol, side, quantity, entry_price AS price FROM (SELECT * REPLACE (CASE WHEN order_id % 23 = 0 THEN 'HOLD' ELSE side END AS side, CASE WHEN order_id % 29 = 0 THEN 0 ELSE quantity END AS quantity) FROM fills WHERE confidence < .8)
   WHERE side IN ('BUY', 'SELL') AND quantity > 0 AND entry_price > 0 AND trade_id NOT IN (SELECT trade_id FROM fills WHERE model LIKE '%N')""", ("fills",))
 def trade_insert(spark, sf):

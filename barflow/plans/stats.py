@@ -336,3 +336,20 @@ def walkforward_summary(spark, sf):
 def reliability_table(spark, sf):
     d = D.fills(spark, sf).withColumn("won", F.col("pnl") > 0)
     return rounded(E.reliability_table(d, "confidence", "won", ["model"]), 8)
+
+
+FITTED = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+SEEN = "l_orderkey % 4 <> 0 AND l_discount < .08"
+LATER = {"l_quantity": "CASE WHEN l_linenumber = 2 THEN NULL ELSE l_quantity * 1.5 END", "l_tax": "NULL::DOUBLE"}
+BOUNDED = ", ".join(f"round(CASE WHEN {LATER.get(c, c)} IS NULL THEN {c}_mid ELSE least(greatest({LATER.get(c, c)}, {c}_lo), {c}_hi) END, 6) AS {c}" for c in FITTED)
+MADE = ", ".join(f"quantile_cont({c}, .5) AS {c}_mid, min({c}) AS {c}_lo, max({c}) AS {c}_hi" for c in FITTED)
+
+
+@query("fitted_features", f"SELECT l_orderkey, l_linenumber, {BOUNDED} FROM lineitem, (SELECT {MADE} FROM lineitem WHERE {SEEN}) WHERE l_orderkey % 4 = 0")
+def fitted_features(spark, sf):
+    """Fitted on most orders; applied to the others, whose frame lacks a feature, has gaps, larger values and further columns."""
+    from barflow.operators.fitted import FeaturePipeline
+    li = D.table(spark, sf, "lineitem")
+    model = FeaturePipeline(list(FITTED), ["l_orderkey", "l_linenumber"]).fit(li.filter(SEEN))
+    later = li.filter("l_orderkey % 4 = 0").drop("l_tax").withColumn("l_quantity", F.when(F.col("l_linenumber") == 2, float("nan")).otherwise(F.col("l_quantity") * 1.5))
+    return rounded(model.transform(later))

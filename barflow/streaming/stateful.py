@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from barflow.operators import folds
+from barflow.operators.ticks import event_key
 
 
 def _stateful(df: DataFrame, keys: list[str], ts: str, state_schema: str, decide: Callable, extra: str = "", idle: str | None = None) -> DataFrame:
@@ -90,6 +91,15 @@ def deduplicate_spaced(events: DataFrame, seconds: int, keys=("event_id",), idle
     return debounce(events, seconds, keys, idle)
 
 
+def deduplicate_events(events: DataFrame, ids=("event_id", "correlation_id"), seconds: int = 300, expires: bool = True) -> DataFrame:
+    """The batch rule on the first id of an event that is there. With ``expires`` a key's state goes when its time to
+    live has passed by the watermark, which ``ts`` must carry; an event without an id passes and has no state."""
+    keyed = events.withColumn("_key", event_key(*ids))
+    rest = keyed.filter(F.col("_key").isNull())
+    passed = debounce(keyed.filter(F.col("_key").isNotNull()), seconds, ("_key",), f"{seconds} seconds" if expires else None)
+    return passed.unionByName(rest).drop("_key")
+
+
 def hourly_cap(signals: DataFrame, n: int, keys=("symbol",), breakout: str | None = None, floor: float = 0.0, idle: str | None = None) -> DataFrame:
     """At most n accepted per rolling hour; a BUY needs the breakout score where one is known."""
     if breakout and floor > 0:
