@@ -16,9 +16,8 @@ never read. The manifest has one row per file; the ids before a file are a runni
 which tasks look up offsets in the index and read single records. Both raise ``ValueError`` where a checksum fails.
 
 Encoding is that of the tokenizers library without special tokens: their strings in a text are ordinary text. A blank between two
-printable ASCII or Latin characters always begins a pre-token, so texts are cut there; parts of plain letters, stops and
-single line ends are cut between these as well. What came before is looked up; anything else stays in one piece, up
-to the whole text. An end id closes each document.
+printable ASCII or Latin characters always begins a pre-token, so texts are cut there and a part that came before is looked
+up; anything else stays in one part, up to the whole text. An end id closes each document.
 
 NULL and empty texts are the end id alone. Texts are taken whole. Repeated rows are records of their own. An empty
 table gives files of no records, or none. Only doc_id and text are read.
@@ -47,8 +46,8 @@ from barflow.llm.registry import query
 END = 2
 #: Bytes after which a task begins another file.
 FILE_BYTES = 64 << 20
-#: Parts, and pre-tokens, that a task remembers at most.
-REMEMBERED = 500_000
+#: Parts that a task remembers at most.
+REMEMBERED = 900_000
 # Fixed values of the format.
 MARK = b"BFSEQ\x01\r\n"
 HEAD = struct.Struct("<8sI")
@@ -58,11 +57,11 @@ OWNER = struct.Struct("<Bq")
 ENTRY = np.dtype("<u8")
 MASK = 0xA282EAD8
 
-_LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
 _SAFE = frozenset(map(chr, [*range(0x21, 0x7F), *range(0xC0, 0x250)]))
-#: Parts made of letters, stops and single line ends only, and their pre-tokens.
-_SIMPLE = re.compile(rf"(?:[{_LATIN}]++|[.,;:!?]++|\n(?=[{_LATIN}.,;:!?]))++")
-_TOKENS = re.compile(rf"[{_LATIN}]+|[.,;:!?]+|\n")
+#: A blank that is not between two of them.
+_UNSAFE = re.compile(r" (?:(?<![!-~À-ɏ] )|(?![!-~À-ɏ]))")
+
 
 
 def masked(data: bytes) -> int:
@@ -79,20 +78,22 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # Letters behind a blank are one pre-token, so their bytes, as the library writes them, can go to the model at once.
+        self.model = Tokenizer(self.tokenizer.model)
+        self.written = {b: c for x in map(chr, range(0x250)) for b, c in zip(x.encode(), "".join(w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(x)))}
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
         self.parts: dict[str, bytes] = {}
-        self.tokens: dict[str, bytes] = {}
 
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _raw(self, texts: list[str], tokenizer=None) -> list[bytes]:
+        found = [e.ids for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
         return [struct.pack(f"<{len(ids)}{self.code}", *ids) for ids in found]
 
     @staticmethod
     def pieces(text: str) -> list[str]:
         """The text cut before each blank that stands between two safe characters; pieces after the first lack that blank."""
         parts = text.split(" ")
-        if all(p and p[0] in _SAFE and p[-1] in _SAFE for p in parts):
+        if not _UNSAFE.search(text):
             return parts
         out = parts[:1]
         for p in parts[1:]:
@@ -105,20 +106,16 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian numbers of ``width`` bytes."""
         cut = [self.pieces(t) for t in texts]
-        new = {}
-        for part in set().union(*[parts[1:] for parts in cut]).difference(self.parts):
-            new[part] = _TOKENS.findall(part) if _SIMPLE.fullmatch(part) else [part]
-            new[part][0] = " " + new[part][0]
-        tokens = list({t for made in new.values() for t in made if t not in self.tokens})
-        self.tokens.update(zip(tokens, self._raw(tokens)))
-        for part, made in new.items():
-            self.parts[part] = b"".join(map(self.tokens.__getitem__, made))
+        new = list(set().union(*[parts[1:] for parts in cut]).difference(self.parts))
+        letters = [p for p in new if _LATIN.fullmatch(p)]
+        self.parts.update(zip(letters, self._raw([f" {p}".encode().decode("latin-1").translate(self.written) for p in letters], self.model)))
+        others = [p for p in new if p not in self.parts]
+        self.parts.update(zip(others, self._raw([" " + p for p in others])))
         first = self._raw([parts[0] for parts in cut])
         out = [b"".join([head, *map(self.parts.__getitem__, parts[1:])]) for head, parts in zip(first, cut)]
-        for memory, added in ((self.parts, new), (self.tokens, tokens)):
-            if len(memory) > REMEMBERED:  # full: what came first, the common ones among it, stays
-                for key in added:
-                    del memory[key]
+        if len(self.parts) > REMEMBERED:  # full: what came first, the common ones among it, stays
+            for part in new:
+                del self.parts[part]
         return out
 
 
