@@ -10,7 +10,11 @@ reaches ``LEAST``, the same for all and without chance.
 Within a text, five-word windows are compared by a 64-bit hash of their words. Everything is a DataFrame
 expression: windows are built by zipping hashed words with themselves, shifted; only texts with a repeated window
 look for its places. Up to ``HELD`` buckets the ratios are broadcast, packed as arrays of ``PACK``; above, they are
-joined by a shuffle of each text's buckets. Texts are joined with the trusted ids once.
+joined by a shuffle of each text's buckets.
+
+Counting is one pass over the texts in map tasks of ``MAP_BYTES``, so that many sums meet before they are shuffled; up to ``HELD``
+buckets ``WIDE`` neighbours share a row. Up to ``IDS`` trusted ids are broadcast to it (counted first); more are joined by a shuffle
+of the texts.
 
 NULL and empty texts have no words and fail. Without a trusted document every ratio is 0. Repeated rows come
 back as often as they came and count as often in the raw corpus. Only doc_id and text are read, and of labels
@@ -30,9 +34,15 @@ from barflow.llm.registry import query
 #: The fewest buckets, and the distinct n-grams that a bucket holds at most on average.
 BUCKETS = 1 << 16
 LOAD = 6
-#: Buckets whose ratios (8 bytes each) are broadcast at most, and how many lie in a row.
+#: Buckets whose counts (4 bytes each) are broadcast at most, and how many lie in a row.
 HELD = 1 << 24
 PACK = 1 << 10
+#: Counts below this are broadcast as half of a number; a bucket beyond it has an entry of its own.
+HEAVY = 1 << 16
+#: Buckets of a row while they are counted, the text of a map task, and the trusted ids that are broadcast at most.
+WIDE = 8
+MAP_BYTES = 96 << 20
+IDS = 1 << 22
 SMOOTH = 1.0
 LEAST = -0.2
 WINDOW = 5
@@ -89,13 +99,6 @@ def bucket(h: Column, buckets: int) -> Column:
     return h.bitwiseAND(F.lit(buckets - 1).cast("long"))
 
 
-class Ratios(NamedTuple):
-    """(bucket, ratio) for the buckets that occur, and the number of buckets."""
-
-    table: DataFrame
-    buckets: int
-
-
 def _hashes(text: Column) -> Column:
     return F.transform(words_of(text), lambda w: F.xxhash64(w))
 
@@ -104,36 +107,78 @@ def _grams(hashes: str) -> Column:
     return F.concat(hashes, _zipped(F.col(hashes), F.col(hashes), 1))
 
 
-def buckets_for(docs: DataFrame) -> int:
-    """The number of buckets for the distinct words and pairs of ``docs``; one number comes to the driver."""
-    grams = docs.select(_hashes(F.col("text")).alias("hashes")).select(F.explode(_grams("hashes")).alias("h"))
-    distinct, buckets = grams.agg(F.approx_count_distinct("h", 0.01)).first()[0], BUCKETS
+def sized(docs: DataFrame) -> tuple[int, int]:
+    """The number of buckets for the distinct words and pairs of ``docs``, and the bytes of its texts; two numbers come to the driver."""
+    grams = docs.select(F.octet_length("text").alias("bytes"), _hashes(F.col("text")).alias("hashes"))
+    grams = grams.select(F.posexplode(_grams("hashes")).alias("at", "h"), "bytes")
+    distinct, size = grams.agg(F.approx_count_distinct("h", 0.01), F.sum(F.when(F.col("at") == 0, F.col("bytes")))).first()
+    buckets = BUCKETS
     while distinct > LOAD * buckets:
         buckets *= 2
-    return buckets
+    return buckets, size or 0
 
 
-def ratios(docs: DataFrame, labels: DataFrame) -> Ratios:
-    """The log-likelihood ratios, summed in the map tasks before they are shuffled."""
-    buckets = buckets_for(docs)
+def buckets_for(docs: DataFrame) -> int:
+    return sized(docs)[0]
+
+
+def bucket_counts(docs: DataFrame, labels: DataFrame, buckets: int, size: int, ids: int = IDS) -> DataFrame:
+    """(wide, good, raw): for the buckets of a row, in order, how often they occur in trusted documents and in all."""
     trusted = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("of")).distinct()
-    # Labels may be as many as documents: a sort-merge join at every size, so cost and disk grow in proportion.
-    flagged = docs.select("doc_id", "text").join(trusted.hint("merge"), F.col("doc_id") == F.col("of"), "left")
+    how = "broadcast" if trusted.limit(ids + 1).count() <= ids else "merge"
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // MAP_BYTES))
+    flagged = docs.select("doc_id", "text").coalesce(tasks).join(trusted.hint(how), F.col("doc_id") == F.col("of"), "left")
     hashed = flagged.select(F.col("of").isNotNull().cast("long").alias("good"), _hashes(F.col("text")).alias("hashes"))
-    grams = hashed.select("good", F.explode(_grams("hashes")).alias("h"))
-    counts = stage(grams.groupBy(bucket(F.col("h"), buckets).alias("bucket")).agg(F.sum("good").alias("good"), F.count(F.lit(1)).alias("raw")))
-    sums = counts.agg(F.sum("good").alias("good"), F.sum("raw").alias("raw")).first()  # two numbers
-    good, raw = (sums["good"] or 0), (sums["raw"] or 0)
-    ratio = F.log((F.col("good") + SMOOTH) / (good + SMOOTH * buckets)) - F.log((F.col("raw") + SMOOTH) / (raw + SMOOTH * buckets))
-    return Ratios(counts.select("bucket", (ratio if good else F.lit(0.0)).alias("ratio")), buckets)
+    grams = hashed.select("good", F.explode(_grams("hashes")).alias("h")).select("good", bucket(F.col("h"), buckets).alias("bucket"))
+    wide = WIDE if buckets <= HELD else 1
+    here = [F.col("bucket").bitwiseAND(F.lit(wide - 1).cast("long")) == j for j in range(wide)]
+    sums = [F.sum(F.when(h, F.col("good")).otherwise(0)).alias(f"good{j}") for j, h in enumerate(here)] + [F.sum(h.cast("long")).alias(f"raw{j}") for j, h in enumerate(here)]
+    rows = grams.groupBy(F.shiftright("bucket", wide.bit_length() - 1).alias("wide")).agg(*sums)
+    return rows.select("wide", *[F.array(*[f"{name}{j}" for j in range(wide)]).alias(name) for name in ("good", "raw")])
+
+
+class Ratios(NamedTuple):
+    """Counts (wide, good, raw) of the buckets that occur, the number of buckets, and the sums of both counts."""
+
+    counts: DataFrame
+    buckets: int
+    good: int
+    raw: int
+
+    def of(self, good: Column, raw: Column) -> Column:
+        """The log-likelihood ratio of a bucket with these counts."""
+        if not self.good:
+            return F.lit(0.0)
+        return F.log((good + SMOOTH) / (self.good + SMOOTH * self.buckets)) - F.log((raw + SMOOTH) / (self.raw + SMOOTH * self.buckets))
+
+    @property
+    def table(self) -> DataFrame:
+        """(bucket, ratio) of the buckets that occur."""
+        rows = self.counts.select("wide", F.size("raw").alias("n"), F.posexplode(F.arrays_zip("good", "raw")).alias("j", "x")).filter("x.raw > 0")
+        return rows.select((F.col("wide") * F.col("n") + F.col("j")).alias("bucket"), self.of(F.col("x.good"), F.col("x.raw")).alias("ratio"))
+
+
+def ratios(docs: DataFrame, labels: DataFrame) -> Ratios:
+    """The counts behind the log-likelihood ratios, summed in the map tasks before they are shuffled."""
+    buckets, size = sized(docs)
+    counts = stage(bucket_counts(docs, labels, buckets, size))
+    total = lambda name: F.sum(F.aggregate(name, F.lit(0).cast("long"), lambda s, x: s + x)).alias(name)
+    sums = counts.agg(total("good"), total("raw")).first()  # two numbers
+    return Ratios(counts, buckets, sums["good"] or 0, sums["raw"] or 0)
 
 
 def packed(model: Ratios) -> DataFrame:
-    """(pack, ratios): the ratios of ``PACK`` buckets in order, NULL for one that does not occur."""
-    every = model.table.sparkSession.range(model.buckets).withColumnRenamed("id", "bucket").join(model.table, "bucket", "left")
-    at = F.struct(F.col("bucket").alias("b"), F.col("ratio").alias("r"))
-    rows = every.groupBy(F.shiftright("bucket", PACK.bit_length() - 1).alias("pack")).agg(F.array_sort(F.collect_list(at)).alias("all"))
-    return stage(rows.select("pack", F.transform("all", lambda x: x["r"]).alias("ratios")))
+    """(pack, codes, heavy): for ``PACK`` buckets in order good and raw as the halves of one number, 0 for one that does not
+    occur or is heavy; heavy maps the places of those to their ratio."""
+    rows = model.counts.select(F.shiftright("wide", (PACK // WIDE).bit_length() - 1).alias("pack"), F.col("wide").bitwiseAND(F.lit(PACK // WIDE - 1).cast("long")).cast("int").alias("at"), "good", "raw")
+    code = F.zip_with("good", "raw", lambda g, r: F.when(r < HEAVY, F.shiftleft(g, 16).bitwiseOR(r)).otherwise(0).cast("long"))
+    halves = F.transform(code, lambda c: F.when(c >= 1 << 31, c - (1 << 32)).otherwise(c).cast("int"))
+    heavy = F.filter(F.transform(F.arrays_zip("good", "raw"), lambda x, j: F.when(x["raw"] >= HEAVY, F.struct((F.col("at") * WIDE + j).alias("k"), model.of(x["good"], x["raw"]).alias("v")))), lambda x: x.isNotNull())
+    packs = rows.select("pack", F.struct("at", halves.alias("codes")).alias("x"), heavy.alias("heavy")).groupBy("pack").agg(
+        F.map_from_entries(F.collect_list("x")).alias("x"), F.map_from_entries(F.flatten(F.collect_list("heavy"))).alias("heavy"))
+    none = F.array_repeat(F.lit(0), WIDE)
+    codes = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(PACK // WIDE - 1)), lambda i: F.coalesce(F.try_element_at("x", i), none)))
+    return stage(packs.select("pack", codes.alias("codes"), "heavy"))
 
 
 def judge(docs: DataFrame, model: Ratios, least: float = LEAST) -> DataFrame:
@@ -145,14 +190,17 @@ def judge(docs: DataFrame, model: Ratios, least: float = LEAST) -> DataFrame:
     if model.buckets <= HELD:
         # A row's n-grams stay in its task, so summing them again by row shuffles one line per document.
         rated = grams.withColumn("pack", F.shiftright("bucket", PACK.bit_length() - 1)).join(F.broadcast(packed(model)), "pack", "left")
-        rated = rated.withColumn("ratio", F.get("ratios", F.col("bucket").bitwiseAND(F.lit(PACK - 1).cast("long")).cast("int")))
+        place = F.col("bucket").bitwiseAND(F.lit(PACK - 1).cast("long")).cast("int")
+        rated = rated.withColumn("code", F.get("codes", place)).withColumn("entry", F.when(F.col("code") == 0, F.try_element_at("heavy", place)))
+        ratio = model.of(F.shiftrightunsigned("code", 16), F.col("code").bitwiseAND(F.lit(0xFFFF)))
+        rated = rated.withColumn("ratio", F.when(F.col("code") == 0, F.col("entry")).otherwise(ratio))
     else:
         # Only a row's first n-gram carries its counts through the shuffle.
         grams = grams.withColumns({n: F.when(F.coalesce("at", F.lit(0)) == 0, F.col(n)) for n in names})
         rated = grams.join(model.table.hint("merge"), "bucket", "left")
     one = rated.groupBy("row").agg(*[F.first(n, ignorenulls=True).alias(n) for n in names], F.sum("ratio").alias("total"), F.count("h").alias("n"))
     score = F.when(F.col("n") > 0, F.coalesce("total", F.lit(0.0)) / F.col("n")).otherwise(F.lit(0.0))
-    return one.select(*names, score.alias("score")).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= least))
+    return one.select(*names, score.alias("score")).withColumn("kept", ~F.col("base_failed") & (F.round("score", 9) >= least))
 
 
 @query("op7_rules")

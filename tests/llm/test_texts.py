@@ -204,7 +204,10 @@ def test_rules_buckets_follow_the_distinct_grams(spark, monkeypatch):
     n_raw, n_target = sum(raw.values()) + model.buckets, sum(target.values()) + model.buckets
     want = sorted(sum(np.log((target[g] + 1) / n_target) - np.log((raw[g] + 1) / n_raw) for g in r) / max(1, len(r)) for r in grams)
     assert sorted(r.score for r in rules.judge(docs, model).collect()) == pytest.approx(want, abs=1e-9)
+    monkeypatch.setattr(rules, "HEAVY", 3)  # most buckets have an entry of their own
+    assert sorted(r.score for r in rules.judge(docs, model).collect()) == pytest.approx(want, abs=1e-9)
     monkeypatch.setattr(rules, "HELD", 1)  # the ratios by a shuffle
+    assert {(r.wide, r.good[0], r.raw[0]) for r in rules.bucket_counts(docs, labels, model.buckets, 1, ids=0).collect()} == {(b, target[b], n) for b, n in raw.items()}
     assert sorted(r.score for r in rules.judge(docs, model).collect()) == pytest.approx(want, abs=1e-9)
 
 
