@@ -122,7 +122,11 @@ def confirmed(members: DataFrame, size: int) -> DataFrame:
 
 
 def grouped(docs: DataFrame, size: int, words: int = 4) -> DataFrame:
-    """mark, doc_id, node, n, fp0, ..., keys and root (the smallest node it is connected to) of every row of ``docs``."""
+    """mark, doc_id, node, n, fp0, ... and root (the smallest node it is connected to) of every row of ``docs``.
+
+    Small sides of joins with texts are written first: their size is then known when the join is planned, so texts are
+    not shuffled beside a side that Spark can broadcast.
+    """
     rows = stage(prints(docs, size, words))
     names = [f"fp{w}" for w in range(words)]
     distinct = rows.groupBy("node", "n", *names, "keys").agg(F.min("mark").alias("mark")).withColumnRenamed("node", "id")
@@ -133,7 +137,7 @@ def grouped(docs: DataFrame, size: int, words: int = 4) -> DataFrame:
     blocks = clusters.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
     dealt = clusters.join(blocks, "root").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.expr("IF(blocks = 1, array(0), filter(sequence(0, blocks - 1), x -> x <> mine))")))
-    dealt = dealt.select("mark", "root", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), F.col("id").alias("node"))
+    dealt = stage(dealt.select("mark", "root", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), F.col("id").alias("node")))
     texts = docs.select(row_mark(docs).alias("mark"), "text").join(dealt, "mark")
     roots = components(stage(confirmed(texts, size)))
-    return stage(rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    return stage(rows.drop("keys").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
