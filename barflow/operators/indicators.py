@@ -311,18 +311,26 @@ def macd_columns(fast="ema_12", slow="ema_26", nine="ema_9"):
 CLOSE_EMAS = [ema(f"ema_{s}", "close", s) for s in (9, 12, 21, 26, 50, 100, 200)]
 
 
-def canonical(bars: DataFrame, minutes: int, fill: str = "zero", keys=KEYS, extra=None) -> DataFrame:
+def canonical(bars: DataFrame, minutes: int, fill: str = "zero", keys=KEYS, extra=None, last: int | None = None) -> DataFrame:
     """The 50 canonical features of every bar: one index, one scan, one framed pass.
 
-    ``extra(df, r)`` adds further frame columns in the same pass (reach up to 213).
+    ``extra(df, r)`` adds further frame columns in the same pass (reach up to 213). With ``last`` only the last rows of
+    each series come back: all rows feed the recurrences, but just those that the frames reach enter the frames.
     """
     idx = index_series(bars, keys)
+    reach = max(REACH, 1440 // minutes) + 16
+    if last is not None:
+        # One row per series.
+        ends = idx.groupBy(*keys).agg(F.max("bar_idx").alias("_end"))
+        idx = idx.join(ends, list(keys)).withColumn("_since", F.greatest(F.lit(0), F.col("_end") - (last + reach - 1)))
 
     def steps(d, r):
         return flows(base(d, r))
 
     d = framed(idx, steps, before=1, keys=keys)
-    d = scan(d, [*CLOSE_EMAS, *FLOW_TOTALS, *CHAIKIN], keys)
+    d = scan(d, [*CLOSE_EMAS, *FLOW_TOTALS, *CHAIKIN], keys, since=None if last is None else "_since")
+    if last is not None:
+        d = d.filter(F.col("bar_idx") >= F.col("_since"))
 
     def frames(d, r):
         d = d.withColumns({**sma(r), **sma_ratio(r), **price_ratios(), **rsi_sma(r), **stochastic(r), **cci(r),
@@ -332,7 +340,9 @@ def canonical(bars: DataFrame, minutes: int, fill: str = "zero", keys=KEYS, extr
         d = adx_sma(d, r)
         return extra(d, r) if extra else d
 
-    d = framed(d, frames, before=max(REACH, 1440 // minutes) + 16, keys=keys)
+    d = framed(d, frames, before=reach, keys=keys)
+    if last is not None:
+        d = d.filter(F.col("bar_idx") > F.col("_end") - last).drop("_end", "_since")
     d = d.withColumns({**macd_columns(), "chaikin_oscillator": chaikin()})
     return fill_invalid(d, CANONICAL) if fill == "zero" else d
 

@@ -7,7 +7,21 @@ from pyspark.sql import functions as F
 
 from barflow.functions.columns import EPS, clip, div, flag
 from barflow.functions.names import b
-from barflow.operators.series import KEYS, Roll, ema_adjusted, framed
+from barflow.operators.quality import fill_forward
+from barflow.operators.series import KEYS, Roll, ema_adjusted, framed, index_series
+
+
+def side_matrix(bars: DataFrame, sides: dict[str, DataFrame], on=("symbol", "bar_ts")) -> DataFrame:
+    """Bars with side series of their own symbol, each filled forward along the series.
+
+    ``sides`` maps a column to a frame with ``on`` and that column, one row per ``on`` at most. The joins share one
+    key, so the bars are shuffled once. A bar without a side row takes the latest one of an earlier bar, NULL before the first.
+    """
+    d = bars
+    for name, side in sides.items():
+        d = d.join(side.select(*on, name), list(on), "left")
+    return fill_forward(index_series(d), list(sides), None)
+
 
 def _z(r: Roll, x: str, n: int):
     return div(F.col(x) - r.mean(x, n), r.std(x, n))

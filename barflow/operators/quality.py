@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from barflow.functions.columns import EPS, div, flag, micros
 from barflow.operators.bars import OHLCV
@@ -206,6 +207,21 @@ def check_contract(df: DataFrame, names: list[str]) -> list[str]:
     return out
 
 
+def feature_union(groups: dict[str, DataFrame], ids) -> DataFrame:
+    """Sorted union of the feature columns of several frames: position, feature, the groups that have it, and its values.
+
+    One pass over each frame; from there on a row per group and feature. Features sort by code point.
+    """
+    found = None
+    for group, d in sorted(groups.items()):
+        cells = [F.struct(F.lit(group).alias("group"), F.lit(n).alias("feature"), F.count(f"`{n}`").alias("n")) for n in d.columns if n not in ids]
+        rows = d.agg(F.array(*cells).alias("c")).select(F.explode("c").alias("c")).select("c.*")
+        found = rows if found is None else found.unionByName(rows)
+    per = found.groupBy("feature").agg(F.array_join(F.array_sort(F.collect_set("group")), ",").alias("groups"), F.sum("n").alias("n_values"))
+    # A row per feature name passes through this window.
+    return per.withColumn("position", (F.row_number().over(Window.orderBy("feature")) - 1).cast("bigint"))
+
+
 def fill_forward(df: DataFrame, columns: list[str], limit: int | None, keys=KEYS) -> DataFrame:
     """Forward fill, over at most ``limit`` rows (a row frame) or without limit (a running last)."""
     if limit is None:

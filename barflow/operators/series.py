@@ -159,14 +159,15 @@ def total(name: str, x: str) -> Linear:
 
 
 def scan(df: DataFrame, specs: list[Linear], keys=KEYS, chunk: int = CHUNK,
-         idx: str = "bar_idx") -> DataFrame:
+         idx: str = "bar_idx", since: str | None = None) -> DataFrame:
     """Add one column per spec, all in one pass over a dense index.
 
     In a chunk y is a running sum of x * decay^-pos rescaled (centred, so it stays in double range
     for decay >= 0.5); the value entering a chunk folds the ends of the chunks before it, back to where
     the weight is zero in double arithmetic, for decay = 1 all of them. The table of ends is ``chunk``
     times smaller than the series. Inputs are dense after the seed row. A decay whose powers leave the
-    double range within half a chunk is refused; use a smaller chunk for it.
+    double range within half a chunk is refused; use a smaller chunk for it. ``since`` names a
+    column with an index per series: chunks that end before it lend their ends only and are not returned.
     """
     mid = chunk // 2
     for s in specs:
@@ -198,7 +199,8 @@ def scan(df: DataFrame, specs: list[Linear], keys=KEYS, chunk: int = CHUNK,
 
     carries = ends.selectExpr(*keys, "_blk", *[f"{carry(i, s)} AS _c{i}" for i, s in enumerate(specs)])
     inside = f"(PARTITION BY {key_list}, _blk ORDER BY `{idx}` ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    local = based.selectExpr("*", *[f"sum(({weighted(s)}) * {power(s, f'{mid} - _pos')}) OVER {inside} AS _s{i}"
+    wanted = based if since is None else based.filter(f"_blk >= `{since}` div {chunk}")
+    local = wanted.selectExpr("*", *[f"sum(({weighted(s)}) * {power(s, f'{mid} - _pos')}) OVER {inside} AS _s{i}"
                                     for i, s in enumerate(specs)])
 
     def value(i: int, s: Linear) -> str:
@@ -280,11 +282,13 @@ def time_bins(ts: str, seconds: int = DAY) -> Column:
 
 
 def asof_join(left: DataFrame, rights: list[tuple[DataFrame, str, dict[str, str]]], keys=("symbol",),
-              ts: str = "bar_ts", bin_seconds: int = DAY) -> DataFrame:
+              ts: str = "bar_ts", bin_seconds: int = DAY, balanced: bool = False) -> DataFrame:
     """Latest right row with right.ts <= left.ts, for several right sides in one pass.
 
     ``rights`` holds (frame, its time column, {right column: output column}). All sides are stacked,
     sorted once and filled forward. A right row keeps its own NULLs: the row is matched, not the value.
+    Bars have a bounded number of rows per time bin; ticks have not: ``balanced`` cuts the stacked sides
+    into range bins of even size, which all of them share.
     """
     left_cols = left.columns
     stacked = left.withColumn("_side", F.lit(1)).withColumn("_at", F.col(ts))
@@ -297,7 +301,11 @@ def asof_join(left: DataFrame, rights: list[tuple[DataFrame, str, dict[str, str]
         stacked = stacked.unionByName(packed, allowMissingColumns=True)
         outs[f"_m{n}"] = ("last", f"_r{n}")
         picks += [F.col(f"_m{n}.{b}").alias(b) for b in cols.values()]
-    filled = running(stacked, outs, keys, ("_at", "_side"), time_bins("_at", bin_seconds))
+    if balanced:
+        stacked, bins = range_bins(stacked, keys, ("_at", "_side"), "_even"), F.col("_even")
+    else:
+        bins = time_bins("_at", bin_seconds)
+    filled = running(stacked, outs, keys, ("_at", "_side"), bins)
     return filled.filter(F.col("_side") == 1).select(*left_cols, *picks)
 
 

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barflow.functions.columns import micros, rounded
 from barflow.operators import bars as B
+from barflow.operators import perpetual as PB
 from barflow.operators import quality as Q
 from barflow.operators import series as S
 from barflow.plans import domain as D
 from barflow.sources import tables as TB
-from barflow.session import stage
+from barflow.session import shared_folder, stage
 from barflow.plans.registry import cte, query
 
 OHLC = "symbol, bar_ts, open, high, low, close, volume"
@@ -109,6 +114,15 @@ def perp_matrix_q(spark, sf):
     return perp_matrix(spark, sf).drop("bar_idx", "timeframe")
 
 
+@query("perp_matrix_own", """SELECT symbol, bar_ts, open, high, low, close, volume, last_value(mark_price IGNORE NULLS) OVER w AS mark_price,
+  last_value(funding_rate IGNORE NULLS) OVER w AS funding_rate, last_value(open_interest IGNORE NULLS) OVER w AS open_interest
+  FROM bars1h LEFT JOIN own_sides USING (symbol, bar_ts) WINDOW w AS (PARTITION BY symbol ORDER BY bar_ts)""", ("bars1h", "own_sides"))
+def perp_matrix_own(spark, sf):
+    """OHLCV beside the symbol's own mark, funding and open interest, stored as a partitioned table and read from there."""
+    m = PB.side_matrix(stage(D.bars(spark, sf, 3600).drop("n")), D.own_sides(spark, sf)).drop("bar_idx")
+    return TB.read_bars(spark, D.stored_bars(spark, m)).drop("timeframe")
+
+
 # data quality ---------------------------------------------------------------------------------
 
 
@@ -294,6 +308,19 @@ def asof_join(spark, sf):
                        [(B.resample(b, 14400), "bar_ts", {"close": "close_4h", "bar_ts": "ts_4h"})])
 
 
+@query("asof_ticks", """SELECT t.event_id, t.symbol, t.price, c.closed_at, c.close AS last_close, f.funding_rate FROM ticks t
+  ASOF LEFT JOIN (SELECT symbol, bar_ts + INTERVAL '30 minutes' AS closed_at, close FROM bars) c ON t.symbol = c.symbol AND t.ts >= c.closed_at
+  ASOF LEFT JOIN (SELECT symbol, bar_ts + INTERVAL '1 hour' AS known_at, funding_rate FROM own_sides WHERE funding_rate IS NOT NULL) f
+    ON t.symbol = f.symbol AND t.ts >= f.known_at""", ("ticks", "bars", "own_sides"))
+def asof_ticks(spark, sf):
+    """Every tick with the last bar closed before it and the last funding known then; bins of even size over all sides."""
+    t = D.ticks(spark, sf).select("event_id", "symbol", "ts", "price")
+    closed = D.bars(spark, sf).withColumn("closed_at", F.expr("bar_ts + INTERVAL 30 MINUTES"))
+    fund = D.own_sides(spark, sf)["funding_rate"].withColumn("known_at", F.expr("bar_ts + INTERVAL 1 HOUR"))
+    return S.asof_join(t, [(closed, "closed_at", {"closed_at": "closed_at", "close": "last_close"}), (fund, "known_at", {"funding_rate": "funding_rate"})],
+                       ts="ts", balanced=True).drop("ts")
+
+
 @query("asof_chain", """SELECT b.symbol, b.bar_ts, b.close, r2.close AS h_close, r4.close AS h1_close, f.funding_rate FROM bars b
   ASOF LEFT JOIN (SELECT symbol, bar_ts + INTERVAL '2 hours' AS bar_ts, close FROM bars2h) r2
     ON b.symbol = r2.symbol AND b.bar_ts >= r2.bar_ts
@@ -335,6 +362,23 @@ def labeled_scan(spark, sf):
                    .agg(F.count(F.lit(1)).alias("rows"), F.avg("close").alias("mean_close")))
 
 
+@query("labeled_files", """SELECT timeframe, symbol, count(*) AS rows, sum(label)::BIGINT AS ups, round(avg(close), 6) AS mean_close FROM (
+  SELECT *, CASE WHEN lead(close) OVER (PARTITION BY symbol, timeframe ORDER BY bar_ts) > close THEN 1 ELSE 0 END AS label,
+    lead(close) OVER (PARTITION BY symbol, timeframe ORDER BY bar_ts) IS NULL AS final FROM (SELECT * FROM bars UNION ALL SELECT * FROM bars2h))
+  WHERE NOT final GROUP BY ALL""", ("bars", "bars2h"))
+def labeled_files(spark, sf):
+    """Bars labelled by whether the next one closes higher, written as a file per timeframe; those that exist are read back."""
+    both = S.index_series(stage(D.bars(spark, sf).unionByName(D.bars(spark, sf, 7200))))
+    ahead = S.framed(both, lambda d, r: d.withColumn("_next", r.lead("close")), after=1)
+    labeled = ahead.filter(F.col("_next").isNotNull()).withColumn("label", (F.col("_next") > F.col("close")).cast("int")).drop("_next", "bar_idx")
+    folder = f"{shared_folder(spark)}/labeled-{uuid.uuid4().hex}"
+    TB.write_labeled(stage(labeled), folder, ["30m", "2h"])
+    # Nothing was written for 1d.
+    found = [d for d in (TB.read_labeled(spark, folder, name) for name in ("30m", "2h", "1d")) if d is not None]
+    rows = functools.reduce(DataFrame.unionByName, found)
+    return rounded(rows.groupBy("timeframe", "symbol").agg(F.count(F.lit(1)).alias("rows"), F.sum("label").alias("ups"), F.avg("close").alias("mean_close")))
+
+
 BAR_SCHEMA = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("timeframe", T.StringType()),
                            T.StructField("bar_ts", T.TimestampNTZType()),
                            *[T.StructField(c, T.DoubleType()) for c in B.OHLCV]])

@@ -89,6 +89,23 @@ def all_sides(spark, sf) -> DataFrame:
     return t.groupBy(B.bucket_start_ntz("ts", 3600).alias("bar_ts")).agg(*sums)
 
 
+OWN_SIDES = {"mark_price": (0, 100.0), "funding_rate": (1, 1.0e7), "open_interest": (2, 1.0)}
+
+
+def own_sides(spark, sf) -> dict[str, DataFrame]:
+    """Side series of each symbol itself: hourly means of the ticks of every third user."""
+    t = stage(ticks(spark, sf).select("symbol", B.bucket_start_ntz("ts", 3600).alias("bar_ts"), (F.col("user_id") % 3).alias("kind"),
+                                      F.round(F.col("price") * 100).cast("bigint").alias("cents"))
+              .groupBy("symbol", "bar_ts", "kind").agg(F.sum("cents").alias("s"), F.count(F.lit(1)).alias("n")))
+    return {out: t.filter(F.col("kind") == kind).select("symbol", "bar_ts", (F.col("s") / (F.col("n") * scale)).alias(out))
+            for out, (kind, scale) in OWN_SIDES.items()}
+
+
+cte("own_sides", "SELECT symbol, time_bucket(INTERVAL '1 hour', ts) AS bar_ts, " + ", ".join(
+    f"CAST(sum(CAST(round(price*100) AS BIGINT)) FILTER (user_id % 3 = {kind}) AS BIGINT) / (count(*) FILTER (user_id % 3 = {kind}) * {scale}) AS {out}"
+    for out, (kind, scale) in OWN_SIDES.items()) + " FROM ticks GROUP BY 1, 2", ("ticks",))
+
+
 def funding(spark, sf):
     return side_series(spark, sf, "signup", "funding_rate", 1.0e7)
 

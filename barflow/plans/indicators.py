@@ -606,10 +606,8 @@ LATEST = ", ".join(f"round({e}, {LOOSE.get(c, 9)}) AS {c}" for c, e in CANON_SQL
 @query("latest_features", f"""SELECT * EXCLUDE (i) FROM (SELECT symbol, bar_ts, i, {LATEST} FROM xall)
   QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY i DESC) = 1 AND i >= 29""", ("xall",))
 def latest_features(spark, sf):
-    d = canon(spark, sf)
-    newest = F.max_by(F.struct("bar_ts", *I.CANONICAL), "bar_idx").alias("r")
-    out = d.groupBy("symbol", "timeframe").agg(newest, F.max("bar_idx").alias("i")).filter("i >= 29")
-    return rounded(out.select("symbol", "r.*"), 9, LOOSE)
+    d = I.canonical(stage(D.bars(spark, sf)), 30, last=1).filter("bar_idx >= 29")
+    return rounded(d.select("symbol", "bar_ts", *I.CANONICAL), 9, LOOSE)
 
 
 ALIAS = {"macd_hist": "macd_histogram", "bb_pct": "bb_position", "vol_ratio": "volume_ratio", "volatility": "volatility_20"}
@@ -694,6 +692,21 @@ def v15_features(spark, sf):
     return rounded(v15(spark, sf).select("symbol", "bar_ts", *V15, "sr_near_high", "sr_near_low"), 5)
 
 
+V15_ALL = [*V15, "sr_near_high", "sr_near_low"]
+
+
+@query("feature_union", f"""SELECT feature, string_agg(grp, ',' ORDER BY grp) AS groups, sum(n)::BIGINT AS n_values, row_number() OVER (ORDER BY feature) - 1 AS position FROM (
+  SELECT unnest([{", ".join(f"'{n}'" for n in I.CANONICAL)}]) AS feature, 'canonical' AS grp, unnest([{", ".join(f"count({n})" for n in I.CANONICAL)}]) AS n
+  FROM (SELECT {", ".join(f"{CANON_SQL[n]} AS {n}" for n in I.CANONICAL)} FROM xall) UNION ALL
+  SELECT unnest([{", ".join(f"'{n}'" for n in V15_ALL)}]), 'model', unnest([{", ".join(f"count({n})" for n in V15_ALL)}]) FROM v15f JOIN v15s USING (symbol, bar_ts)) GROUP BY feature""",
+       ("xall", "v15f", "v15s"))
+def feature_union(spark, sf):
+    """The names that the canonical set and the model set hold together, with the values behind each."""
+    model = v15(spark, sf).select("symbol", "bar_ts", *V15_ALL)
+    ids = ("symbol", "timeframe", "bar_ts")
+    return Q.feature_union({"canonical": canon(spark, sf).select(*ids, *I.CANONICAL), "model": model}, ids)
+
+
 def v15_core(d, keys=S.KEYS):
     """Columns that the model set takes from a higher timeframe; ``d`` is indexed."""
     d = S.framed(d, I.base, before=1, keys=keys)

@@ -49,6 +49,16 @@ def load_partition(labeled: DataFrame, timeframe: str) -> DataFrame:
     return labeled.filter(F.col("timeframe") == timeframe)
 
 
+def write_labeled(labeled: DataFrame, folder: str, timeframes: list[str]) -> None:
+    """Replace ``labeled_{timeframe}.parquet`` under ``folder`` for each of the given timeframes.
+
+    Rows are range partitioned by series and time, so a hot symbol is many files and row groups can be skipped by time.
+    """
+    for name in timeframes:
+        rows = labeled.filter(F.col("timeframe") == name)
+        rows.repartitionByRange("symbol", "bar_ts").sortWithinPartitions("symbol", "bar_ts").write.mode("overwrite").parquet(os.path.join(folder, f"labeled_{name}.parquet"))
+
+
 def read_labeled(spark: SparkSession, folder: str, timeframe: str) -> DataFrame | None:
     """``labeled_{timeframe}.parquet`` under ``folder``, None if it does not exist."""
     try:
