@@ -1,7 +1,7 @@
 """Sharding by a consistent-hash ring with virtual nodes and bounded loads.
 
 The ring has ``places`` fixed places. Every shard owns ``vnodes`` of them; a document's place is a hash of its
-doc_id, and it belongs to the first virtual node clockwise. A shard is full once its bytes reach
+doc_id (of the text where there is none), and it belongs to the first virtual node clockwise. A shard is full once its bytes reach
 (1 + slack) times the mean; what meets a full shard goes on clockwise to the next other shard. The law is
 ``bytes``: no shard exceeds that bound by more than the documents of one place. An extra shard takes the
 places before its own virtual nodes and what the smaller bound pushes on, so most documents stay.
@@ -10,8 +10,9 @@ Overflow is settled on bytes per place, a table of at most ``places`` rows whate
 place that has no shard yet asks the r-th shard clockwise, which takes places in ring order while it has room.
 After as many rounds as shards all are placed, since all shards full would exceed the total.
 
-NULL and empty texts have size 1 and crc32 0. A NULL doc_id hashes like the empty text. Repeated rows share a
-place. An empty table gives no rows. Only doc_id and text are read, further columns do not matter.
+NULL and empty texts have size 1 and crc32 0. Rows without a doc_id are placed by their texts, so many
+of them spread like others; equal texts among them share a place, and so do rows with one doc_id, which therefore stay in one
+shard however many they are. An empty table gives no rows. Only doc_id and text are read, further columns do not matter.
 """
 
 from __future__ import annotations
@@ -63,9 +64,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, places: i
     """doc_id, size, text_crc32, shard, slot (gapless from 0 in each shard) of every row of ``docs``."""
     spark = docs.sparkSession
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    place = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit("text"), data)).otherwise(F.xxhash64(F.lit("key"), F.col("doc_id").cast("string")))
     sized = stage(docs.select("doc_id", (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"),
-                              F.pmod(F.xxhash64(F.lit("key"), key), F.lit(places)).alias("place")))
+                              F.pmod(place, F.lit(places)).alias("place")))
     totals = sized.groupBy("place").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
     placed = stage(assign_places(totals, ring(spark, shards, vnodes, places), shards, slack))
     # The table of places has at most ``places`` rows whatever the input.

@@ -237,6 +237,20 @@ def test_one_more_shard_moves_little(spark, sf):
     assert moved < 0.5  # rehashing modulo the count would move eight ninths
 
 
+def test_rows_without_ids_spread_over_the_shards(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("doc_id", F.expr("CASE WHEN doc_id % 4 = 0 THEN doc_id END"))
+    got = sharding.shard(docs, 4).collect()
+    held, copies = Counter(), Counter()
+    for r in got:
+        held[r.shard] += r["size"]
+        copies[(r["size"], r.text_crc32)] += r["size"]
+    assert len(got) == docs.count() and set(held) == set(range(4))
+    for s in held:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    # Beyond its bound a shard holds less than one place: rows that share a text, and the few others there.
+    assert max(held.values()) <= sum(held.values()) / 4 * 1.001 + 2 * max(copies.values())
+
+
 def test_sharding_edges(spark):
     got = sharding.shard(edge(spark, clashing=True)).collect()
     assert Counter((r.doc_id, r["size"]) for r in got) == Counter((r[0], len((r[1] or "").encode()) + 1) for r in ROWS)
@@ -265,6 +279,23 @@ def test_targets_are_reshared_until_none_is_above(spark, sizes):
     assert got == pytest.approx(target)
 
 
+@pytest.mark.parametrize("ids", ["doc_id", "CASE WHEN doc_id % 2 = 0 THEN doc_id END"])
+def test_mixing_comes_within_a_document_of_every_target(spark, sf, ids):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("doc_id", F.expr(ids))
+    rows = mixing.sized(docs)
+    size = {r.source: (r.longest, r.total) for r in rows.groupBy("source").agg(F.max("size").alias("longest"), F.sum("size").alias("total")).collect()}
+    target = {r.source: r.target for r in mixing.source_targets(rows).collect()}
+    got = mixing.mix(docs).groupBy("source").agg(F.sum(F.size(F.expr(r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)"))).alias("taken")).collect()
+    taken = {r.source: r.taken for r in got}
+    assert set(target) == set(size) and sum(total for _, total in size.values()) > 0
+    assert all(abs(taken.get(s, 0) - target[s]) <= longest for s, (longest, _) in size.items())
+
+
+@pytest.mark.parametrize("size,want", [(0, 0), (1, 1), (255, 255), (256, 256), (257, 256), (511, 510), (70_001, 69_632), ((1 << 40) + 1, 1 << 40)])
+def test_mixing_grades(spark, size, want):
+    assert spark.createDataFrame([(size,)], "size long").select(mixing.grade("size")).first()[0] == want
+
+
 def test_mixing_edges(spark):
     docs = edge(spark, clashing=True)
     got = mixing.mix(docs)
