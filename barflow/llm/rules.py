@@ -1,7 +1,7 @@
 """Quality rules: plain counts that fail a document outright, and a hashed n-gram log-likelihood ratio for the rest.
 
 Words and pairs of words are hashed into buckets: the fewest, as a power of two and ``BUCKETS`` at least, that hold
-at most ``LOAD`` distinct n-grams each, which are counted (HyperLogLog) first. So the ratios grow with the corpus,
+at most ``LOAD`` distinct n-grams each, as the empty buckets of the count tell. So the ratios grow with the corpus,
 and smoothing and threshold mean the same at every size. Two multinomials over the buckets are counted, one
 over the trusted target (the documents that ``labels`` marks with quality 1), one over all documents. A text's
 score is the sum of log(target / raw) over its words and pairs, divided by their number; a document is kept if it
@@ -23,6 +23,7 @@ doc_id and quality.
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +38,8 @@ LOAD = 6
 #: Buckets whose counts (4 bytes each) are broadcast at most, and how many lie in a row.
 HELD = 1 << 24
 PACK = 1 << 10
+#: Bytes of text for a bucket of the first count.
+GUESS = 64
 #: Counts below this are broadcast as half of a number; a bucket beyond it has an entry of its own.
 HEAVY = 1 << 16
 #: Buckets of a row while they are counted, the text of a map task, and the trusted ids that are broadcast at most.
@@ -107,19 +110,21 @@ def _grams(hashes: str) -> Column:
     return F.concat(hashes, _zipped(F.col(hashes), F.col(hashes), 1))
 
 
-def sized(docs: DataFrame) -> tuple[int, int]:
-    """The number of buckets for the distinct words and pairs of ``docs``, and the bytes of its texts; two numbers come to the driver."""
-    grams = docs.select(F.octet_length("text").alias("bytes"), _hashes(F.col("text")).alias("hashes"))
-    grams = grams.select(F.posexplode(_grams("hashes")).alias("at", "h"), "bytes")
-    distinct, size = grams.agg(F.approx_count_distinct("h", 0.01), F.sum(F.when(F.col("at") == 0, F.col("bytes")))).first()
-    buckets = BUCKETS
-    while distinct > LOAD * buckets:
-        buckets *= 2
-    return buckets, size or 0
+def power_of_two(least: float) -> int:
+    """The smallest power of two that is ``BUCKETS`` at least and not below ``least``."""
+    n = BUCKETS
+    while n < least:
+        n *= 2
+    return n
 
 
-def buckets_for(docs: DataFrame) -> int:
-    return sized(docs)[0]
+def laid(grams: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, good, raw) summed to (wide, good, raw): the counts of the buckets of a row, in order."""
+    wide = WIDE if buckets <= HELD else 1
+    here = [F.col("bucket").bitwiseAND(F.lit(wide - 1).cast("long")) == j for j in range(wide)]
+    sums = [F.sum(F.when(h, F.col(name)).otherwise(0)).alias(f"{name}{j}") for name in ("good", "raw") for j, h in enumerate(here)]
+    rows = grams.groupBy(F.shiftright("bucket", wide.bit_length() - 1).alias("wide")).agg(*sums)
+    return rows.select("wide", *[F.array(*[f"{name}{j}" for j in range(wide)]).alias(name) for name in ("good", "raw")])
 
 
 def bucket_counts(docs: DataFrame, labels: DataFrame, buckets: int, size: int, ids: int = IDS) -> DataFrame:
@@ -129,12 +134,8 @@ def bucket_counts(docs: DataFrame, labels: DataFrame, buckets: int, size: int, i
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // MAP_BYTES))
     flagged = docs.select("doc_id", "text").coalesce(tasks).join(trusted.hint(how), F.col("doc_id") == F.col("of"), "left")
     hashed = flagged.select(F.col("of").isNotNull().cast("long").alias("good"), _hashes(F.col("text")).alias("hashes"))
-    grams = hashed.select("good", F.explode(_grams("hashes")).alias("h")).select("good", bucket(F.col("h"), buckets).alias("bucket"))
-    wide = WIDE if buckets <= HELD else 1
-    here = [F.col("bucket").bitwiseAND(F.lit(wide - 1).cast("long")) == j for j in range(wide)]
-    sums = [F.sum(F.when(h, F.col("good")).otherwise(0)).alias(f"good{j}") for j, h in enumerate(here)] + [F.sum(h.cast("long")).alias(f"raw{j}") for j, h in enumerate(here)]
-    rows = grams.groupBy(F.shiftright("bucket", wide.bit_length() - 1).alias("wide")).agg(*sums)
-    return rows.select("wide", *[F.array(*[f"{name}{j}" for j in range(wide)]).alias(name) for name in ("good", "raw")])
+    grams = hashed.select("good", F.explode(_grams("hashes")).alias("h"))
+    return laid(grams.select(bucket(F.col("h"), buckets).alias("bucket"), "good", F.lit(1).cast("long").alias("raw")), buckets)
 
 
 class Ratios(NamedTuple):
@@ -151,20 +152,39 @@ class Ratios(NamedTuple):
             return F.lit(0.0)
         return F.log((good + SMOOTH) / (self.good + SMOOTH * self.buckets)) - F.log((raw + SMOOTH) / (self.raw + SMOOTH * self.buckets))
 
+    @property
+    def rows(self) -> DataFrame:
+        """(bucket, good, raw) of the buckets that occur."""
+        rows = self.counts.select("wide", F.size("raw").alias("n"), F.posexplode(F.arrays_zip("good", "raw")).alias("j", "x")).filter("x.raw > 0")
+        return rows.select((F.col("wide") * F.col("n") + F.col("j")).alias("bucket"), "x.good", "x.raw")
+
     @property
     def table(self) -> DataFrame:
         """(bucket, ratio) of the buckets that occur."""
-        rows = self.counts.select("wide", F.size("raw").alias("n"), F.posexplode(F.arrays_zip("good", "raw")).alias("j", "x")).filter("x.raw > 0")
-        return rows.select((F.col("wide") * F.col("n") + F.col("j")).alias("bucket"), self.of(F.col("x.good"), F.col("x.raw")).alias("ratio"))
+        return self.rows.select("bucket", self.of(F.col("good"), F.col("raw")).alias("ratio"))
 
 
 def ratios(docs: DataFrame, labels: DataFrame) -> Ratios:
-    """The counts behind the log-likelihood ratios, summed in the map tasks before they are shuffled."""
-    buckets, size = sized(docs)
-    counts = stage(bucket_counts(docs, labels, buckets, size))
+    """The counts behind the log-likelihood ratios, summed in the map tasks before they are shuffled.
+
+    Counted once, in buckets guessed from the bytes of text. How many of these stay empty tells the number of distinct
+    n-grams (linear counting); counts in too many buckets are folded, too few are counted again in as many as it takes.
+    """
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     total = lambda name: F.sum(F.aggregate(name, F.lit(0).cast("long"), lambda s, x: s + x)).alias(name)
-    sums = counts.agg(total("good"), total("raw")).first()  # two numbers
-    return Ratios(counts, buckets, sums["good"] or 0, sums["raw"] or 0)
+    have = power_of_two(size / GUESS)
+    while True:
+        counts = stage(bucket_counts(docs, labels, have, size))
+        sums = counts.agg(total("good"), total("raw"), F.sum(F.size(F.filter("raw", lambda n: n > 0))).alias("used")).first()  # three numbers
+        used = sums["used"] or 0
+        need = power_of_two(-have * math.log1p(-used / have) / LOAD) if used < have else 4 * have
+        if need <= have:
+            break
+        have = need
+    model = Ratios(counts, have, sums["good"] or 0, sums["raw"] or 0)
+    if need < have:
+        model = model._replace(counts=stage(laid(model.rows.withColumn("bucket", bucket(F.col("bucket"), need)), need)), buckets=need)
+    return model
 
 
 def packed(model: Ratios) -> DataFrame:

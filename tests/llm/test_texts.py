@@ -289,3 +289,27 @@ def test_fingerprint_edges(spark):
 def test_single_shingles_do_not_agree_by_chance():
     a, b = fingerprints.sketches(pa.array(["one short text", "another short text"]))
     assert fingerprints.likeness(a, b) < 0.15 and fingerprints.likeness(a, a) == 1.0
+
+
+def test_rules_counts_do_not_depend_on_the_first_guess(spark, monkeypatch):
+    """Too many buckets are folded, too few are counted again: the same counts, in plain and in wide rows."""
+    monkeypatch.setattr(rules, "BUCKETS", 4)
+    texts = [(i, " ".join(f"w{(i * 37 + j * j) % 701}" for j in range(60)), "en", "a") for i in range(30)]
+    docs, labels = edge(spark, texts), spark.createDataFrame([(3, 1), (8, 1)], "doc_id long, quality int")
+    distinct = len({h for r in texts for h in _hashes(r[1])})
+
+    def found(guess):
+        monkeypatch.setattr(rules, "GUESS", guess)
+        model = rules.ratios(docs, labels)
+        return model.buckets, {(r.bucket, r.good, r.raw) for r in model.rows.collect()}
+
+    want = found(64)
+    buckets = want[0]
+    assert buckets / 2 < 1.1 * distinct / rules.LOAD and 0.9 * distinct / rules.LOAD < buckets
+    raw = Counter(h & (buckets - 1) for r in texts for h in _hashes(r[1]))
+    good = Counter(h & (buckets - 1) for r in texts if r[0] in (3, 8) for h in _hashes(r[1]))
+    assert want[1] == {(b, good[b], n) for b, n in raw.items()}
+    assert found(1) == want  # folded
+    assert found(1 << 20) == want  # four buckets at first
+    monkeypatch.setattr(rules, "HELD", 2 * buckets)
+    assert found(0.25) == want  # from plain rows to wide ones
