@@ -313,3 +313,17 @@ def test_rules_counts_do_not_depend_on_the_first_guess(spark, monkeypatch):
     assert found(1 << 20) == want  # four buckets at first
     monkeypatch.setattr(rules, "HELD", 2 * buckets)
     assert found(0.25) == want  # from plain rows to wide ones
+
+
+def test_language_with_a_filter_too_large_to_broadcast(spark, sf, monkeypatch):
+    """The table of places gives every row the same language and score as the array, NULL and repeated rows included."""
+    texts = [(i, t, lang, s) for i, t, lang, s in given(sf)[:150]] + list(ROWS) + list(ROWS)
+    docs = edge(spark, texts, clashing=True)
+    small = language.learn(docs, slots=1 << 12)
+    want = Counter((r.doc_id, r.lang_pred, r.score) for r in language.identify(docs, *small).collect())
+    monkeypatch.setattr(language, "HELD", 0)
+    large = language.learn(docs, slots=1 << 12)
+    assert isinstance(large[1], language.Stored) and large[0] == small[0] and large[1].slots == len(small[1])
+    assert Counter((r.doc_id, r.lang_pred, r.score) for r in language.identify(docs, *large).collect()) == want
+    assert sum(want.values()) == len(texts) and len({k[1] for k in want}) > 2
+    assert language.identify(edge(spark, []), *large).collect() == []
