@@ -74,8 +74,10 @@ def _lines(d: DataFrame, r: Roll, lookback: int, mode: str, down_corr: str) -> D
         on = r.w.rowsBetween(-lookback, seen)
         enough = (F.count(y).over(on) >= 3) & (b.I >= lookback)
         xs = F.when(y.isNotNull(), x)
+        # Not F.corr, which divides by zero where all pivots of a frame have one price: such a line has no correlation.
+        agree = div(F.regr_sxy(y, xs).over(on), F.sqrt(F.regr_sxx(y, xs).over(on) * F.regr_syy(y, xs).over(on)))
         return {f"_{p}s": F.when(enough, F.regr_slope(y, xs).over(on)), f"_{p}b": F.when(enough, F.regr_intercept(y, xs).over(on)),
-                f"_{p}r": F.when(enough, F.corr(xs, y).over(on))}
+                f"_{p}r": F.when(enough, agree)}
 
     d = d.withColumns({**fit("_pl_", "u"), **fit("_ph_", "d"), "_c1": r.lag(b.C)})
     us, ub, ur, ds, db, dr = (F.col(c) for c in ("_us", "_ub", "_ur", "_ds", "_db", "_dr"))

@@ -105,6 +105,28 @@ def test_pivots_are_strict_and_never_at_the_ends(spark):
     assert got == [12]
 
 
+def test_pivots_of_one_price_have_no_trend(spark):
+    pdf = walk(120, "A").assign(open=15.0, close=15.0, high=16.0, low=14.0)
+    pdf.loc[::10, "high"] = 20.0
+    pdf.loc[5::10, "low"] = 10.0
+    d = S.index_series(frame(spark, pdf))
+    for down_corr in ("parity", "negative"):
+        got = rows(H.trendlines(d, down_corr=down_corr), "bar_idx")
+        assert len(got) == 120
+        assert not any(r[c] for r in got for c in ("tl_uptrend_detected", "tl_downtrend_detected", "tl_trend_slope", "tl_breakout_up", "tl_breakout_down"))
+    every = rows(H.chart_patterns(d), "bar_idx")
+    assert len(every) == 120 and every[-1]["sr_resistance_strength"] > 0 and not any(r["tl_uptrend_detected"] for r in every)
+
+
+def test_pivots_on_a_line_have_its_trend(spark):
+    pdf = walk(120, "A").assign(open=15.0, close=15.0, high=16.0, low=14.0)
+    pdf.loc[::10, "high"] = 30.0 - pdf.index[::10] * 0.1
+    pdf.loc[5::10, "low"] = 1.0 + pdf.index[5::10] * 0.1
+    d = S.index_series(frame(spark, pdf))
+    last = rows(H.trendlines(d, down_corr="negative"), "bar_idx")[-1]
+    assert last["tl_uptrend_detected"] == 1 and last["tl_downtrend_detected"] == 1
+
+
 def test_confirmed_mode_waits(spark):
     pdf = walk(200, "A")
     d = S.index_series(frame(spark, pdf))
