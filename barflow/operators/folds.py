@@ -142,12 +142,56 @@ def followed(prices: np.ndarray, base: float | None, threshold: float) -> tuple[
     return used, base
 
 
+def spaced_groups(starts: np.ndarray, us: np.ndarray, gap_us: int) -> np.ndarray:
+    """Which of the times are accepted by ``spaced`` in each group, for all groups together; groups begin at ``starts``."""
+    flags, ends = np.zeros(len(us), bool), np.r_[starts[1:], len(us)]
+    if not len(us):
+        return flags
+    # Groups one after the other on one clock, so that one search finds the next row of each.
+    first, reach = us[starts], us[ends - 1] - us[starts] + gap_us + 1
+    base = np.r_[0, np.cumsum(reach)[:-1]]
+    clock = us + np.repeat(base - first, ends - starts)
+    at = starts
+    while len(at):
+        flags[at] = True
+        nxt = np.searchsorted(clock, clock[at] + gap_us, side="left")
+        on = nxt < ends
+        at, ends = nxt[on], ends[on]
+    return flags
+
+
+def walked(d: DataFrame, keys: list[str], gap_us: int, out: str) -> DataFrame:
+    """Add the accepted flag to segments (``_seg``: the index of the first row) of a bounded number of rows."""
+
+    def flagged(t, starts):
+        flags = spaced_groups(starts, t.column("_us").to_numpy(), gap_us)
+        yield from t.append_column(out, pa.array(flags)).combine_chunks().to_batches()
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t])
+            if not t.num_rows:
+                continue
+            starts = np.flatnonzero(t.column("bar_idx").to_numpy() == t.column("_seg").to_numpy())
+            held = t.slice(starts[-1])  # the last segment may go on
+            yield from flagged(t.slice(0, starts[-1]), starts[:-1])
+        if held is not None:
+            yield from flagged(held, np.zeros(1, np.int64))
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in d.dtypes) + f", `{out}` boolean"
+    n = max(1, int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return d.repartition(n, *keys, "_seg").sortWithinPartitions(*keys, "bar_idx").mapInArrow(run, schema)
+
+
 def greedy_spacing(df: DataFrame, keys: list[str], gap_us: int, order=("ts",), out: str = "accepted", chunk: int = TICK_CHUNK) -> DataFrame:
     """Accept a row if at least ``gap_us`` has passed since the last accepted one of its key.
 
     A row that far behind its predecessor is accepted whatever came before, so it starts a segment of its own.
     In a segment shorter than the gap only that row is accepted; repeated ids have no others and never leave the
-    JVM. Longer segments are folded, each as a series of its own.
+    JVM. Of longer segments those of up to ``chunk`` rows are walked many at a time, the others are folded, each as a series of
+    its own.
     """
     idx = index_series(df, keys, order, balanced=True).withColumn("_us", micros(order[0]))
 
@@ -157,12 +201,13 @@ def greedy_spacing(df: DataFrame, keys: list[str], gap_us: int, order=("ts",), o
 
     d = framed(idx, cuts, before=1, keys=keys)
     d = stage(running(d, {"_seg": ("max", F.when(F.col("_cut"), F.col("bar_idx")))}, keys, ("bar_idx",)))
-    spans = d.groupBy(*keys, "_seg").agg((F.max("_us") - F.min("_us") >= gap_us).alias("_long")).filter("_long")
+    spans = d.groupBy(*keys, "_seg").agg((F.max("_us") - F.min("_us") >= gap_us).alias("_long"), F.count(F.lit(1)).alias("_rows")).filter("_long")
     same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in [*keys, "_seg"]]
-    d = d.join(spans.select(*[F.col(k).alias(f"_of_{k}") for k in [*keys, "_seg"]], "_long"), functools.reduce(lambda a, b: a & b, same), "left")
+    d = d.join(spans.select(*[F.col(k).alias(f"_of_{k}") for k in [*keys, "_seg"]], "_long", "_rows"), functools.reduce(lambda a, b: a & b, same), "left")
     d = d.drop(*[f"_of_{k}" for k in [*keys, "_seg"]])
     short = d.filter(F.col("_long").isNull()).withColumn(out, F.col("_cut"))
-    long_ = d.filter("_long").withColumn("_in", F.col("bar_idx") - F.col("_seg"))
+    many = walked(d.filter(F.col("_long") & (F.col("_rows") <= chunk)), keys, gap_us, out)
+    long_ = d.filter(F.col("_long") & (F.col("_rows") > chunk)).drop("_rows").withColumn("_in", F.col("bar_idx") - F.col("_seg"))
 
     def merged(start, at, final):
         """Only entries that a state before ``start`` can reach; neighbours with one end are one, named by the latest."""
@@ -197,7 +242,7 @@ def greedy_spacing(df: DataFrame, keys: list[str], gap_us: int, order=("ts",), o
         return spaced(v["_us"], state, gap_us)[0]
 
     folded = chunk_fold(long_, [*keys, "_seg"], ["_us"], summarise, advance, compose, emit, None, out, "boolean", chunk, "_in").drop("_in")
-    return short.unionByName(folded).drop("_us", "_cut", "_seg", "_long", "bar_idx")
+    return short.unionByName(many).drop("_rows").unionByName(folded).drop("_us", "_cut", "_seg", "_long", "bar_idx")
 
 
 def moving_baseline(indexed: DataFrame, keys: list[str], price: str, threshold: float, out: str = "baseline", chunk: int = CHUNK) -> DataFrame:

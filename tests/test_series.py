@@ -114,6 +114,22 @@ def test_greedy_spacing(spark, gap):
     assert got.accepted.tolist() == brute_spacing(secs.tolist(), gap)
 
 
+def test_short_segments_are_not_folded_one_by_one(spark, monkeypatch):
+    """Many keys with segments longer than the gap but of few rows, one with more rows than a chunk, equal times included."""
+    g, rows = np.random.default_rng(5), []
+    for k in range(60):
+        rows += [(f"k{k}", int(t)) for t in np.sort(g.choice(3000, 25))]
+    rows += [("hot", int(t)) for t in np.sort(g.choice(3000, 400))]
+    df = spark.createDataFrame(pd.DataFrame({"k": [r[0] for r in rows], "ts": pd.to_datetime([r[1] for r in rows], unit="s")}), "k string, ts timestamp_ntz")
+    folded, fold = [], folds.chunk_fold
+    monkeypatch.setattr(folds, "chunk_fold", lambda d, *args: folded.append(d.select("k").distinct().collect()) or fold(d, *args))
+    got = folds.greedy_spacing(df, ["k"], 200_000_000, chunk=64).orderBy("ts").toPandas()
+    assert len(got) == len(rows) and [[r.k for r in x] for x in folded] == [["hot"]]
+    for key in {r[0] for r in rows}:
+        mine = got[got.k == key].sort_values(["ts", "accepted"], ascending=[True, False])
+        assert mine.accepted.tolist() == brute_spacing(sorted(t for k, t in rows if k == key), 200)
+
+
 @pytest.mark.parametrize("thr", [0.002, 0.01, 0.2])
 def test_moving_baseline(spark, idx, data, thr):
     got = folds.moving_baseline(idx, ["symbol"], "close", thr, chunk=CHUNK).orderBy("symbol", "bar_idx").toPandas()
