@@ -43,7 +43,8 @@ def oof_threshold(scores: DataFrame, keys, gain: float, loss: float, lo: float =
     """Percentile threshold capped by a higher one, and the expected value at it."""
     q = quantiles(scores, "score", {"_lo": lo, "_hi": hi}, list(keys)).select(*keys, F.least("_lo", "_hi").alias("threshold"))
     above = F.col("score") >= F.col("threshold")
-    out = scores.join(q, list(keys)).groupBy(*keys).agg(
+    # A row per key, sent to the scores: shuffled by key, all scores of a key would be sorted in one task.
+    out = scores.join(F.broadcast(q), list(keys)).groupBy(*keys).agg(
         F.max("threshold").alias("threshold"), F.count_if(above).alias("above"), F.avg(F.when(above, F.col("y").cast("double"))).alias("_wr"))
     wr = F.when(F.col("above") >= 20, F.col("_wr")).otherwise(0.0)
     return out.select(*keys, "threshold", "above", (wr * gain - (1 - wr) * loss).alias("ev"))
@@ -56,7 +57,8 @@ def ev_threshold(scores: DataFrame, keys, gain: float, loss: float, min_above: i
     q = quantiles(scores, "score", {f"q{p}": p / 100 for p in pcts}, keys)
     arr = q.select(*keys, F.array(*[F.col(f"q{p}") for p in pcts]).alias("_t"))
     passed = F.size(F.filter("_t", lambda t: t <= F.col("score")))
-    slots = scores.join(arr, keys).groupBy(*keys, passed.alias("_k")).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col("y").cast("double")).alias("_w"))
+    # A row per key, sent to the scores: shuffled by key, all scores of a key would be sorted in one task.
+    slots = scores.join(F.broadcast(arr), keys).groupBy(*keys, passed.alias("_k")).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col("y").cast("double")).alias("_w"))
     # Rows at or above threshold j are those passing more than j thresholds: at most 24 slots per key.
     rows = arr.select(*keys, F.posexplode("_t").alias("_j", "threshold")).join(slots, keys).filter(F.col("_k") > F.col("_j"))
     per = rows.groupBy(*keys, "_j", "threshold").agg(F.sum("_n").alias("n"), F.sum("_w").alias("w")).filter(F.col("n") >= min_above)

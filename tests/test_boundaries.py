@@ -10,6 +10,7 @@ from barflow.functions.registry import resolve
 from barflow.operators import bars as B
 from barflow.operators import charts as H
 from barflow.operators import decisions as A
+from barflow.operators import evaluation as E
 from barflow.operators import indicators as I
 from barflow.operators import labels as L
 from barflow.operators import models as M
@@ -160,6 +161,31 @@ def test_performance_counts_only_evaluated(spark):
     assert (r.total, r.evaluated, r.correct, r.accuracy, r.profit) == (3, 2, 1, 0.5, 6.0)
 
 
+def test_thresholds_do_not_sort_the_scores_of_a_key(spark):
+    """Even where Spark would not broadcast by size."""
+    data = [(m, round((i * 37 % 101) / 100, 2), int(i % 101 > 60)) for m in ("a", "b") for i in range(505)]
+    d = spark.createDataFrame([*data, (None, 0.5, 1)], "model string, score double, y int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for fn in (E.ev_threshold, E.oof_threshold):
+            out = fn(d, ["model"], 0.02, 0.03)
+            assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+            assert [r["model"] for r in rows(out, "model")] == ["a", "b"]
+        for r in rows(E.ev_threshold(d, ["model"], 0.02, 0.03), "model"):
+            s = sorted(x for m, x, _ in data if m == r["model"])
+            best = None
+            for p in range(50, 96, 2):
+                at = (len(s) - 1) * p / 100
+                t = s[int(at)] + (s[min(int(at) + 1, len(s) - 1)] - s[int(at)]) * (at - int(at))
+                hits = [y for m, x, y in data if m == r["model"] and x >= t]
+                ev = sum(hits) / len(hits) * 0.02 - (1 - sum(hits) / len(hits)) * 0.03
+                best = ev if best is None or ev > best else best
+            assert abs(r["best_ev"] - best) < 1e-12
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_lines(spark):
     text = ['{"time":"2024-01-01T00:00:01","logger":"c","msg":"hello","request_id":"r"}', "[2024-01-01 00:00:02] error: bad thing", "2024-01-01 00:00:03 WARN slow", "INFO: fine", "no shape at all", "{broken"]
     d = spark.createDataFrame([(t, "svc", n) for n, t in enumerate(text)], "line string, stem string, n int")
