@@ -1,7 +1,8 @@
 """Near duplicates by exact likeness: texts are linked if the Jaccard of their shingle sets is at least ``LEAST``.
 
-A node is a distinct set of shingles (words, A-Z in lower case), so copies cost nothing. Candidates: 32 min-hashes
-for each of ``words``, in bands of four. At a likeness of 0.8 two nodes miss all 32 bands of four words with a
+A node is a distinct set of shingles (words, A-Z in lower case), so copies cost nothing. The first candidates are those of
+``op4_simhash``: SimHash fingerprints that pigeonring chains find within its four bits. That is not all that is alike, so
+further ones come from 32 min-hashes for each of ``words``, in bands of four. At a likeness of 0.8 two nodes miss all 32 bands of four words with a
 probability of 5e-8, and more alike ones with less. What meets under a band's key is searched by the sketches (two bits
 of each min-hash), which a pair of 0.8 fails less often than once in a million; the search gives at most n - 1 candidates for n
 nodes, and candidates that are connected form a cluster. Every link is inside a cluster.
@@ -25,11 +26,13 @@ from pyspark.sql import functions as F
 
 from barflow.llm.common import mix, stage
 from barflow.llm.graph import components
-from barflow.llm.simhash import links, shingles
+from barflow.llm.simhash import bits, links, shingles
 
 LEAST = (4, 5)
 BAND = 4
 BLOCK = 1 << 19
+#: Marks of rows that are broadcast, 8 bytes each; rows are shuffled beside more.
+SENT = 4_000_000
 
 
 def sketch(hashes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,14 +57,16 @@ def row_mark(docs: DataFrame) -> Column:
 
 
 def prints(docs: DataFrame, size: int, words: int) -> DataFrame:
-    """mark, doc_id, node, n (shingles), fp0, ... and keys of every row."""
+    """mark, doc_id, node, n (shingles), simhash, fp0, ... and keys of every row."""
     names = [f"fp{w}" for w in range(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, counts, fps, keys = [], [], [], []
+            nodes, counts, prints_, fps, keys = [], [], [], [], []
             for text in batch.column(2):
-                hashes = np.unique(shingles(text.as_py(), size))
+                every = shingles(text.as_py(), size)
+                hashes = np.unique(every)
+                prints_.append(bits(every))
                 nodes.append(mix(hashes).sum(dtype=np.uint64))
                 counts.append(len(hashes))
                 fp, key = sketch(hashes, words)
@@ -72,9 +77,10 @@ def prints(docs: DataFrame, size: int, words: int) -> DataFrame:
             keys = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(nodes) + 1) * each, each, dtype=np.int32)),
                                             pa.array(np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(counts, pa.int64()),
-                                              *[pa.array(np.ascontiguousarray(fps[:, w])) for w in range(words)], keys], names=["mark", "doc_id", "node", "n", *names, "keys"])
+                                              pa.array(np.array(prints_, np.uint64).view(np.int64)), *[pa.array(np.ascontiguousarray(fps[:, w])) for w in range(words)], keys],
+                                             names=["mark", "doc_id", "node", "n", "simhash", *names, "keys"])
 
-    schema = "mark long, doc_id long, node long, n long, " + ", ".join(f"{n} long" for n in names) + ", keys array<long>"
+    schema = "mark long, doc_id long, node long, n long, simhash long, " + ", ".join(f"{n} long" for n in names) + ", keys array<long>"
     return docs.select(row_mark(docs).alias("mark"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
@@ -121,23 +127,40 @@ def confirmed(members: DataFrame, size: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def sent(marks: DataFrame) -> DataFrame:
+    """Marks as the small side of a join with rows: broadcast up to ``SENT`` of them, so that the rows stay where they are."""
+    return F.broadcast(marks) if marks.count() <= SENT else marks
+
+
+def candidates(distinct: DataFrame, words: int) -> DataFrame:
+    """Links (a, b) between nodes to be compared: by SimHash and pigeonring, and by bands of min-hashes.
+
+    Nodes of one fingerprint are linked to the smallest of them, which alone takes part in the search.
+    """
+    prints = distinct.select("id", "simhash")
+    least = stage(prints.groupBy("simhash").agg(F.min("id").alias("least")))
+    same = prints.join(least, "simhash").filter(F.col("id") != F.col("least")).select(F.col("id").alias("a"), F.col("least").alias("b"))
+    return links(least.select(F.col("simhash").alias("fp0"), F.col("least").alias("id"))).union(same).union(links(distinct, words))
+
+
 def grouped(docs: DataFrame, size: int, words: int = 4) -> DataFrame:
-    """mark, doc_id, node, n, fp0, ... and root (the smallest node it is connected to) of every row of ``docs``.
+    """mark, doc_id, node, n, simhash, fp0, ... and root (the smallest node it is connected to) of every row of ``docs``.
 
-    Small sides of joins with texts are written first: their size is then known when the join is planned, so texts are
-    not shuffled beside a side that Spark can broadcast.
+    Texts are shuffled only of the rows that a cluster needs, while the marks of these can be broadcast.
     """
     rows = stage(prints(docs, size, words))
     names = [f"fp{w}" for w in range(words)]
-    distinct = rows.groupBy("node", "n", *names, "keys").agg(F.min("mark").alias("mark")).withColumnRenamed("node", "id")
+    # A node's rows differ in order and repeats of shingles at most; one of their SimHash values stands for it.
+    distinct = rows.groupBy("node", "n", *names, "keys").agg(F.min("mark").alias("mark"), F.min("simhash").alias("simhash")).withColumnRenamed("node", "id")
     distinct = stage(distinct)
-    star = components(links(distinct, words)).withColumnRenamed("node", "id")
+    star = components(candidates(distinct, words)).withColumnRenamed("node", "id")
     both = star.union(star.select("root", "root").distinct())
     clusters = stage(distinct.select("id", "n", "mark").join(both, "id"))
     blocks = clusters.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
     dealt = clusters.join(blocks, "root").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.expr("IF(blocks = 1, array(0), filter(sequence(0, blocks - 1), x -> x <> mine))")))
     dealt = stage(dealt.select("mark", "root", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), F.col("id").alias("node")))
-    texts = docs.select(row_mark(docs).alias("mark"), "text").join(dealt, "mark")
+    needed = docs.select(row_mark(docs).alias("mark"), "text").join(sent(clusters.select("mark")), "mark", "left_semi")
+    texts = needed.join(dealt, "mark")
     roots = components(stage(confirmed(texts, size)))
     return stage(rows.drop("keys").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))

@@ -12,8 +12,8 @@ group. What meets under a key must satisfy all chains before all 64 bits are com
 found by a search that leaves out what it has reached, so a group of n fingerprints gives at most n - 1 links, not
 all pairs. Only distinct fingerprints take part: copies cost nothing.
 
-With ``words`` above 1 the likeness itself decides (see ``barflow.llm.near``): a row's words are then a sketch of
-min-hashes, and only the search under a key is shared.
+With ``words`` above 1 the likeness itself decides (see ``barflow.llm.near``): fingerprints and chains give its first
+candidates, and a row's words are a sketch of min-hashes, searched under the keys of their bands.
 
 NULL, empty and blank texts have fingerprint zero and are linked like any other. Texts are read whole. Repeated
 rows come back as often as they came. A row with a NULL doc_id takes part under no id: it gets its fingerprint
@@ -57,19 +57,20 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.array([digest(line[starts[i] : max(0, starts[i + last] - 1)], SEED) for i in range(n)], np.uint64)
 
 
+def bits(hashes: np.ndarray) -> np.uint64:
+    """The 64 bits that more than half of the hashes have set."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 4096):
+        counts += np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0]
+
+
 def simhash(text: str | None, size: int = SHINGLE, words: int = 1) -> np.ndarray:
     """The fingerprint of a text, ``words`` times 64 bits."""
     if not (text or "").encode().split():
         return np.zeros(words, np.uint64)
     hashes = shingles(text, size)
-    n, out = len(hashes), []
-    for word in range(words):
-        h = hashes if word == 0 else mix(hashes ^ np.uint64(word))
-        counts = np.zeros(64, np.int64)
-        for at in range(0, n, 4096):
-            counts += np.unpackbits(h[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
-    return np.array(out, np.uint64)
+    return np.array([bits(hashes if word == 0 else mix(hashes ^ np.uint64(word))) for word in range(words)], np.uint64)
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE, words: int = 1) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import re
 from collections import Counter
 
 import duckdb
@@ -112,6 +113,30 @@ def test_near_duplicates_equal_all_pairs(spark, monkeypatch, block):
     assert got == want and 70 < len(set(want.values())) < 190
 
 
+def test_near_candidates_hold_all_of_simhash(spark):
+    """Every pair that op4's own rule links (here over five words) is compared, also those of one fingerprint."""
+    g, prints = random.Random(7), []
+    for _ in range(40):
+        base = g.getrandbits(64)
+        prints += [base, base, base ^ (1 << g.randrange(64)), base ^ sum(1 << b for b in g.sample(range(64), 4))]
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    rows = [(i, signed[i], [i] * 4, [1000 + i]) for i in range(len(prints))]
+    d = spark.createDataFrame([(i, p, *fp, k) for i, p, fp, k in rows], "id long, simhash long, fp0 long, fp1 long, fp2 long, fp3 long, keys array<long>")
+    found = [(r.a, r.b) for r in near.candidates(d, 4).collect()]
+    assert _joined(found, range(len(prints))) == _all_links(dict(enumerate(prints)))
+
+
+def test_near_texts_are_not_shuffled_beside_few_marks(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        out = corpus_pipeline.keep_one_of_near(spark, edge(spark), "")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "LeftAnti" in plan and not re.search("SortMergeJoin.*LeftAnti", plan)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_near_duplicates_equal_all_pairs_of_given_texts(spark):
     texts = {k: t for k, t, _, _ in given("/root/testdata/sf0.01")}
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
