@@ -24,13 +24,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates (five words, likeness of 0.8) the row with the smallest doc_id, one without only if there is no other."""
+    """Of each component of near duplicates (five words, likeness of 0.8) the row with the smallest doc_id, one without only if there is no other.
+
+    Candidates come from SimHash fingerprints with pigeonring chains, as in op4_simhash, and from bands of min-hashes; whole
+    shingle sets are compared after.
+    """
     found = near.grouped(docs, 5)
     lead = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("least")).select("root", F.col("least.mark").alias("lead"))
     marks = found.groupBy("mark").agg(F.first("root").alias("root"), F.count(F.lit(1)).alias("times")).join(lead, "root")
-    # Written, so that rows are shuffled only beside a side that is too large to broadcast.
-    dropped = stage(marks.filter(F.col("mark") != F.col("lead")).select("mark"))
-    repeated = stage(marks.filter((F.col("mark") == F.col("lead")) & (F.col("times") > 1)).select("mark"))
+    # Few marks are broadcast, so that whole rows are not shuffled.
+    dropped = near.sent(stage(marks.filter(F.col("mark") != F.col("lead")).select("mark")))
+    repeated = near.sent(stage(marks.filter((F.col("mark") == F.col("lead")) & (F.col("times") > 1)).select("mark")))
     kept = docs.select(F.struct("*").alias("row"), near.row_mark(docs).alias("mark")).join(dropped, "mark", "left_anti")
     once = kept.join(repeated, "mark", "left_anti").select("row")
     one = kept.join(repeated, "mark", "left_semi").groupBy("mark").agg(F.first("row").alias("row")).select("row")
