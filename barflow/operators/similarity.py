@@ -12,7 +12,12 @@ one of the other.
 4. Of the other pairs only those are scored whose bound reaches the floor and the lowest k-th best of the query block.
 
 A pair left out holds nothing that could enter a result, so results are those of all pairs. On few blocks all pairs
-are scored at once. A block pair's bound is a row of numbers; vectors are copied for the pairs that are scored only.
+are scored at once. A block pair's bound is a row of numbers.
+
+A block is one row with its ids and its vectors as bytes. Vectors are shuffled to make the blocks and once more for step 3; the
+pairs of step 4 are not shuffled: a task keeps about ``block`` queries and streams the stored blocks past them (a Cartesian product
+whose condition is the list of pairs), with the k best of each query so far. What leaves a task is k rows a query, so the shuffle grows
+with the vectors while the products, without clusters, grow with their square. Other columns are joined to the final rows.
 
 NULL, empty and zero vectors and those with gaps match nothing; vectors of another length never match. Cosines are rounded to 12
 digits, ties go to the smaller vec_id.
@@ -24,19 +29,25 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barflow.session import stage
 
-#: Vectors, or queries, in a block; a task scores one block of each.
+#: Vectors, or queries, in a block; a task holds one block of each at a time.
 BLOCK = 4096
 PIVOTS = 128
 #: Cells of the angle to a pivot, from 0 to pi.
 CELLS = 512
 #: Pairs of blocks up to which all are scored without an index.
 DIRECT = 64
+#: Tasks that score, at least; vectors are cut into parts only where there are fewer blocks of queries.
+TASKS = 64
+#: Queries and vectors of one product inside a task.
+ROWS, COLUMNS = 256, 512
 #: Allowed for rounding of angles and products.
 SLACK = 1e-6
 
@@ -97,13 +108,33 @@ def blocked(df: DataFrame, id_: str, block: int) -> DataFrame:
     cells = df.groupBy("_size", "_pivot", "_cell").agg(F.count(F.lit(1)).alias("_n"))  # CELLS rows a pivot at most
     before = Window.partitionBy("_size", "_pivot").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("_ring", F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / block)).withColumn("_parts", F.ceil(F.col("_n") / block))
+    cells = stage(cells)  # its size is known then, so that the vectors are not shuffled for this join
     dealt = df.join(cells, ["_size", "_pivot", "_cell"])
     part = F.pmod(F.xxhash64(id_), F.col("_parts"))
     return dealt.withColumn("_block", F.struct(F.col("_size").alias("size"), F.col("_pivot").alias("pivot"), F.col("_ring").alias("ring"), part.alias("part"))).drop("_cell", "_n", "_ring", "_parts")
 
 
+def packed(df: DataFrame, id_: str, vector: str) -> DataFrame:
+    """One row for each ``_block``: size, angles and number of its vectors, ids, rows (``_row``) and vectors as bytes."""
+    types, keys = dict(df.dtypes), ["size", "pivot", "ring", "part"]
+
+    def pack(t: pa.Table) -> pa.Table:
+        values = t[vector].combine_chunks().flatten()
+        if not (pa.types.is_float32(values.type) or pa.types.is_float64(values.type)):
+            values = values.cast(pa.float64())
+        n, angles = len(t), pc.min_max(t["_angle"]).as_py()
+        lists = [pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), t[c].combine_chunks()) for c in ("id", "_row")]
+        block = [t[c].slice(0, 1) for c in keys]
+        columns = [pa.array([angles["min"]], pa.float64()), pa.array([angles["max"]], pa.float64()), pa.array([n], pa.int64())]
+        return pa.table([*block, *columns, *lists, pa.array([values.to_numpy().tobytes()], pa.binary())], names=[*keys, "lo", "hi", "n", "ids", "rows", "data"])
+
+    rows = df.select("_block.*", "_angle", F.col(id_).alias("id"), F.col("_row") if "_row" in types else F.lit(0).cast("long").alias("_row"), vector)
+    made = rows.groupBy(*keys).applyInArrow(pack, f"size int, pivot int, ring long, part long, lo double, hi double, n long, ids array<{types[id_]}>, rows array<long>, data binary")
+    return made.select(F.struct(*keys).alias("_block"), "lo", "hi", "n", "ids", "rows", "data")
+
+
 def _stats(d: DataFrame, side: str) -> DataFrame:
-    return d.groupBy(F.col("_block").alias(side)).agg(F.min("_angle").alias(f"lo_{side}"), F.max("_angle").alias(f"hi_{side}"), F.count(F.lit(1)).alias(f"n_{side}"))
+    return d.select(F.col("_block").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("lo", "hi", "n")])
 
 
 def bounds(q: DataFrame, v: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
@@ -118,68 +149,142 @@ def bounds(q: DataFrame, v: DataFrame, pivots: dict[int, np.ndarray]) -> DataFra
     return pairs.select("q", "v", "n_q", "n_v", F.coalesce(F.when(apart.isNotNull(), least), F.lit(0.0)).alias("least"))
 
 
-def _score(q: DataFrame, v: DataFrame, pairs: DataFrame, k: int, floor: float, kind: str, schema: str) -> DataFrame:
-    """The best k of each query in each of the given pairs of blocks (columns q, v)."""
-    left = q.select("query_id", "query", F.col("_block").alias("q")).join(pairs.select("q", "v"), "q")
-    columns = [c for c in v.columns if c not in ("_size", "_pivot", "_angle", "_block")]
-    right = v.select(*columns, F.col("_block").alias("v")).join(pairs.select("q", "v"), "v")
-    keys = [F.to_json("q").alias("_q"), F.to_json("v").alias("_v")]
-    left, right = left.select("query_id", "query", *keys), right.select(*columns, *keys)
+def _numbers(ids: pa.Array) -> np.ndarray:
+    return np.array(ids.to_pylist(), dtype=object) if ids.null_count else ids.to_numpy(zero_copy_only=False)
+
+
+def _rows(data: bytes, n: int, size: int) -> np.ndarray:
+    """The vectors of a block, of length 1."""
+    m = np.frombuffer(data, np.float32 if len(data) == 4 * n * size else np.float64).reshape(n, size).astype(float)
+    return m / np.sqrt((m * m).sum(axis=1))[:, None]
+
+
+class _Best:
+    """The k best so far of each query of a block."""
+
+    def __init__(self, ids: pa.Array, k: int, floor: float):
+        self.query, self.mine, self.k, self.floor = ids, _numbers(ids), k, floor
+        self.similarity = np.full((len(ids), k), -np.inf)
+        self.row = np.zeros((len(ids), k), dtype=np.int64)
+        self.id = None
+
+    def take(self, a: np.ndarray, b: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
+        if self.id is None:
+            self.id = np.zeros(self.row.shape, dtype=ids.dtype)
+        elif self.id.dtype != ids.dtype:
+            self.id = self.id.astype(object)
+        for x in range(0, len(a), ROWS):
+            for y in range(0, len(b), COLUMNS):
+                cosine = a[x : x + ROWS] @ b[y : y + COLUMNS].T
+                least = np.maximum(self.similarity[x : x + ROWS, -1], self.floor) - 1e-11
+                hit = np.flatnonzero(cosine >= least[:, None])
+                if len(hit):
+                    at, of = np.divmod(hit, cosine.shape[1])
+                    # Equal vectors tie, whatever the order of summing.
+                    self._merge(at + x, np.round(cosine.ravel()[hit], 12), ids[of + y], rows[of + y])
+
+    def _merge(self, at: np.ndarray, similarity: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
+        last = self.similarity[at, -1]
+        ok = (similarity >= np.maximum(last, self.floor)) & ((ids != self.mine[at]) | pd.isna(ids))
+        if self.id.dtype != object:
+            ok &= (similarity > last) | (ids <= self.id[at, -1])
+        at, similarity, ids, rows = at[ok], similarity[ok], ids[ok], rows[ok]
+        touched = np.unique(at)
+        old = self.similarity[touched].ravel()
+        kept = old > -np.inf
+        at = np.concatenate([np.repeat(touched, self.k)[kept], at])
+        similarity = np.concatenate([old[kept], similarity])
+        ids = np.concatenate([self.id[touched].ravel()[kept], ids])
+        rows = np.concatenate([self.row[touched].ravel()[kept], rows])
+        order = ids
+        if ids.dtype == object:  # by value, NULL last
+            order = pd.factorize(ids, sort=True)[0]
+            order[order < 0] = len(ids)
+        sort = np.lexsort((rows, order, -similarity, at))
+        at = at[sort]
+        rank = np.arange(len(at)) - np.searchsorted(at, at)
+        sort, at, rank = sort[rank < self.k], at[rank < self.k], rank[rank < self.k]
+        self.similarity[at, rank], self.id[at, rank], self.row[at, rank] = similarity[sort], ids[sort], rows[sort]
+
+    def found(self, kind: pa.DataType) -> pa.RecordBatch:
+        at, rank = np.nonzero(self.similarity > -np.inf)
+        columns = [self.query.take(pa.array(at)), pa.array(self.id[at, rank], kind), pa.array(self.row[at, rank]), pa.array(self.similarity[at, rank])]
+        return pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "_row", "similarity"])
+
+
+def _score(q: DataFrame, v: DataFrame, pairs: DataFrame, k: int, floor: float) -> DataFrame:
+    """The best k of each query in the given pairs of blocks (columns of q and v, those of q with the prefix q_), for each task."""
+
+    def run(batches):
+        best, last, kind = {}, None, None
+        for batch in batches:
+            kind = batch.schema.field("ids").type.value_type
+            for i in range(batch.num_rows):
+                key, size, q_ids, q_data, ids, rows, data = (batch.column(c)[i] for c in range(7))
+                key, size = key.as_py(), size.as_py()
+                if key != last:
+                    last, mine = key, _rows(q_data.as_buffer(), len(q_ids), size)
+                    if key not in best:
+                        best[key] = _Best(q_ids.values, k, floor)
+                    state = best[key]
+                state.take(mine, _rows(data.as_buffer(), len(ids), size), _numbers(ids.values), rows.values.to_numpy())
+        for state in best.values():
+            yield state.found(kind)
+
+    kinds = [dict(d.dtypes)["ids"][len("array<") : -1] for d in (q, v)]
+    columns = [F.to_json("q_block").alias("q"), F.col("_block.size").alias("size"), "q_ids", "q_data", "ids", "rows", "data"]
+    return pairs.select(*columns).mapInArrow(run, f"query_id {kinds[0]}, vec_id {kinds[1]}, _row long, similarity double")
+
+
+def _streamed(q: DataFrame, v: DataFrame, on: Column, parts: int, k: int, floor: float) -> DataFrame:
+    """Scores of the pairs that ``on`` holds for: each of ``parts`` tasks, or more, has its queries and reads all vectors, or a part of them."""
+    mine = q.repartitionByRange(parts, "q_block")  # the right side is held, the left one streamed
+    pairs = v.coalesce(-(-TASKS // parts)).hint("shuffle_replicate_nl").join(mine, on)
+    return _score(q.withColumnRenamed("q_ids", "ids"), v, pairs, k, floor)
 
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        mine, theirs = _unit(left["query"]), _unit(right["embedding"])
-        ids, query_ids = right["vec_id"].to_numpy(), left["query_id"].to_numpy()
-        for size in mine.keys() & theirs.keys():
-            (at, a), (of, b) = mine[size], theirs[size]
-            cosine = np.round(a @ b.T, 12)  # equal vectors tie, whatever the order of summing
-            for i, row in enumerate(cosine):
-                hit = np.flatnonzero((row >= floor) & (ids[of] != query_ids[at[i]]))
-                best = hit[np.lexsort((ids[of[hit]], -row[hit]))[:k]]
-                found += [(of[j], query_ids[at[i]], row[j]) for j in best]
-        rows = right.iloc[[f[0] for f in found]].drop(columns=["_q", "_v"]).reset_index(drop=True)
-        return rows.assign(query_id=[f[1] for f in found], similarity=[f[2] for f in found])
 
-    return left.groupBy("_q", "_v").cogroup(right.groupBy("_q", "_v")).applyInPandas(score, f"{schema}, query_id {kind}, similarity double")
+def _mine(q: DataFrame) -> DataFrame:
+    return q.select(F.col("_block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
 
 
 def _hashed(df: DataFrame, id_: str, n: int) -> DataFrame:
     """Blocks by hash alone, as one ring."""
-    zero = F.lit(0)
-    return df.withColumn("_block", F.struct(zero.alias("size"), zero.alias("pivot"), zero.cast("long").alias("ring"), F.pmod(F.xxhash64(id_), F.lit(n)).alias("part")))
+    part = F.pmod(F.xxhash64(id_), F.lit(n).cast("long"))
+    return df.withColumn("_block", F.struct(F.col("_size").alias("size"), F.col("_pivot").alias("pivot"), F.lit(0).cast("long").alias("ring"), part.alias("part")))
 
 
 def plan(queries: DataFrame, vectors: DataFrame, k: int, floor: float, block: int, pivots: int = PIVOTS) -> dict:
-    """The index and what it leaves to do: assigned sides, first results, and the pairs still to be scored."""
-    kind = dict(queries.dtypes)["query_id"]
-    schema = ", ".join(f"`{n}` {t}" for n, t in vectors.dtypes)
+    """The index and what it leaves to do: assigned vectors, blocks of both sides, first results, and the pairs still to be scored."""
     found = pivots_of(vectors, pivots)
-    v = stage(blocked(assigned(vectors, "embedding", found), "vec_id", block))
-    q = stage(blocked(assigned(queries.select("query_id", "query"), "query", found), "query_id", block))
-    every = stage(bounds(q, v, found).filter(F.col("least") <= math.acos(max(-1.0, min(1.0, floor))) + SLACK))
+    v = stage(blocked(assigned(vectors, "embedding", found), "vec_id", block).withColumn("_row", F.monotonically_increasing_id()))
+    theirs = stage(packed(v, "vec_id", "embedding"))
+    mine = stage(packed(blocked(assigned(queries.select("query_id", "query"), "query", found), "query_id", block), "query_id", "query"))
+    every = stage(bounds(mine, theirs, found).filter(F.col("least") <= math.acos(max(-1.0, min(1.0, floor))) + SLACK))
     nearest = every.groupBy("q").agg(F.min_by("v", F.struct("least", "v")).alias("v"))
-    first = stage(_score(q, v, nearest, k, floor, kind, schema))
+    near = theirs.join(nearest, F.col("_block") == F.col("v")).join(_mine(mine), F.col("q") == F.col("q_block"))
+    first = stage(_score(mine, theirs, near, k, floor))
     kth = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("similarity").alias("kth"))
-    reached = q.join(kth, "query_id", "left").groupBy(F.col("_block").alias("q")).agg(F.min(F.when(F.col("n") >= k, F.col("kth")).otherwise(F.lit(floor))).alias("reached"))
+    asked = mine.select(F.col("_block").alias("q"), F.explode("ids").alias("query_id"))
+    reached = asked.join(kth, "query_id", "left").groupBy("q").agg(F.min(F.when(F.col("n") >= k, F.col("kth")).otherwise(F.lit(floor))).alias("reached"))
     rest = every.join(nearest, ["q", "v"], "left_anti").join(reached, "q")
     rest = stage(rest.filter(F.col("least") <= F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "reached"))) + SLACK).select("q", "v", "n_q", "n_v"))
-    return {"q": q, "v": v, "first": first, "rest": rest, "every": every, "kind": kind, "schema": schema}
+    return {"v": v, "mine": mine, "theirs": theirs, "first": first, "rest": rest, "every": every}
 
 
 def similar_topk(queries: DataFrame, vectors: DataFrame, k: int, floor: float, block: int = BLOCK, pivots: int = PIVOTS, direct: int = DIRECT) -> DataFrame:
     """Exact top-k by cosine at or above ``floor``; vectors of another length never match."""
     n_q, n_v = (max(1, -(-d.count() // block)) for d in (queries, vectors))
     if n_q * n_v <= direct:
-        kind, schema = dict(queries.dtypes)["query_id"], ", ".join(f"`{n}` {t}" for n, t in vectors.dtypes)
-        q, v = _hashed(queries.select("query_id", "query"), "query_id", n_q), _hashed(vectors, "vec_id", n_v)
-        parts = queries.sparkSession.range(n_q * n_v)
-        zero = F.lit(0)
-        at = lambda part: F.struct(zero.alias("size"), zero.alias("pivot"), zero.cast("long").alias("ring"), part.alias("part"))
-        pairs = parts.select(at(F.expr(f"id div {n_v}")).alias("q"), at(F.pmod("id", F.lit(n_v))).alias("v"))
-        return _ranked(_score(q, v, pairs, k, floor, kind, schema), k)
-    made = plan(queries, vectors, k, floor, block, pivots)
-    rest = _score(made["q"], made["v"], made["rest"], k, floor, made["kind"], made["schema"])
-    return _ranked(made["first"].unionByName(rest), k)
+        v = stage(_hashed(assigned(vectors, "embedding", {}), "vec_id", n_v).withColumn("_row", F.monotonically_increasing_id()))
+        mine = packed(_hashed(assigned(queries.select("query_id", "query"), "query", {}), "query_id", n_q), "query_id", "query")
+        found = _streamed(_mine(mine), packed(v, "vec_id", "embedding"), F.col("_block.size") == F.col("q_block.size"), n_q, k, floor)
+    else:
+        made = plan(queries, vectors, k, floor, block, pivots)
+        v, wanted = made["v"], made["rest"].groupBy("q").agg(F.collect_list("v").alias("wanted"))
+        mine = _mine(made["mine"]).join(wanted, F.col("q_block") == F.col("q"))
+        found = made["first"].unionByName(_streamed(mine, made["theirs"], F.array_contains("wanted", F.col("_block")), n_q, k, floor))
+    others = [c for c in vectors.columns if c != "vec_id"]
+    return _ranked(found, k).join(v.select("_row", *others), "_row").select(*vectors.columns, "query_id", "similarity")
 
 
 def similar_with_outcome(queries: DataFrame, vectors: DataFrame, k: int, floor: float, has_outcome: Column) -> DataFrame:
